@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridfolio.llm import exact_dedup, language, toxicity
+import public_tokenizers
+
+from gridfolio.llm import decontamination, exact_dedup, language, packing, token_counts, toxicity
 from gridfolio.session import read_table
 
 
@@ -20,7 +22,22 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_toxicity)}
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache is new for each run, so that the run encodes every distinct text once."""
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), token_counts.default_cache(spark))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_exact_dedup, op2_language_id, op3_toxicity, op4_best_fit_packing, op7_token_counts, op8_decontamination,
+)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""

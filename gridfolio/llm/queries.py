@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from gridfolio.llm import decontamination, exact_dedup, language, packing, token_counts, toxicity
+from gridfolio.llm import decontamination, exact_dedup, html_extract, language, line_dedup, ngram_join, packing, token_counts, toxicity, warc
 from gridfolio.session import read_table
 
 
@@ -26,6 +26,14 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cache is new for each run, so that the run encodes every distinct text once."""
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), token_counts.default_cache(spark))
@@ -35,9 +43,21 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op2_language_id, op3_toxicity, op4_best_fit_packing, op7_token_counts, op8_decontamination,
-)}
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(read_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup, op2_language_id, op3_toxicity, op4_best_fit_packing, op5_html_extraction,
+        op6_line_dedup, op7_token_counts, op8_decontamination, op9_ngram_jaccard_join, op10_warc,
+    )
+}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
@@ -52,4 +72,16 @@ ORACLE_SQL = {
                sha256(norm) AS text_sha256
         FROM d
     """,
+    "op6_line_dedup": line_dedup.ORACLE,
+    "op10_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest, coalesce(html, '') AS html FROM pages
+        ), f AS (
+            SELECT *, max(page_id) OVER (PARTITION BY html) AS first FROM p
+        )
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> first THEN first END AS refers_to
+        FROM f
+    """,
 }

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridfolio.llm.text import Memo, by_size, hashes, unpickled, word_hash, words
+from gridfolio.session import written
 
 #: Fixed masks: 1 is a token that counts, 0 one that is ignored. Each ignores other places, so a substituted
 #: token hides from one of the masks wherever it stands.
@@ -162,4 +163,4 @@ _MEMO = Memo(word_hash, 300_000)
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that overlap no benchmark item, with all their columns."""
     hit = overlaps(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, F.col(id_col).cast("long").eqNullSafe(F.col("__hit")), "left_anti")
+    return docs.join(written(hit, "benchmark-hits"), F.col(id_col).cast("long").eqNullSafe(F.col("__hit")), "left_anti")

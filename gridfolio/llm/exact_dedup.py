@@ -86,8 +86,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one per distinct text, with all their columns.
 
-    Of rows that repeat the id of the row that stays, one stays.
+    Of rows that repeat the id of the row that stays and its text, one stays.
     """
-    keep = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    one = docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__keep")), "left_semi")
-    return one.dropDuplicates([id_col])
+    labels = written(exact_duplicates(docs, id_col, text_col), "exact-labels")
+    drop = written(labels.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct(), "exact-drop")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.sha2(normalised(F.col(text_col)), 256) == F.col("__sha"))
+    kept = docs.join(drop, same, "left_anti")
+    repeated = labels.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")
+    return kept if repeated.isEmpty() else kept.withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256)).dropDuplicates([id_col, "__sha"]).drop("__sha")

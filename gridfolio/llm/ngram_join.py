@@ -277,5 +277,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows with a null id can't be grouped and all stay.
     """
     drop = near_duplicates(docs, id_col, text_col).where("doc_id <> class_id").select(F.col("doc_id").alias("__drop")).distinct()
-    kept = docs.join(drop, F.col(id_col).cast("long") == F.col("__drop"), "left_anti")
+    kept = docs.join(written(drop, "near-drop"), F.col(id_col).cast("long") == F.col("__drop"), "left_anti")
+    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
+    if repeated.isEmpty():
+        return kept
     return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))

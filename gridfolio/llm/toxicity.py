@@ -352,3 +352,19 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int =
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
         F.size("hits").cast("long").alias("n_hits"),
     )
+
+
+def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns and types.
+
+    Each row is scored where it is read, so no join and no shuffle is needed, and rows with null or repeated
+    ids are decided each by its own text.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        scorer = _scorer(shared)
+        return pd.Series([scorer.score(scorer.hits(t or "")) for t in texts])
+
+    return docs.where(scored(F.col(text_col)) < threshold)

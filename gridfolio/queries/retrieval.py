@@ -73,20 +73,20 @@ def balanced_pool(spark, sf_dir):
     return retrieval.balanced_pool(_per_store(spark, sf_dir), 8).select(F.col("chunk_id").alias("vec_id"), F.col("store").alias("label"))
 
 
-@query(_PER_STORE + "SELECT vec_id, round(round(1 - (d - min(d) OVER ()) / (max(d) OVER () - min(d) OVER ()), 4), 3) AS relevance FROM k")
+@query(_PER_STORE + "SELECT vec_id, round(1 - (d - min(d) OVER ()) / (max(d) OVER () - min(d) OVER ()), 4) AS relevance FROM k")
 def minmax_relevance(spark, sf_dir):
     found = retrieval.minmax_relevance(_per_store(spark, sf_dir))
-    return found.select(F.col("chunk_id").alias("vec_id"), F.round("relevance", 3).alias("relevance"))
+    return found.select(F.col("chunk_id").alias("vec_id"), "relevance")
 
 
 @query(
     _PER_STORE
     + """, l AS (SELECT vec_id, label, 4 - 8 * d AS x FROM k)
-         SELECT vec_id, round(round(0.3 / (1 + exp(-x)) + 0.7 * (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w), 4), 3) AS relevance FROM l WINDOW w AS (PARTITION BY label)"""
+         SELECT vec_id, round(0.3 / (1 + exp(-x)) + 0.7 * (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w), 4) AS relevance FROM l WINDOW w AS (PARTITION BY label)"""
 )
 def blended_rerank_scores(spark, sf_dir):
     scored = _per_store(spark, sf_dir).withColumn("logit", 4 - 8 * F.col("distance"))
-    return retrieval.blended_logits(scored, by=["store"]).select(F.col("chunk_id").alias("vec_id"), F.round("relevance", 3).alias("relevance"))
+    return retrieval.blended_logits(scored, by=["store"]).select(F.col("chunk_id").alias("vec_id"), "relevance")
 
 
 @query(

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import math
 import pickle
-import re
-from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +13,6 @@ from pyspark.sql import functions as F
 
 from gridfolio.llm.text import by_size, crc_mod, unpickled
 
-LETTERS = re.compile(r"[^\W\d_]+")
 #: First and last code point of the script ranges that are told apart.
 SCRIPTS = {
     "latin": ((0x41, 0x24F), (0x1E00, 0x1EFF)),
@@ -34,80 +31,126 @@ SCRIPTS = {
 FIT_DOCUMENTS = 1500
 #: What a change of language between two words costs, in nats.
 SWITCH = 6.0
-_ORDERS = (2, 3, 4)
+#: Lengths of the letter n-grams, and the rows of the hashed table that holds their scores.
+ORDERS = (2, 3, 4, 5)
+BITS = 19
+#: No single word counts for more, in nats.
+WORST = 8.0
+#: Characters scored at once.
+CHUNK = 1_000_000
+_NAMES = [*SCRIPTS, "other"]
+_FACTORS = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 2**64) for i in range(8)], dtype=np.uint64)
 
 
-def _grams(word: str) -> list[str]:
-    """The letter n-grams of a word with its ends marked; every letter counts, however long the word."""
-    padded = f"^{word}$"
-    return [padded[i : i + n] for n in _ORDERS for i in range(len(padded) - n + 1)]
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point, whether it is a letter, and the number of its script."""
+    letter = np.array([chr(c).isalpha() for c in range(0x110000)])
+    script = np.full(0x110000, len(_NAMES) - 1, dtype=np.int8)
+    for i, ranges in enumerate(SCRIPTS.values()):
+        for lo, hi in ranges:
+            script[lo : hi + 1] = i
+    return letter, script
 
 
-def script_of(char: str) -> str:
-    code = ord(char)
-    return next((name for name, ranges in SCRIPTS.items() if any(lo <= code <= hi for lo, hi in ranges)), "other")
+LETTER, SCRIPT = _tables()
+
+
+def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of lower-case texts with 0 for all that is no letter, the starts of words, and words per text."""
+    low = [t.lower() for t in texts]
+    raw = np.frombuffer(("\n" + "\n".join(low) + "\n" * max(ORDERS)).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    letter = LETTER[raw]
+    points = np.where(letter, raw, 0).astype(np.uint64)
+    starts = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1
+    ends = np.cumsum([len(t) + 1 for t in low])
+    upto = np.searchsorted(starts, ends, "right") if len(ends) else np.zeros(0, dtype=np.int64)
+    return points, starts, np.diff(upto, prepend=0)
+
+
+def gram_rows(points: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The table row of the n-gram that starts at each place, and whether it lies in one word and its two ends.
+
+    A 0 at either end is the word's boundary; one inside would span two words.
+    """
+    n = len(points) - order + 1
+    h = np.full(n, order, dtype=np.uint64)
+    whole = np.ones(n, dtype=bool)
+    for k in range(order):
+        h += (points[k : n + k] + np.uint64(1)) * _FACTORS[k]
+        if 0 < k < order - 1:
+            whole &= points[k : n + k] > 0
+    if order == 2:
+        whole &= (points[:n] > 0) | (points[1 : n + 1] > 0)
+    h ^= h >> np.uint64(29)
+    return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)).astype(np.int64), whole
 
 
 @dataclass
 class LanguageModel:
-    """Interpolated letter n-grams of each language, whole-word counts, and the scripts a language is written in."""
+    """Log odds of hashed letter n-grams for each language, and the scripts that a language is written in."""
 
     langs: list[str]
-    grams: dict[str, int]
-    gram_rows: np.ndarray
-    known: dict[str, int]
-    known_rows: np.ndarray
-    scripts: dict[str, np.ndarray]
+    table: np.ndarray
+    scripts: np.ndarray
 
-    def word_score(self, word: str) -> np.ndarray:
-        """Log odds of each language for one lower-case word, bounded so that no single word decides a text.
+    def word_scores(self, points: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Scores (words x languages) with the best language of a word at 0 and the others at -WORST at least.
 
-        The scripts of the word narrow the candidates: a language that isn't written in them gets the floor.
+        The script of a word narrows the candidates: a language that isn't written in it gets -WORST. A word in
+        a script that no language uses scores 0 for all.
         """
-        allowed = self.scripts.get(script_of(word[0]))
-        if allowed is None or not allowed.any():
-            return np.zeros(len(self.langs), dtype=np.float32)
-        get = self.grams.get
-        found = [get(g) for g in _grams(word)]
-        total = self.gram_rows[[g for g in found if g is not None]].sum(0) / len(_ORDERS)
-        total -= total.max()
-        if (at := self.known.get(word)) is not None:
-            total += self.known_rows[at]
-            total -= total.max()
-        total = np.maximum(total, -8.0)
-        total[~allowed] = -8.0
+        if not len(starts):
+            return np.zeros((0, len(self.langs)), dtype=np.float32)
+        at = np.zeros((len(points), len(self.langs)), dtype=np.float32)
+        for order in ORDERS:
+            rows, whole = gram_rows(points, order)
+            at[: len(rows)] += self.table[np.where(whole, rows, 1 << BITS)]
+        total = np.add.reduceat(at, starts - 1, axis=0) / len(ORDERS)
+        total -= total.max(1, keepdims=True)
+        allowed = self.scripts[SCRIPT[points[starts].astype(np.int64)]]
+        total = np.where(allowed, np.maximum(total, -WORST), -WORST)
+        total[~allowed.any(1)] = 0
         return total.astype(np.float32)
 
 
 def train(rows: list[tuple[str, str]]) -> LanguageModel:
     """Fit on (text, lang) rows. Without rows the model has no language and predicts ``und``."""
-    counts: dict[str, Counter] = defaultdict(Counter)
-    vocab: dict[str, Counter] = defaultdict(Counter)
-    scripts: dict[str, Counter] = defaultdict(Counter)
-    for text, lang in rows:
-        found = LETTERS.findall((text or "").lower())
-        vocab[lang].update(found)
-    langs = sorted(vocab)
-    for lang in langs:
-        for word, n in vocab[lang].items():
-            scripts[lang][script_of(word[0])] += n
-            for g in _grams(word):
-                counts[lang][g] += n
-    seen = Counter()
-    for lang in langs:
-        seen.update(g for g, n in counts[lang].items() if n > 1)
-    totals = {lang: {n: 1 + sum(v for g, v in counts[lang].items() if len(g) == n) for n in _ORDERS} for lang in langs}
-    grams = {g: i for i, g in enumerate(sorted(seen))}
-    gram_rows = np.array([[math.log((counts[lang][g] + 0.5) / totals[lang][len(g)]) for lang in langs] for g in grams]).reshape(len(grams), len(langs))
-    gram_rows -= gram_rows.mean(1, keepdims=True) if langs else 0
-    words = {w for lang in langs for w, n in vocab[lang].items() if n > 3}
-    sizes = {lang: 1 + sum(vocab[lang].values()) for lang in langs}
-    known = {w: i for i, w in enumerate(sorted(words))}
-    known_rows = np.array([[math.log((vocab[lang][w] + 0.5) / sizes[lang]) for lang in langs] for w in known]).reshape(len(known), len(langs))
-    known_rows = np.maximum(known_rows - known_rows.max(1, keepdims=True), -6.0) if known else known_rows
-    names = {s for lang in langs for s in scripts[lang]}
-    allowed = {s: np.array([scripts[lang][s] >= 0.01 * sizes[lang] for lang in langs]) for s in names}
-    return LanguageModel(langs, grams, gram_rows.astype(np.float32), known, known_rows.astype(np.float32), allowed)
+    langs = sorted({lang for _, lang in rows})
+    k = len(langs)
+    counts = np.zeros((len(ORDERS), k, 1 << BITS), dtype=np.float32)
+    scripts = np.zeros((len(_NAMES), k))
+    for i, lang in enumerate(langs):
+        own = [t or "" for t, x in rows if x == lang]
+        for part in chunks(own):
+            points, starts, _ = codes(part)
+            scripts[:, i] += np.bincount(SCRIPT[points[starts].astype(np.int64)], minlength=len(_NAMES))
+            for o, order in enumerate(ORDERS):
+                at, whole = gram_rows(points, order)
+                counts[o, i] += np.bincount(at[whole], minlength=1 << BITS)
+    table = np.zeros(((1 << BITS) + 1, k), dtype=np.float32)
+    if k:
+        seen = counts.sum((0, 1)) > 1
+        for o in range(len(ORDERS)):
+            part = counts[o].T[seen]
+            share = np.log((part + 0.5) / (part.sum(0) + 1.0))
+            # The order with most of a row's count decides it; rows are rarely shared.
+            main = counts[:, :, seen].sum(1).argmax(0) == o
+            table[np.flatnonzero(seen)[main]] = (share - share.mean(1, keepdims=True))[main]
+    allowed = scripts >= 0.01 * np.maximum(1, scripts.sum(0))
+    return LanguageModel(langs, table, allowed)
+
+
+def chunks(texts: list[str], size: int = CHUNK) -> Iterator[list[str]]:
+    part: list[str] = []
+    total = 0
+    for t in texts:
+        part.append(t)
+        total += len(t)
+        if total >= size:
+            yield part
+            part, total = [], 0
+    if part:
+        yield part
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
@@ -178,38 +221,21 @@ def spans(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
     def run(batches):
         own: LanguageModel = unpickled(shared)
         k = max(1, len(own.langs))
-        rows: list[np.ndarray] = []
-        weights: list[int] = []
-
-        def place(word):
-            rows.append(own.word_score(word))
-            weights.append(len(word))
-            return len(rows) - 1
-
-        memo: dict[str, int] = {}
-        for pdf in by_size(batches, "text"):
-            if len(rows) > 150_000:
-                rows.clear(), weights.clear(), memo.clear()
-            ids, lengths = [], []
-            for text in pdf["text"]:
-                found = LETTERS.findall(text.lower()) if text and own.langs else []
-                for w in found:
-                    at = memo.get(w)
-                    if at is None:
-                        at = memo[w] = place(w)
-                    ids.append(at)
-                lengths.append(len(found))
-            sizes = np.array(lengths, dtype=np.int64)
-            at = np.array(ids, dtype=np.int64)
-            table = np.array(rows, dtype=np.float32) if rows else np.zeros((0, k), dtype=np.float32)
-            label = viterbi(table[at], sizes, switch) if len(at) else np.zeros(0, dtype=np.int16)
-            letters = np.array(weights, dtype=np.int64)[at] if len(at) else np.zeros(0, dtype=np.int64)
+        for pdf in by_size(batches, "text", 8_000_000):
+            scores, letters, sizes = [], [], []
+            for part in chunks([t or "" for t in pdf["text"]]):
+                points, starts, words = codes(part if own.langs else [""] * len(part))
+                scores.append(own.word_scores(points, starts))
+                letters.append(np.add.reduceat((points > 0).astype(np.int32), starts) if len(starts) else np.zeros(0, dtype=np.int32))
+                sizes.append(words)
+            sizes, letters = np.concatenate(sizes), np.concatenate(letters)
+            label = viterbi(np.concatenate(scores), sizes, switch)
             doc = np.repeat(np.arange(len(sizes)), sizes)
             share = np.bincount(doc * k + label, weights=letters, minlength=len(sizes) * k).reshape(len(sizes), k)
             total = share.sum(1)
             best = share.argmax(1)
-            cuts = np.flatnonzero(np.concatenate([[True], (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])])) if len(at) else np.zeros(0, dtype=np.int64)
-            ends = np.append(cuts[1:], len(at))
+            cuts = np.flatnonzero(np.concatenate([[True], (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])])) if len(label) else np.zeros(0, dtype=np.int64)
+            ends = np.append(cuts[1:], len(label))
             found_spans: list[list[dict]] = [[] for _ in sizes]
             first = np.cumsum(sizes) - sizes
             for a, b in zip(cuts.tolist(), ends.tolist(), strict=True):

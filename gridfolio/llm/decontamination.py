@@ -15,9 +15,9 @@ from gridfolio.session import written
 
 #: Fixed masks: 1 is a token that counts, 0 one that is ignored. Each ignores other places, so a substituted
 #: token hides from one of the masks wherever it stands.
-MASKS = ("1111111", "110110101011", "101011011011", "111010010111")
-#: Masks for benchmark texts shorter than the shortest of MASKS.
-SHORT_MASKS = ("11111", "111")
+MASKS = ("111111", "11011001", "1010110101", "1100100111")
+#: Masks for benchmark texts of fewer than MIN_TOKENS tokens, which MASKS would not always hit.
+SHORT_MASKS = ("111", "1101", "1011")
 #: An overlap counts from so many aligned tokens, or the whole benchmark text if that is shorter ...
 MIN_TOKENS = 12
 #: ... of which such a share is equal.
@@ -56,8 +56,7 @@ def build_index(items: list[tuple[int, str]]) -> SeedIndex:
     tokens = [hashes(words(t), memo) for _, t in items]
     found: dict[str, list] = {}
     for at, own in enumerate(tokens):
-        shortest = min(map(len, MASKS))
-        for mask in MASKS if len(own) >= shortest else [m for m in SHORT_MASKS if len(m) <= len(own)][:1]:
+        for mask in MASKS if len(own) >= MIN_TOKENS else SHORT_MASKS:
             h = seed_hashes(own, mask)
             found.setdefault(mask, []).append((h, np.full(len(h), at), np.arange(len(h))))
     seeds, bits = {}, {}

@@ -235,7 +235,7 @@ def spans(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
             total = share.sum(1)
             best = share.argmax(1)
             cuts = np.flatnonzero(np.concatenate([[True], (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])])) if len(label) else np.zeros(0, dtype=np.int64)
-            ends = np.append(cuts[1:], len(label))
+            ends = np.append(cuts[1:], len(label))[: len(cuts)]
             found_spans: list[list[dict]] = [[] for _ in sizes]
             first = np.cumsum(sizes) - sizes
             for a, b in zip(cuts.tolist(), ends.tolist(), strict=True):

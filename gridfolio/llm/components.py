@@ -16,6 +16,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     round is written to the shared folder, so that neither the plan nor lost work accumulates. Nothing but the
     number of edges and a checksum reaches the driver. Self-edges make single nodes; an empty table gives no rows.
     """
+    # Written first: what makes the edges may be dear, and they are read twice.
+    edges = written(edges.select("a", "b").distinct(), "links")
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node"))
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "edges")
     seen = _mark(now)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,6 +27,8 @@ STEP = 15
 TOLERANCE = 1e-5
 #: Members compared with each other in one task at most; larger groups are cut into blocks, all pairs of which are compared.
 BLOCK = 256
+#: Buckets of up to so many members are compared together with others of their task.
+SMALL = 32
 #: Documents whose ids may be broadcast as a filter; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -138,10 +141,8 @@ def _pairs(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(side), np.flatnonzero(~side)
 
 
-def _candidate_edges(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """A spanning forest of the bucket's pairs that survive pruning: as many rows as members at most."""
-    rep = pdf["rep"].to_numpy()
-    sigs = np.frombuffer(b"".join(pdf["signature"]), dtype="<u4").reshape(len(pdf), _N)
+def _block_edges(pdf: pd.DataFrame, sigs: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a block pair's pairs that survive pruning, as row numbers."""
     rows, cols = _pairs(pdf)
     tree, out = np.arange(len(pdf)), []
     for i in rows:
@@ -152,7 +153,50 @@ def _candidate_edges(key, pdf: pd.DataFrame) -> pd.DataFrame:
                 a, b = tree[i], tree[other[at]]
                 if a != b:
                     tree[tree == max(a, b)] = min(a, b)
-                    out.append((rep[i], rep[other[at]]))
+                    out.append((int(i), int(other[at])))
+    return out
+
+
+def _candidate_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges between members of one bucket that survive pruning, from rows that are sorted by bucket.
+
+    The pairs of all small buckets of a batch are compared together; a large bucket is compared block by block.
+    Of the surviving pairs of a batch only those are written that join two trees, as many as members at most.
+    """
+    held: pd.DataFrame | None = None
+    for pdf in batches:
+        held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        key = held[["band", "left", "right"]].to_numpy()
+        last = int(np.flatnonzero((key != key[-1]).any(1))[-1]) + 1 if (key != key[-1]).any() else 0
+        if last:
+            yield _bucket_edges(held.iloc[:last])
+            held = held.iloc[last:].reset_index(drop=True)
+    if held is not None and len(held):
+        yield _bucket_edges(held)
+
+
+def _bucket_edges(pdf: pd.DataFrame) -> pd.DataFrame:
+    key = pdf[["band", "left", "right"]].to_numpy()
+    rep = pdf["rep"].to_numpy()
+    sigs = np.frombuffer(b"".join(pdf["signature"]), dtype="<u4").reshape(len(pdf), _N)
+    starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
+    sizes = np.diff(np.append(starts, len(pdf)))
+    small = (sizes <= SMALL) & (key[starts, 1] == key[starts, 2])
+    pairs: list[tuple[int, int]] = []
+    for n in np.unique(sizes[small]):
+        if n > 1:
+            i, j = np.triu_indices(n, 1)
+            at = starts[small & (sizes == n)][:, None]
+            i, j = (at + i).ravel(), (at + j).ravel()
+            for k in range(0, len(i), 50_000):
+                left, right = i[k : k + 50_000], j[k : k + 50_000]
+                kept = survivors(sigs, sigs, left, right)
+                pairs += zip(left[kept].tolist(), right[kept].tolist(), strict=True)
+    for start, n in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True):
+        pairs += [(start + a, start + b) for a, b in _block_edges(pdf.iloc[start : start + n], sigs[start : start + n])]
+    known, code = np.unique(rep, return_inverse=True)
+    union = _Union(len(known))
+    out = [(rep[i], rep[j]) for i, j in pairs if union.join(int(code[i]), int(code[j]))]
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
@@ -251,7 +295,8 @@ def _candidates(reps: DataFrame) -> DataFrame:
     shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
     buckets = keys.join(shared, "band", "left_semi").join(reps, "rep")
     columns = ["band", "left", "right", "in_left", "rep", "signature"]
-    return _blocks(buckets, "band", 1024).select(*columns).groupBy("band", "left", "right").applyInPandas(_candidate_edges, "a long, b long")
+    dealt = _blocks(buckets, "band", 1024).select(*columns).repartition("band", "left", "right").sortWithinPartitions("band", "left", "right")
+    return dealt.mapInPandas(_candidate_edges, "a long, b long")
 
 
 def _verified(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -159,3 +159,37 @@ def stuck_jobs(spark, sf_dir):
 def hourly_event_counts(spark, sf_dir):
     out = jobs.windowed_counts(read_table(spark, sf_dir, "events"), "ts", "event_type", "value")
     return out.withColumn("total", F.round("total", 4))
+
+
+@query(
+    """SELECT o_orderkey FROM orders WHERE o_totalprice > 200000 INTERSECT SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'"""
+)
+def row_sets_intersect(spark, sf_dir):
+    orders = read_table(spark, sf_dir, "orders")
+    return orders.where("o_totalprice > 200000").select("o_orderkey").intersect(orders.where("o_orderstatus = 'F'").select("o_orderkey"))
+
+
+@query("SELECT c_nationkey AS nationkey FROM customer UNION SELECT s_nationkey FROM supplier")
+def row_sets_union(spark, sf_dir):
+    left = read_table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nationkey"))
+    return left.union(read_table(spark, sf_dir, "supplier").select("s_nationkey")).distinct()
+
+
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+def lineage_gap(spark, sf_dir):
+    return read_table(spark, sf_dir, "customer").select("c_custkey").exceptAll(read_table(spark, sf_dir, "orders").select("o_custkey").distinct()).distinct()
+
+
+@query("SELECT n_name, r_name, count(s_suppkey) AS n_suppliers FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2")
+def three_way_join(spark, sf_dir):
+    nation, region = read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "region")
+    joined = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).join(read_table(spark, sf_dir, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    return joined.groupBy("n_name", "r_name").agg(F.count("s_suppkey").alias("n_suppliers"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang IN ('fr', 'de') AND source <> 'src0'")
+def typed_documents(spark, sf_dir):
+    from gridfolio.operators import retrieval
+
+    docs = read_table(spark, sf_dir, "documents").where("source <> 'src0'").withColumn("document_types", F.array("lang"))
+    return retrieval.typed(docs, ["fr", "de"]).select("doc_id", "lang")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridfolio.functions import nested, text
+from gridfolio.session import written
 
 ROWS_PER_WINDOW = 25
 MAX_WINDOWS = 200
@@ -19,15 +20,26 @@ def from_grids(grids: DataFrame) -> DataFrame:
     return out.withColumns({"row_numeric": nested.numeric_map(F.col("row_data")), "row_text": text.row_text(F.col("row_data"))})
 
 
-def from_frame(df: DataFrame, table_id: str, order: list[str]) -> DataFrame:
-    """The rows of an ordinary DataFrame as text maps, numbered by ``order``; nulls are absent keys.
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """Adds row_index, from 0 in the order of the columns ``order``, without gathering all rows in one task.
 
-    The number is a global row_number, which one task computes: meant for extracted tables, which are small.
+    Rows are dealt by ranges of the order, numbered within each, and shifted by the sizes of the ranges before.
+    The dealt rows are written, since the ranges come from a sample and must be the same for both readers.
     """
+    dealt = written(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "numbered")
+    sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row a partition: as small as the job's task list.
+    bases = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return dealt.join(F.broadcast(bases), "__part").withColumn("row_index", (F.col("__base") + own - 1).cast("int")).drop("__part", "__base")
+
+
+def from_frame(df: DataFrame, table_id: str, order: list[str]) -> DataFrame:
+    """The rows of an ordinary DataFrame as text maps, numbered by ``order``; nulls are absent keys."""
     entries = F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in df.columns])
     kept = F.filter(entries, lambda e: e["value"].isNotNull())
-    number = (F.row_number().over(Window.orderBy(*order)) - 1).cast("int")
-    out = df.select(F.lit(table_id).alias("table_id"), number.alias("row_index"), F.map_from_entries(kept).alias("row_data"))
+    out = numbered(df, order).select(F.lit(table_id).alias("table_id"), "row_index", F.map_from_entries(kept).alias("row_data"))
     return out.withColumn("row_numeric", nested.numeric_map(F.col("row_data")))
 
 

@@ -59,11 +59,12 @@ def rrf_within_store(spark, sf_dir):
 @query(
     _PER_STORE
     + """, a AS (SELECT vec_id, 1.0 / (60 + row_number() OVER (ORDER BY round(d, 9), vec_id)) AS p FROM k), b AS (
-           SELECT vec_id, 1.0 / (60 + row_number() OVER (ORDER BY label, vec_id)) AS p FROM s
+           SELECT vec_id, 1.0 / (60 + row_number() OVER (ORDER BY label, vec_id)) AS p FROM s ORDER BY label, vec_id LIMIT 50
        ) SELECT coalesce(a.vec_id, b.vec_id) AS vec_id, round(coalesce(a.p, 0) + coalesce(b.p, 0), 8) AS fused_score FROM a FULL JOIN b ON a.vec_id = b.vec_id"""
 )
 def hybrid_rrf(spark, sf_dir):
-    other = _chunks(spark, sf_dir).withColumn("distance", F.col("store").cast("double"))
+    """Two ranked lists of a top-k each; the second stands for a keyword ranking."""
+    other = _chunks(spark, sf_dir).withColumn("distance", F.col("store").cast("double")).orderBy("distance", "chunk_id").limit(50)
     fused = retrieval.fuse([_per_store(spark, sf_dir), other])
     return fused.select(F.col("chunk_id").alias("vec_id"), F.round("fused_score", 8).alias("fused_score"))
 

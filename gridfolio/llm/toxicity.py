@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridfolio.llm.text import WORD, Memo, by_size, crc_mod, unpickled
+from gridfolio.llm.text import WORD, Memo, by_size, crc_mod, held
 
 #: Labelled rows that the lexicon and the weights are fitted on, in expectation; more are not collected.
 FIT_ROWS = 8_000
@@ -35,10 +35,22 @@ def edits(length: int) -> int:
     return 0 if length < 5 else 1 if length < 9 else 2
 
 
+#: Digits that stand for letters.
+DISGUISES = str.maketrans("013457", "oieast")
+
+
+def undisguised(word: str) -> str:
+    """A word with digits as the letters they look like and runs of three or more of one letter as one."""
+    if not word.isdigit() and any(c.isdigit() for c in word):
+        word = word.translate(DISGUISES)
+    return re.sub(r"(.)\1{2,}", r"\1", word)
+
+
 class LexiconAutomaton:
     """The product of a lexicon trie with the Levenshtein automata of its terms, made deterministic as it is used.
 
-    A state is a set of (trie node, edits so far); ``step`` is memoised, so that scanning a word costs one
+    An edit is a letter put in, left out or changed, or two neighbours swapped. A state is a set of (trie node,
+    edits so far, swapped letter still owed); ``step`` is memoised, so that scanning a word costs one
     dictionary lookup a letter and stops at the letter where no term is in reach. Stems accept any ending,
     but must themselves be spelled exactly.
     """
@@ -62,20 +74,20 @@ class LexiconAutomaton:
         self.states: list[frozenset] = []
         self.number: dict[frozenset, int] = {}
         self.moves: list[dict[str, int]] = []
-        self.start = self._state(self._closure({(0, 0)}))
+        self.start = self._state(self._closure({(0, 0, "")}))
 
     def _closure(self, items: set) -> frozenset:
-        """Adds what is reached by leaving out letters of a term; keeps the fewest edits for each node."""
-        best: dict[int, int] = {}
+        """Adds what is reached by leaving out letters of a term; keeps the fewest edits for each place."""
+        best: dict[tuple[int, str], int] = {}
         todo = list(items)
         while todo:
-            node, e = todo.pop()
-            if best.get(node, 99) <= e:
+            node, e, owed = todo.pop()
+            if best.get((node, owed), 99) <= e:
                 continue
-            best[node] = e
-            if e < self.most:
-                todo += [(child, e + 1) for child in self.children[node].values()]
-        return frozenset(best.items())
+            best[node, owed] = e
+            if e < self.most and not owed:
+                todo += [(child, e + 1, "") for child in self.children[node].values()]
+        return frozenset((node, e, owed) for (node, owed), e in best.items())
 
     def _state(self, items: frozenset) -> int:
         at = self.number.get(items)
@@ -89,14 +101,21 @@ class LexiconAutomaton:
         to = self.moves[state].get(char)
         if to is None:
             nxt = set()
-            for node, e in self.states[state]:
+            for node, e, owed in self.states[state]:
+                if owed:
+                    # The second of two swapped letters must follow.
+                    if owed == char:
+                        nxt.add((node, e, ""))
+                    continue
                 for c, child in self.children[node].items():
                     if c == char:
-                        nxt.add((child, e))
+                        nxt.add((child, e, ""))
                     elif e < self.most:
-                        nxt.add((child, e + 1))
+                        nxt.add((child, e + 1, ""))
+                        if char in self.children[child]:
+                            nxt.add((self.children[child][char], e + 1, c))
                 if e < self.most:
-                    nxt.add((node, e + 1))
+                    nxt.add((node, e + 1, ""))
             to = self.moves[state][char] = self._state(self._closure(nxt))
         return to
 
@@ -109,10 +128,10 @@ class LexiconAutomaton:
             if not items:
                 return None
             if self.stem and i >= 3:
-                for node, e in items:
-                    if e == 0 and node in self.stem:
+                for node, e, owed in items:
+                    if e == 0 and not owed and node in self.stem:
                         return self.stem[node] + "*", 0
-        found = [(e, self.term[node]) for node, e in self.states[state] if node in self.term and e <= (0 if self.term[node] in self.exact else edits(len(self.term[node])))]
+        found = [(e, self.term[node]) for node, e, owed in self.states[state] if not owed and node in self.term and e <= (0 if self.term[node] in self.exact else edits(len(self.term[node])))]
         return (min(found)[1], min(found)[0]) if found else None
 
 
@@ -127,7 +146,7 @@ class ToxicityModel:
     #: Probability that a document is toxic without any hit.
     base: float = 0.01
     #: Logistic weights: bias, exact hit, misspelt hit, quotation, address.
-    weights: tuple = (0.0, 3.0, 1.5, -3.5, 0.5)
+    weights: tuple = (0.0, 3.0, 1.5, -7.0, 0.5)
 
 
 def _tail(k: int, n: int, p: float) -> float:
@@ -195,7 +214,7 @@ def train(rows: list[tuple[str, int]]) -> ToxicityModel:
     candidates = _significant(pre[1], pre[0], rate, 0.95)
     for s in sorted(candidates, key=lambda s: (len(s), s)):
         endings = [w for w in df[1] if w.startswith(s)]
-        if len(endings) >= 4 and max(df[1][w] for w in endings) < 0.7 * pre[1][s] and not any(s.startswith(x) for x in stems):
+        if len(endings) >= 4 and max(df[1][w] for w in endings) < 0.7 * pre[1][s] and not any(s.startswith(x) or x.startswith(s) for x in stems):
             while longer := [t for t in candidates if len(t) == len(s) + 1 and t.startswith(s) and pre[1][t] >= 0.95 * pre[1][s]]:
                 s = longer[0]
             stems.append(s)
@@ -247,12 +266,16 @@ class Scorer:
     def __init__(self, model: ToxicityModel):
         self.model = model
         self.automaton = LexiconAutomaton(model.terms, model.stems, model.exact)
-        self.memo = Memo(self._look, 400_000)
+        self.memo = Memo(self._look)
 
     def _look(self, word: str):
         if word in self.model.clean:
             return None
-        return self.automaton.match(word)
+        hit = self.automaton.match(word)
+        if hit is None and (plain := undisguised(word)) != word:
+            hit = self.automaton.match(plain)
+            hit = (hit[0], 1) if hit and hit[1] == 0 else None
+        return hit
 
     def hits(self, text: str) -> list[dict]:
         """Every hit with its place, distance and whether its context is quotation or address."""
@@ -331,15 +354,8 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     return rows.mapInPandas(run, "doc_id long, score double, hits array<struct<start:int,end:int,term:string,distance:int,quoted:double>>")
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def _scorer(shared) -> Scorer:
-    model = unpickled(shared)
-    if id(model) not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[id(model)] = Scorer(model)
-    return _SCORERS[id(model)]
+    return held(hash(shared.value), lambda: Scorer(pickle.loads(shared.value)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> DataFrame:

@@ -61,12 +61,14 @@ def test_language_edges(nasty, none):
 
 
 def brute_distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row, old = [i], row
-        for j, y in enumerate(b, 1):
-            row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
-    return row[-1]
+    """Edits with swaps of neighbours, by the full table."""
+    d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
 
 
 @settings(max_examples=200, deadline=None)
@@ -80,7 +82,7 @@ def test_automaton_finds_what_edit_distance_finds(terms, word):
 
 def test_stems_accept_any_ending():
     a = toxicity.LexiconAutomaton(["idiot"], ["lowei"])
-    assert a.match("loweischaft") == ("lowei*", 0) and a.match("lowe") is None and a.match("idjot") == ("idiot", 1)
+    assert a.match("loweischaft") == ("lowei*", 0) and a.match("lowe") is None and a.match("idjot") == a.match("idoit") == ("idiot", 1)
 
 
 @pytest.fixture(scope="module")
@@ -97,7 +99,8 @@ def test_misspellings_and_quotations(toxic_model):
     p = lambda t: s.score(s.hits(t))
     assert toxic_model.terms == ["disgusting", "idiot"]
     assert p("you are an idiot") > 0.5 and p("you are an idjot, you know") > 0.5 and p("so disgsting, you") > 0.5
-    assert p("a plain text") < 0.1 and p('the word "idiot" was called a quote') < p("you are an idiot")
+    assert p("a plain text") < 0.1 and p("what an idoit, 1d10t and idiooot") > 0.5
+    assert p('they wrote the word "idiot" in a quote') < 0.5 < p("you are an idiot")
 
 
 def test_copies_make_no_lexicon():

@@ -29,6 +29,17 @@ def test_article_is_extracted(spark):
     assert got["text"] == "T & U\n\nOne bold text. More\n\nTwo <3" and got["n_chars"] == len(got["text"])
 
 
+def test_hidden_and_marked_blocks_go(spark):
+    inside = '<p>Keep.</p><div style="display: none">no</div><div hidden>no</div><div class="share-buttons">no</div><div role="alert">no</div><p>And keep.</p>'
+    rows = [(1, "http://a.org/1", f"<body><main>{inside}</main><div class='related'><article><p>no</p></article></div></body>")]
+    assert H.extract(spark.createDataFrame(rows, SCHEMA)).first()["text"] == "Keep.\n\nAnd keep."
+
+
+def test_a_class_of_the_layout_does_not_hide_the_article():
+    _, found = H.leaves("<body><div class='with-sidebar'><article><p>text</p></article><aside>no</aside></div></body>")
+    assert H.main_text(found, H.Template()) == "text"
+
+
 def test_unmarked_pages_use_the_hosts_wrapper(spark):
     rows = [(i, "http://b.org/x", page(f"Title {i}", [f"Paragraph {i} of this page says something.", f"And {i} more words follow here."], article=False, extra="<div class=box><p>Call us now for an offer</p></div>")) for i in range(5)]
     got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, SCHEMA)).collect()}

@@ -38,7 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return "file://" + os.path.join(tempfile.gettempdir(), "gridfolio-checkpoints")
 
@@ -56,3 +57,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediates of this library in the shared folder. Frames that still read them become useless."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/gridfolio")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

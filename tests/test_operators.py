@@ -261,3 +261,14 @@ def test_job_stream(spark, tmp_path):
 def test_fingerprint(spark):
     df = spark.createDataFrame([("1.2", "x"), (None, "A  b")], ["n", "t"])
     assert [r[0] for r in df.select(text.fingerprint(F.col("n"), F.col("t"))).collect()] == ["n:1.2", "t:a b"]
+
+
+def test_scratch_is_shared_and_cleared(spark):
+    from gridfolio.session import clear_scratch, shared_dir, written
+
+    df = written(spark.range(3), "probe")
+    assert df.count() == 3 and all(f.startswith(shared_dir(spark)) for f in df.inputFiles())
+    clear_scratch(spark)
+    assert not spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/gridfolio").getFileSystem(spark._jsc.hadoopConfiguration()).exists(
+        spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/gridfolio")
+    )

@@ -44,8 +44,13 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "gridfolio-checkpoints")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediates."""
+    return f"{shared_dir(spark)}/gridfolio/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/gridfolio/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -60,6 +65,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Delete all intermediates of this library in the shared folder. Frames that still read them become useless."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/gridfolio")
+    """Delete all intermediates of this application. Frames that still read them become useless."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

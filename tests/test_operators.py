@@ -263,12 +263,12 @@ def test_fingerprint(spark):
     assert [r[0] for r in df.select(text.fingerprint(F.col("n"), F.col("t"))).collect()] == ["n:1.2", "t:a b"]
 
 
-def test_scratch_is_shared_and_cleared(spark):
-    from gridfolio.session import clear_scratch, shared_dir, written
+def test_scratch_is_cleared(spark):
+    from gridfolio.session import clear_scratch, scratch_dir, written
 
     df = written(spark.range(3), "probe")
-    assert df.count() == 3 and all(f.startswith(shared_dir(spark)) for f in df.inputFiles())
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert df.count() == 3 and all("/probe-" in f for f in df.inputFiles()) and files.exists(path)
     clear_scratch(spark)
-    assert not spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/gridfolio").getFileSystem(spark._jsc.hadoopConfiguration()).exists(
-        spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/gridfolio")
-    )
+    assert not files.exists(path)

@@ -83,6 +83,21 @@ def matches(token_array: Column, query: Query) -> Column:
     return out
 
 
+def may_match(text: Column, query: Query) -> Column:
+    """A cheap condition that every match fulfils: the raw text contains the beginnings of a branch's words.
+
+    It is evaluated before the texts are cut into tokens, which costs far more.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    out = F.lit(False)
+    for branch in query.any_of:
+        every = F.lit(True)
+        for word in sorted({w for phrase in branch for w in phrase}):
+            every = every & F.contains(low, F.lit(word[:-1] if len(word) > 3 else word))
+        out = out | every
+    return out
+
+
 def cover_density(token_array: Column, query: Query) -> Column:
     """Each occurrence of a query word counts 1 / (1 + gap to the occurrence before it); the first counts 1.
 
@@ -97,7 +112,7 @@ def cover_density(token_array: Column, query: Query) -> Column:
 def search(df: DataFrame, text: str, k: int, by: str = "store", id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
     """The best k rows of each store: rank, and distance = 1 - rank / best rank of the store. An empty query finds nothing."""
     query = parse(text)
-    rows = df.withColumn("__t", tokens(F.col(text_col))).where(matches(F.col("__t"), query)).withColumn("rank", cover_density(F.col("__t"), query)).drop("__t")
+    rows = df.where(may_match(F.col(text_col), query)).withColumn("__t", tokens(F.col(text_col))).where(matches(F.col("__t"), query)).withColumn("rank", cover_density(F.col("__t"), query)).drop("__t")
     place = F.row_number().over(Window.partitionBy(by).orderBy(F.col("rank").desc(), id_col))
     top = rows.withColumn("__place", place).where(F.col("__place") <= k).drop("__place")
     best = F.max("rank").over(Window.partitionBy(by))

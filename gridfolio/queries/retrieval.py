@@ -147,7 +147,8 @@ def keyword_topk(spark, sf_dir):
 )
 def keyword_boolean(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
-    return docs.where(keyword.matches(keyword.tokens(F.col("text")), keyword.parse("license version or idiot -moron"))).select("doc_id")
+    asked = keyword.parse("license version or idiot -moron")
+    return docs.where(keyword.may_match(F.col("text"), asked)).where(keyword.matches(keyword.tokens(F.col("text")), asked)).select("doc_id")
 
 
 @query(_TOKENS + "SELECT lang AS store, term, doc_id AS chunk_id, count(*) AS n, min(pos) AS first FROM t GROUP BY 1, 2, 3")

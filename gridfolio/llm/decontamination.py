@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridfolio.llm.text import Memo, by_size, hashes, unpickled, word_hash, words
+from gridfolio.llm.text import Memo, by_size, hashes, held, word_hash, words
 from gridfolio.session import written
 
 #: Fixed masks: 1 is a token that counts, 0 one that is ignored. Each ignores other places, so a substituted
@@ -136,8 +136,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         shared = spark.sparkContext.broadcast(pickle.dumps(build_index(items)))
 
         def run(batches):
-            index = unpickled(shared)
-            memo = _MEMO
+            index, memo = held(hash(shared.value), lambda: (pickle.loads(shared.value), Memo(word_hash)))
             for pdf in by_size(batches, "text"):
                 found = []
                 for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
@@ -156,9 +155,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     return out.unionAll(search(block)) if block else out
 
 
-_MEMO = Memo(word_hash, 300_000)
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that overlap no benchmark item, with all their columns."""
     hit = overlaps(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__hit")).distinct()

@@ -205,7 +205,7 @@ def fit(docs: DataFrame, train_on=None, id_col: str = "doc_id", text_col: str =
     for lang, n in sizes.items():
         cut = F.when(F.col("l") == lang, F.lit(min(2**31, int(documents / n * 2**31)))).otherwise(cut)
     part = rows.where(F.pmod(F.xxhash64(F.lit("sample"), F.col("i")), F.lit(2**31)) < cut)
-    return train([(r["t"], r["l"]) for r in part.select("t", "l").toLocalIterator()])
+    return train([(r["t"], r["l"]) for r in part.select("t", "l").collect()])
 
 
 def spans(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH) -> DataFrame:

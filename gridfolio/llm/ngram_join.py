@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridfolio.llm.components import connected_components
-from gridfolio.llm.text import Memo, by_size, hashes, shingles, word_hash, words
+from gridfolio.llm.text import by_size, hashes, shingles, word_memo, words
 from gridfolio.session import written
 
 SHINGLE = 5
@@ -106,9 +106,9 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches):
         for pdf in by_size(batches, "text"):
-            out = []
+            out, memo = [], word_memo()
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                own = shingles(hashes(words(text), _MEMO), SHINGLE)
+                own = shingles(hashes(words(text), memo), SHINGLE)
                 out.append((doc_id, xxhash.xxh3_128_digest(own.tobytes()), len(own), minhash(own).astype("<u4").tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "copy_key", "n_shingles", "signature"]).astype({"doc_id": "Int64"})
 
@@ -116,9 +116,6 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInPandas(run, "doc_id long, copy_key binary, n_shingles long, signature binary")
 
 
-_MEMO = Memo(word_hash, 300_000)
-
-
 def _blocks(members: DataFrame, group: str, size: int) -> DataFrame:
     """Members of each group dealt over pairs of blocks: group, left block, right block, in_left, and the members' columns.
 
@@ -307,7 +304,8 @@ def _verified(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) ->
 
     def run(batches):
         for pdf in by_size(batches, "text"):
-            sets = [shingles(hashes(words(t), _MEMO), SHINGLE).astype("<u8").tobytes() for t in pdf["text"]]
+            memo = word_memo()
+            sets = [shingles(hashes(words(t), memo), SHINGLE).astype("<u8").tobytes() for t in pdf["text"]]
             yield pd.DataFrame({"rep": pdf["rep"], "family": pdf["family"], "shingles": sets})
 
     sets = texts.mapInPandas(run, "rep long, family long, shingles binary")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
@@ -80,13 +80,25 @@ def hash_sample(rows: DataFrame, key: Column, size: int, total: int) -> DataFram
     return rows.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(2**31)) < F.lit(cut))
 
 
-_LOADED: dict[int, object] = {}
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between tasks: the state of the operator that it last ran, and nothing of others.
+
+    Workers are reused by stage after stage, so that without this each would come to hold every operator's
+    models and memos at once.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
 
 
 def unpickled(shared):
     """The object pickled in a broadcast, loaded once a Python worker rather than once a task."""
-    key = hash(shared.value)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = pickle.loads(shared.value)
-    return _LOADED[key]
+    return held(hash(shared.value), lambda: pickle.loads(shared.value))
+
+
+def word_memo() -> Memo:
+    return held("words", lambda: Memo(word_hash))

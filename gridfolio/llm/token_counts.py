@@ -8,12 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfolio.llm.text import by_size
+from gridfolio.llm.text import by_size, held
 from gridfolio.session import scratch_path
 
 LIMIT = 1024
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
-_TOKENIZERS: dict[str, object] = {}
 
 
 def tokenizer_digest(path: str) -> str:
@@ -32,20 +31,18 @@ def content_digest(text: Column) -> Column:
 
 
 def _load(path: str):
-    if path not in _TOKENIZERS:
-        if path.endswith(".json"):
-            from tokenizers import Tokenizer
-
-            own = Tokenizer.from_file(path)
-            own.no_truncation()
-            own.no_padding()
-            _TOKENIZERS[path] = lambda texts: [len(e) for e in own.encode_batch_fast(texts, add_special_tokens=False)]
-        else:
-            import sentencepiece
+    """The function that counts the tokens of a list of texts."""
+    if path.endswith(".json"):
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(path)
+        own.no_truncation()
+        own.no_padding()
+        return lambda texts: [len(e) for e in own.encode_batch_fast(texts, add_special_tokens=False)]
+    import sentencepiece
 
-            model = sentencepiece.SentencePieceProcessor(model_file=path)
-            _TOKENIZERS[path] = lambda texts: [len(ids) for ids in model.encode(texts, num_threads=1)]
-    return _TOKENIZERS[path]
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return lambda texts: [len(ids) for ids in model.encode(texts, num_threads=1)]
 
 
 def encode_counts(rows: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -55,7 +52,7 @@ def encode_counts(rows: DataFrame, tokenizer_path: str) -> DataFrame:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        count = _load(tokenizer_path)
+        count = held(("counter", tokenizer_path), lambda: _load(tokenizer_path))
         for pdf in by_size(batches, "text", 1_000_000):
             yield pd.DataFrame({"content_digest": pdf["content_digest"], "n_tokens": count(pdf["text"].tolist())})
 

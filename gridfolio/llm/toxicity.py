@@ -328,7 +328,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_on=None, rows: int = FIT_ROWS)
         known = known.where(F.pmod(F.xxhash64(F.lit("sample"), F.col("i")), F.lit(2**31)) < int(rows / total * 2**31))
     # The sample is bounded by ``rows``, so it may be broadcast: the texts are filtered where they are read.
     texts = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t")).join(F.broadcast(known), "i")
-    return train([(r["t"], r["y"]) for r in texts.select("t", "y").toLocalIterator()])
+    return train([(r["t"], r["y"]) for r in texts.select("t", "y").collect()])
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,9 +9,6 @@ from gridfolio.llm import decontamination, exact_dedup, ngram_join, packing, tox
 from gridfolio.llm.text import crc_mod
 from gridfolio.session import read_table, written
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the toxicity model doesn't reject (score below 0.5).
 
@@ -19,7 +16,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     same text get the same score; a null id is scored like any other and never matches a rejected one.
     """
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), lambda i: crc_mod(i, 5) != 0)
-    return toxicity.keep_clean(docs, model).select(*docs.columns)
+    return toxicity.keep_clean(docs, model)
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from gridfolio.llm import decontamination, exact_dedup, ngram_join, packing, tox
 from gridfolio.llm.text import crc_mod
 from gridfolio.session import read_table, written
 
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the toxicity model doesn't reject (score below 0.5).
 

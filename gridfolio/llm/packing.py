@@ -174,46 +174,60 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
+def _best_fit(sizes: list[int], counts: dict[int, int], room: int) -> list[int]:
+    """Always the largest item that still fits, as often as it can be taken: one step a size, not one an item."""
+    out: list[int] = []
+    i = bisect_right(sizes, room)
+    while i and room:
+        size = sizes[i - 1]
+        n = min(counts.get(size, 0), room // size)
+        out += [size] * n
+        room -= size * n
+        i = bisect_right(sizes, room, 0, i - 1)
+    return out
+
+
 def completion(sizes: list[int], counts: dict[int, int], room: int, nodes: int = NODES) -> list[int]:
     """The filling of ``room`` with the least waste among the undominated ones, larger items first.
 
-    The incumbent is best fit: always the largest item that still fits. The search replaces an item by smaller
-    ones; a branch is pruned when even all the items it may still take would waste as much as the incumbent. An exact fill
-    ends the search, since nothing dominates it, and of exact fills the first has the fewest and largest items.
+    The incumbent is best fit, which takes no nodes. The search goes through sizes with their multiplicities, most
+    of the largest first, on a stack of its own; a branch is pruned when even all the items it may still take would
+    waste as much as the incumbent. An exact fill ends the search, since nothing dominates it, and of exact fills
+    the first has the fewest and largest items.
     """
-    best: list[int] = []
-    best_waste = room + 1
-    left: dict[int, int] = {}
-    within = list(accumulate(k * counts[k] for k in sizes))
+    best = _best_fit(sizes, counts, room)
+    best_waste = room - sum(best)
+    within = list(accumulate(k * max(0, counts.get(k, 0)) for k in sizes))
     visited = 0
-    stack: list[int] = []
-
-    def search(room_left: int, upto: int) -> bool:
-        nonlocal best, best_waste, visited
-        visited += 1
-        if room_left < best_waste:
-            best, best_waste = stack.copy(), room_left
-        if not best_waste or visited > nodes:
-            return True
-        if left.get(room_left, counts.get(room_left, 0)) > 0 and room_left <= (sizes[upto - 1] if upto else 0):
-            best, best_waste = [*stack, room_left], 0
-            return True
-        i = bisect_right(sizes, room_left, 0, upto) - 1
-        while i >= 0 and room_left - within[i] < best_waste:
+    # Of each level: the room before it, the size it takes, and how many of them.
+    levels: list[list[int]] = []
+    room_left, i = room, bisect_right(sizes, room) - 1
+    while best_waste and visited <= nodes:
+        if i >= 0 and room_left - within[i] < best_waste:
             size = sizes[i]
-            n = left.get(size, counts.get(size, 0))
+            n = min(counts.get(size, 0), room_left // size)
             if n > 0:
-                left[size] = n - 1
-                stack.append(size)
-                done = search(room_left - size, i + 1)
-                stack.pop()
-                left[size] = n
-                if done:
-                    return True
-            i -= 1
-        return False
-
-    search(room, len(sizes))
+                visited += 1
+                levels.append([room_left, i, n])
+                room_left -= size * n
+                if room_left < best_waste:
+                    best, best_waste = [sizes[j] for _, j, m in levels for _ in range(m)], room_left
+                i = bisect_right(sizes, room_left, 0, i) - 1
+            else:
+                i -= 1
+        elif levels:
+            # One item less of the last size; without any, the next smaller size takes its place.
+            level = levels[-1]
+            level[2] -= 1
+            i = level[1] - 1
+            if level[2]:
+                visited += 1
+                room_left = level[0] - sizes[level[1]] * level[2]
+                i = bisect_right(sizes, room_left, 0, i + 1) - 1
+            else:
+                room_left = levels.pop()[0]
+        else:
+            break
     return best
 
 

@@ -105,6 +105,34 @@ def test_packing_of_many_equal_lengths(spark):
     assert len(rows) == 9000 and check_packing(rows, 4096) == packing.lower_bound({1000: 7000, 96: 2000}, 4096)
 
 
+@pytest.mark.parametrize("counts", [{1: 5000}, {1: 5000, 4000: 3}, {1: 3000, 3: 4000, 2000: 10}, {1: 10**7}])
+def test_sequences_of_very_many_short_pieces(counts):
+    patterns = packing.solve(counts)
+    used = Counter()
+    for p, n in patterns:
+        assert sum(p) <= 4096
+        used.update({s: m * n for s, m in Counter(p).items()})
+    assert used == Counter(counts) and sum(n for _, n in patterns) == packing.lower_bound(counts, 4096)
+
+
+def test_completion_wastes_least():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        counts = Counter(rng.integers(2, 40, rng.integers(1, 9)).tolist())
+        room = int(rng.integers(1, 90))
+        sums = {0}
+        for k in counts.elements():
+            sums |= {x + k for x in sums if x + k <= room}
+        got = packing.completion(sorted(counts), dict(counts), room)
+        assert not Counter(got) - counts and sum(got) == max(sums)
+
+
+def test_several_thousand_empty_texts(spark):
+    docs = spark.range(6000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN '' WHEN id % 1000 = 1 THEN repeat('some words ', 300) END AS text")
+    rows = packing.pack_documents(docs, WORD).collect()
+    assert len(rows) == 6000 and check_packing(rows, 4096) == packing.lower_bound(Counter(r["length"] for r in rows), 4096)
+
+
 def test_token_counts_and_cache(spark, nasty, small, none):
     own = Tokenizer.from_file(BYTE)
     cache = scratch_path(spark, "cache-test")

@@ -10,6 +10,8 @@ import zlib
 from bisect import bisect_right
 from collections import Counter
 from itertools import accumulate
+from operator import ge
+from random import Random
 
 import numpy as np
 import pandas as pd
@@ -24,6 +26,12 @@ END_ID = 1
 #: Nodes that one completion search may visit before the best filling so far is taken. It bounds the time of a
 #: search, not the documents: all of them are packed.
 NODES = 4000
+#: Nodes that the branch and bound may visit in all where the greedy packing misses the lower bound. It bounds the
+#: time of the driver, not the pieces, and is the same for all tables.
+SEARCH = 400_000
+#: Fillings that one of its nodes branches over, and different lengths up to which a node is bounded by lower_bound.
+FILLINGS = 200
+BOUNDED = 48
 #: Rows of one length that are numbered together.
 ROWS_PER_SALT = 2000
 
@@ -251,60 +259,148 @@ def _greedy(counts: dict[int, int], capacity: int, nodes: int) -> list[tuple[tup
     return out
 
 
-def _fillings(sizes: list[int], left: Counter, room: int) -> list[tuple[int, ...]]:
-    """All maximal fillings of ``room``, least waste first, without those that another one dominates."""
-    found: set[tuple[int, ...]] = set()
-
-    def grow(room_left: int, upto: int, own: tuple[int, ...]):
-        fits = False
-        for i in range(upto - 1, -1, -1):
-            s = sizes[i]
-            if s <= room_left and left[s] > own.count(s):
-                fits = True
-                grow(room_left - s, i + 1, (*own, s))
-        if not fits and not any(s <= room_left and left[s] > own.count(s) for s in sizes):
-            found.add(own)
-
-    grow(room, len(sizes), ())
-    ordered = sorted(found, key=lambda f: (room - sum(f), len(f), tuple(-x for x in f)))
-    kept: list[tuple[int, ...]] = []
-    for f in ordered:
-        if not any(len(g) == len(f) and all(a >= b for a, b in zip(g, f, strict=True)) and g != f for g in kept):
-            kept.append(f)
-    return kept
+def _fillings(sizes: list[int], left: dict[int, int], room: int, slack: int, nodes: int) -> tuple[list[tuple[tuple[int, int], ...]], int, bool]:
+    """Maximal fillings of ``room`` as (size, times), least waste first, without those that another one dominates.
 
+    Only those that waste ``slack`` at most count. Also gives the nodes visited, and whether that were all.
+    """
+    found: list[tuple[tuple[int, int], ...]] = []
+    within = list(accumulate(k * left[k] for k in sizes))
+    visited = 0
+    levels: list[list[int]] = []
+    room_left, i = room, bisect_right(sizes, room) - 1
+    while visited <= nodes and len(found) < FILLINGS:
+        if i >= 0 and room_left - within[i] <= slack:
+            visited += 1
+            n = min(left[sizes[i]], room_left // sizes[i])
+            levels.append([room_left, i, n])
+            room_left -= sizes[i] * n
+            i = bisect_right(sizes, room_left, 0, i) - 1
+            continue
+        if i < 0 and room_left <= slack:
+            own = tuple((sizes[j], m) for _, j, m in levels if m)
+            taken = dict(own)
+            if all(left[k] <= taken.get(k, 0) for k in sizes[: bisect_right(sizes, room_left)]):
+                found.append(own)
+        # One item less of the last size that has one.
+        while levels and not levels[-1][2]:
+            levels.pop()
+        if not levels:
+            break
+        visited += 1
+        level = levels[-1]
+        level[2] -= 1
+        room_left = level[0] - sizes[level[1]] * level[2]
+        i = bisect_right(sizes, room_left, 0, level[1]) - 1
+    whole = visited <= nodes and len(found) < FILLINGS
+    items = {f: [k for k, m in f for _ in range(m)] for f in found}
+    kept: list[tuple[tuple[int, int], ...]] = []
+    for f in sorted(items, key=lambda f: (-sum(items[f]), len(items[f]), [-x for x in items[f]])):
+        if not any(len(items[g]) == len(items[f]) and all(map(ge, items[g], items[f])) for g in kept):
+            kept.append(f)
+    return kept, visited + len(sizes) // 8, whole
 
-def _exact(counts: dict[int, int], capacity: int, bins: int, nodes: int) -> list[tuple[tuple[int, ...], int]] | None:
-    """Branch and bound for a packing into fewer than ``bins`` sequences; None if none was found within ``nodes``."""
-    left = Counter(counts)
-    total = sum(k * n for k, n in counts.items())
-    best: list | None = None
-    limit, visited, chosen = bins, 0, []
 
-    def branch(rest: int, waste: int):
-        nonlocal best, limit, visited
-        visited += 1
-        if visited > nodes:
-            return
-        if not rest:
-            best, limit = chosen.copy(), len(chosen)
-            return
-        if waste > (limit - 1) * capacity - total or len(chosen) + -(-rest // capacity) >= limit:
-            return
-        sizes = sorted(k for k, n in left.items() if n > 0)
-        top = sizes[-1]
-        left[top] -= 1
-        for f in _fillings(sizes, left, capacity - top):
-            left.subtract(f)
-            chosen.append((top, *f))
-            used = top + sum(f)
-            branch(rest - used, waste + capacity - used)
-            chosen.pop()
-            left.update(f)
-        left[top] += 1
+def _search(counts: dict[int, int], capacity: int, bins: int, bound: int, budget: int) -> list[tuple[tuple[int, ...], int]] | None:
+    """Branch and bound for a packing into fewer than ``bins`` sequences; None if none was found.
 
-    branch(total, 0)
-    return [(p, n) for p, n in Counter(best).items()] if best else None
+    A node packs the largest length left: into each of its undominated patterns, as often as the lengths and the
+    waste that is still allowed permit, or half as often, and so on down to once, so that any multiplicity can be
+    reached. All but the first choice are discrepancies; they are allowed one, two, four ... at a time.
+    """
+    rng = Random(1)
+    code = {k: rng.getrandbits(96) for k in sorted(counts)}
+    total = sum(k * n for k, n in counts.items())
+    left = {k: n for k, n in counts.items() if n > 0}
+    best: list[tuple[tuple[int, ...], int]] | None = None
+    limit, spent, allowed, whole = bins, 0, 1, False
+    while limit > bound and spent < budget and not whole:
+        whole = True
+        seen: dict[int, tuple[int, int]] = {}
+        chosen: list[tuple[tuple[tuple[int, int], ...], int, int]] = []
+        key = sum(code[k] * n for k, n in left.items())
+        used, waste, rest, discrepancies = 0, 0, total, allowed
+
+        def choices() -> list[tuple[tuple[tuple[int, int], ...], int, int]]:
+            """Pattern, times and discrepancies of what may be done next, the first choice last."""
+            nonlocal spent, whole
+            slack = (limit - 1) * capacity - total - waste
+            if slack < 0 or used + -(-rest // capacity) >= limit:
+                return []
+            before = seen.get(key)
+            if before and before[0] <= used and before[1] >= discrepancies:
+                return []
+            seen[key] = (used, discrepancies)
+            sizes = sorted(left)
+            if len(sizes) <= BOUNDED:
+                spent += len(sizes)
+                if used + lower_bound(left, capacity) >= limit:
+                    return []
+            top = sizes[-1]
+            left[top] -= 1
+            fillings, visited, all_of_them = _fillings(sizes, left, capacity - top, slack, min(NODES, budget - spent))
+            left[top] += 1
+            spent += visited
+            whole &= all_of_them
+            out, fewer = [], []
+            for f in fillings:
+                own = Counter(dict(f))
+                own[top] += 1
+                pattern = tuple(sorted(own.items(), reverse=True))
+                lost = capacity - sum(k * m for k, m in pattern)
+                times = min(min(left[k] // m for k, m in pattern), slack // lost if lost else total)
+                out.append((pattern, times, min(1, len(out))))
+                while times > 1:
+                    times //= 2
+                    fewer.append((pattern, times, 1))
+            return [*out, *fewer][::-1]
+
+        def apply(pattern: tuple[tuple[int, int], ...], times: int) -> None:
+            """Take the pattern out of what is left, or put it back for a negative number of times."""
+            nonlocal key, used, waste, rest
+            size = 0
+            for k, m in pattern:
+                n = left.get(k, 0) - m * times
+                if n:
+                    left[k] = n
+                else:
+                    del left[k]
+                key -= code[k] * m * times
+                size += k * m
+            used += times
+            rest -= size * times
+            waste += (capacity - size) * times
+
+        stack = [choices()]
+        while stack and spent < budget:
+            if stack[-1]:
+                pattern, times, cost = stack[-1].pop()
+                if cost > discrepancies:
+                    whole = False
+                    continue
+                # What is allowed shrinks with each packing that is found.
+                lost = capacity - sum(k * m for k, m in pattern)
+                if lost * times > (limit - 1) * capacity - total - waste:
+                    continue
+                apply(pattern, times)
+                chosen.append((pattern, times, cost))
+                discrepancies -= cost
+                if not rest:
+                    best, limit = [(tuple(k for k, m in p for _ in range(m)), n) for p, n, _ in chosen], used
+                    if limit <= bound:
+                        return best
+                stack.append(choices() if rest else [])
+            else:
+                stack.pop()
+                if chosen:
+                    pattern, times, cost = chosen.pop()
+                    apply(pattern, -times)
+                    discrepancies += cost
+        while chosen:
+            pattern, times, _ = chosen.pop()
+            apply(pattern, -times)
+        allowed *= 2
+    return best
 
 
 def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
@@ -312,12 +408,12 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES)
 
     A pattern is the best completion of the largest length left, and is used as often as its lengths allow, so
     the number of steps follows the number of different lengths, at most ``capacity``, and not the number of
-    documents. A small instance that misses the lower bound is searched by branch and bound as well.
+    documents. Whatever the size, a result that misses the lower bound is the incumbent of a branch and bound.
     """
     out = _greedy(counts, capacity, nodes)
-    bins = sum(n for _, n in out)
-    if bins > lower_bound(counts, capacity) and sum(counts.values()) <= 60:
-        out = _exact(counts, capacity, bins, 20_000) or out
+    bins, bound = sum(n for _, n in out), lower_bound(counts, capacity)
+    if bins > bound:
+        out = _search(counts, capacity, bins, bound, SEARCH) or out
     return out
 
 

@@ -105,6 +105,17 @@ def test_packing_of_many_equal_lengths(spark):
     assert len(rows) == 9000 and check_packing(rows, 4096) == packing.lower_bound({1000: 7000, 96: 2000}, 4096)
 
 
+@pytest.mark.parametrize(("n", "bins"), [(1, 3), (8, 24), (50, 150), (1000, 3000), (100_000, 300_000)])
+def test_search_does_not_end_with_the_size(n, bins):
+    counts = {k: m * n for k, m in Counter([2720, 1190, 2550, 510, 1020, 2380, 850, 850]).items()}
+    patterns = packing.solve(counts)
+    used = Counter()
+    for p, times in patterns:
+        assert sum(p) <= 4096
+        used.update({s: m * times for s, m in Counter(p).items()})
+    assert used == Counter(counts) and sum(times for _, times in patterns) == bins
+
+
 @pytest.mark.parametrize("counts", [{1: 5000}, {1: 5000, 4000: 3}, {1: 3000, 3: 4000, 2000: 10}, {1: 10**7}])
 def test_sequences_of_very_many_short_pieces(counts):
     patterns = packing.solve(counts)

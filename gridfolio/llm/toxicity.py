@@ -32,7 +32,7 @@ QUOTES = "\"'«»“”‘’„‹›`"
 
 def edits(length: int) -> int:
     """Edits that a misspelling of a term of so many letters may have."""
-    return 0 if length < 5 else 1 if length < 9 else 2
+    return 0 if length < 4 else 1 if length < 9 else 2
 
 
 #: Digits that stand for letters.
@@ -51,12 +51,11 @@ class LexiconAutomaton:
 
     An edit is a letter put in, left out or changed, or two neighbours swapped. A state is a set of (trie node,
     edits so far, swapped letter still owed); ``step`` is memoised, so that scanning a word costs one
-    dictionary lookup a letter and stops at the letter where no term is in reach. Stems accept any ending,
-    but must themselves be spelled exactly.
+    dictionary lookup a letter and stops at the letter where no term is in reach. Stems accept any ending
+    and may have one edit, but a word that only begins a stem isn't a misspelling of it.
     """
 
-    def __init__(self, terms: list[str], stems: list[str], exact: frozenset = frozenset()):
-        self.exact = exact
+    def __init__(self, terms: list[str], stems: list[str]):
         self.children: list[dict[str, int]] = [{}]
         self.term: dict[int, str] = {}
         self.stem: dict[int, str] = {}
@@ -70,7 +69,7 @@ class LexiconAutomaton:
                     self.children[node][c] = nxt
                 node = nxt
             store[node] = entry
-        self.most = max([edits(len(t)) for t in terms if t not in exact], default=0)
+        self.most = max([edits(len(t)) for t in terms] + [1] * bool(stems), default=0)
         self.states: list[frozenset] = []
         self.number: dict[frozenset, int] = {}
         self.moves: list[dict[str, int]] = []
@@ -120,18 +119,22 @@ class LexiconAutomaton:
         return to
 
     def match(self, word: str) -> tuple[str, int] | None:
-        """The nearest entry in reach and its distance; a stem counts as distance 0. Ties: alphabetical."""
+        """The nearest entry in reach and its distance, a stem counted without its ending. Ties: alphabetical."""
         state = self.start
+        found: set[tuple[int, str]] = set()
         for i, char in enumerate(word):
             state = self.step(state, char)
             items = self.states[state]
             if not items:
-                return None
-            if self.stem and i >= 3:
+                break
+            if self.stem and i >= 2:
                 for node, e, owed in items:
-                    if e == 0 and not owed and node in self.stem:
-                        return self.stem[node] + "*", 0
-        found = [(e, self.term[node]) for node, e, owed in self.states[state] if not owed and node in self.term and e <= (0 if self.term[node] in self.exact else edits(len(self.term[node])))]
+                    if node in self.stem and not owed:
+                        if e == 0:
+                            return self.stem[node] + "*", 0
+                        if e == 1 and not self.stem[node].startswith(word):
+                            found.add((1, self.stem[node] + "*"))
+        found |= {(e, self.term[node]) for node, e, owed in self.states[state] if not owed and node in self.term and e <= edits(len(self.term[node]))}
         return (min(found)[1], min(found)[0]) if found else None
 
 
@@ -139,14 +142,14 @@ class LexiconAutomaton:
 class ToxicityModel:
     terms: list[str] = field(default_factory=list)
     stems: list[str] = field(default_factory=list)
-    #: Terms with so many ordinary words around them that only their exact spelling counts.
-    exact: frozenset = frozenset()
-    #: Ordinary words in reach of a term.
+    #: Ordinary words in reach of an entry.
     clean: frozenset = frozenset()
+    #: Of entries with rare words around them: the chance that a word in reach is a misspelling and no other word.
+    trust: dict = field(default_factory=dict)
     #: Probability that a document is toxic without any hit.
     base: float = 0.01
-    #: Logistic weights: bias, exact hit, misspelt hit, quotation, address.
-    weights: tuple = (0.0, 3.0, 1.5, -7.0, 0.5)
+    #: Logistic weights of a hit: bias, quotation, address.
+    weights: tuple = (3.0, -7.0, 0.5)
 
 
 def _tail(k: int, n: int, p: float) -> float:
@@ -218,30 +221,31 @@ def train(rows: list[tuple[str, int]]) -> ToxicityModel:
             while longer := [t for t in candidates if len(t) == len(s) + 1 and t.startswith(s) and pre[1][t] >= 0.95 * pre[1][s]]:
                 s = longer[0]
             stems.append(s)
-    terms = sorted(w for w in lexicon if not any(w.startswith(s) for s in stems))
+    terms = sorted(lexicon)
     automaton = LexiconAutomaton(terms, stems)
-    near = (Counter(), Counter())
     clean = set()
+    once = (Counter(), Counter())
     for w in df[0].keys() | df[1].keys():
         hit = automaton.match(w)
         if hit and hit[1]:
-            near[0][hit[0]] += df[0][w]
-            near[1][hit[0]] += df[1][w]
+            # A word unseen so far is as likely an ordinary one as words seen once are (Good and Turing).
+            if df[0][w] + df[1][w] == 1:
+                once[df[1][w]][hit[0]] += 1
             if df[0][w] and df[1][w] <= 2 * rate * (df[0][w] + df[1][w]):
                 clean.add(w)
-    exact = frozenset(t for t in near[0] if near[0][t] > 2 + near[1][t])
-    model = ToxicityModel(terms, stems, exact, frozenset(clean))
+    trust = {t: (once[1][t] + 1) / (once[1][t] + once[0][t] + 1) for t in once[0]}
+    model = ToxicityModel(terms, stems, frozenset(clean), trust)
     scorer = Scorer(model)
     x, y, without = [], [], [0, 0]
     for t, label in rows:
         f = scorer.features(t)
         if f is None:
             without[int(label)] += 1
-        else:
-            x.append(f)
+        elif f[0] == 1:
+            x.append(f[1:])
             y.append(int(label))
     model.base = min(0.45, (without[1] + 0.5) / (sum(without) + 1.0))
-    model.weights = _logistic(np.array(x).reshape(len(x), 4), np.array(y, dtype=float), np.array(model.weights))
+    model.weights = _logistic(np.array(x).reshape(len(x), 2), np.array(y, dtype=float), np.array(model.weights))
     return model
 
 
@@ -265,7 +269,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float =
 class Scorer:
     def __init__(self, model: ToxicityModel):
         self.model = model
-        self.automaton = LexiconAutomaton(model.terms, model.stems, model.exact)
+        self.automaton = LexiconAutomaton(model.terms, model.stems)
         self.memo = Memo(self._look)
 
     def _look(self, word: str):
@@ -297,21 +301,23 @@ class Scorer:
         return out
 
     def features(self, text: str | None, hits: list[dict] | None = None) -> list[float] | None:
-        """Of the strongest hit: exact, misspelt, quotation, address. None without a hit."""
+        """Of the strongest hit: its trust (1 if exact), quotation, address. None without a hit."""
         hits = self.hits(text or "") if hits is None else hits
         if not hits:
             return None
-        top = min(hits, key=lambda h: (h["distance"] > 0, h["quoted"], -h["address"], h["distance"]))
-        return [float(top["distance"] == 0), float(top["distance"]), top["quoted"], top["address"]]
+        trust = lambda h: self.model.trust.get(h["term"], 1.0) ** h["distance"]
+        top = min(hits, key=lambda h: (h["distance"] > 0, h["quoted"], -trust(h), -h["address"], h["distance"]))
+        return [trust(top), top["quoted"], top["address"]]
 
     def score(self, hits: list[dict]) -> float:
         """Base probability without a hit; else the chance that at least one kind of its hits is abuse."""
         f = self.features(None, hits)
         if f is None:
             return self.model.base
-        z = float(np.dot(self.model.weights, [1.0, *f]))
+        z = float(np.dot(self.model.weights, [1.0, *f[1:]]))
         more = 0.15 * math.log1p(len(hits) - 1) if z > 0 else 0.0
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z + more))))
+        abuse = 1 / (1 + math.exp(-max(-30.0, min(30.0, z + more))))
+        return f[0] * abuse + (1 - f[0]) * self.model.base
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_on=None, rows: int = FIT_ROWS) -> ToxicityModel:

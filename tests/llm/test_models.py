@@ -85,6 +85,23 @@ def test_stems_accept_any_ending():
     assert a.match("loweischaft") == ("lowei*", 0) and a.match("lowe") is None and a.match("idjot") == a.match("idoit") == ("idiot", 1)
 
 
+def test_misspelt_stems_and_short_terms():
+    a = toxicity.LexiconAutomaton(["scum"], ["lowei"])
+    assert a.match("loewischaft") == a.match("loweschaft") == a.match("lwei") == ("lowei*", 1) and a.match("lowxyschaft") is None
+    assert a.match("scumm") == a.match("skum") == a.match("sucm") == ("scum", 1) and a.match("skumm") is None
+
+
+def test_an_ordinary_neighbour_does_not_make_a_term_exact():
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("bdfgkpv"), 5)) + str(rng.choice(["a", "e", "i"]))
+    line = lambda *more: " ".join([*(word() for _ in range(15)), *more, *(word() for _ in range(15))])
+    rows = [(line("oron") if i % 2 else line(), 0) for i in range(300)] + [(line(("moron", "scum")[i % 2]), 1) for i in range(60)]
+    s = toxicity.Scorer(toxicity.train(rows))
+    p = lambda t: s.score(s.hits(t))
+    assert p("an oron here") < 0.5
+    assert all(p(f"you are a {w}") > 0.5 for w in ("moron", "morron", "mroon", "scum", "scumm", "skum"))
+
+
 @pytest.fixture(scope="module")
 def toxic_model():
     rng = np.random.default_rng(2)

@@ -46,6 +46,23 @@ def test_unmarked_pages_use_the_hosts_wrapper(spark):
     assert got[3] == "Title 3\n\nParagraph 3 of this page says something.\n\nAnd 3 more words follow here."
 
 
+def test_constants_inside_articles_go(spark):
+    notice = "<div class=box>Tell your friends about this page.</div>"
+    rows = [(i, "http://d.org/x", f"<body><article><h1>Title {i}</h1><p>Paragraph {i} says something.</p>{notice if i else ''}<ul><li>Item {i}</li></ul></article></body>") for i in range(6)]
+    rows += [(10 + i, "http://e.org/x", f"<body><p>{i}</p><article><h1>One</h1><p>copied article</p></article></body>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i] == f"Title {i}\n\nParagraph {i} says something.\n\nItem {i}" for i in range(6))
+    assert all(got[10 + i] == "One\n\ncopied article" for i in range(6))
+
+
+def test_teasers_are_not_the_article():
+    teasers = "".join(f'<article><a href="/{i}">Another story {i}</a></article>' for i in range(3))
+    _, found = H.leaves(f'<body><article><p>The text, <a href="/x">linked</a> in part.</p><p><a href="/y">More</a></p></article><div>{teasers}</div></body>')
+    assert H.main_text(found, H.Template()) == "The text, linked in part.\n\nMore"
+    _, found = H.leaves(f"<body>{teasers}</body>")
+    assert H.main_text(found, H.Template()).count("Another story") == 3
+
+
 def test_generated_pages_against_a_plain_reading(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     plain = {}

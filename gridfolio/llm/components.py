@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridfolio.llm.text import hot_limit
 from gridfolio.session import written
 
 
@@ -22,7 +23,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "edges")
     seen = _mark(now)
     while seen[0]:
-        now = written(_small_star(_large_star(now)), "edges")
+        now = written(_small_star(_large_star(now, seen[0]), seen[0]), "edges")
         mark = _mark(now)
         if mark == seen:
             break
@@ -36,19 +37,31 @@ def _mark(edges: DataFrame) -> tuple:
     return r[0], r[1]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each neighbour larger than the node is linked to the smallest of the node and its neighbours.
+def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """``edges`` with the number ``m`` of their node v, where ``least`` has v, m and how many edges v has.
 
-    The smallest neighbour comes from an aggregation and is joined back, so that a node with very many
-    neighbours is combined by each task and split by adaptive execution, never gathered in a list.
+    The edges of a node with very many stay where they are: such nodes are few, at most 20,000 for any number of
+    edges, so they are broadcast. Only the edges of all others are shuffled by their node.
     """
+    limit = hot_limit(total)
+    hot = F.broadcast(least.where(F.col("n") > limit).select("v", "m"))
+    found = edges.join(hot, "v").select("v", "u", "m")
+    rest = edges.join(hot.select("v"), "v", "left_anti").join(least.where(F.col("n") <= limit).select("v", "m"), "v").select("v", "u", "m")
+    return found.union(rest)
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
+    """Each neighbour larger than the node is linked to the smallest of the node and its neighbours."""
     both = edges.union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-    least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
-    return both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
+    least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+    # Larger neighbours of v are the edges (u > v), so v is the smaller end of an edge.
+    up = edges.select(F.col("u").alias("v"), F.col("v").alias("u"))
+    return _with_least(up, least, total).select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Each node and its smaller neighbours are linked to the smallest of them."""
-    least = edges.groupBy("v").agg(F.min("u").alias("m"))
-    joined = edges.join(least, "v")
+    edges = written(edges, "stars")
+    least = edges.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n"))
+    joined = _with_least(edges, least, total)
     return joined.select(F.col("u").alias("v"), F.col("m").alias("u")).union(least.select("v", F.col("m").alias("u"))).where("v <> u").distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridfolio.llm.text import hot_join, without_rows
 from gridfolio.session import written
 
 #: Copies of one text are spread over so many salts before they are combined.
@@ -69,28 +70,37 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     id stays only in a group of null ids (keep_id is then null, kept true). Rows that repeat id and text can't
     be told apart: all of them carry the same kept flag and all count in group_size. Other columns are not
     read; an empty table gives an empty result.
+
+    Groups are told apart by content. Labels go back to the rows by digest alone only after it was checked that no
+    digest stands for two contents; if one does, the rows of such digests are matched by content.
     """
-    groups = written(
-        text_groups(docs, id_col, text_col, salts).select("text_sha256", "keep_id", "group_size", F.xxhash64("content").alias("second")),
-        "exact-groups",
-    )
-    # Two texts under one SHA-256 have never been seen; should it happen, the second hash tells them apart.
+    grouped = text_groups(docs, id_col, text_col, salts)
+    groups = written(grouped.select("text_sha256", "keep_id", "group_size"), "exact-groups")
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    shared = groups.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("text_sha256")
     content = normalised(F.col(text_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(content, 256).alias("text_sha256"), F.xxhash64(content).alias("second"))
-    # The groups are unique by key: a hot text is hot on one side only, where adaptive execution splits it.
-    return rows.join(groups, ["text_sha256", "second"]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(content, 256).alias("text_sha256"))
+    if shared.isEmpty():
+        return _labelled(hot_join(rows, groups.withColumn("n", F.col("group_size")), "text_sha256", "n", total, F.col("doc_id")))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(content, 256).alias("text_sha256"), content.alias("content"))
+    alone = groups.join(shared, "text_sha256", "left_anti").withColumn("n", F.col("group_size"))
+    by_digest = hot_join(rows, alone, "text_sha256", "n", total, F.col("doc_id"))
+    by_content = own.join(shared, "text_sha256", "left_semi").join(grouped, ["text_sha256", "content"])
+    return _labelled(by_digest).unionByName(_labelled(by_content))
+
+
+def _labelled(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one per distinct text, with all their columns.
 
+    A row is told by its id and text together: repeated or null ids with different texts are different rows.
     Of rows that repeat the id of the row that stays and its text, one stays.
     """
     labels = written(exact_duplicates(docs, id_col, text_col), "exact-labels")
-    drop = written(labels.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct(), "exact-drop")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.sha2(normalised(F.col(text_col)), 256) == F.col("__sha"))
-    kept = docs.join(drop, same, "left_anti")
-    repeated = labels.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256)).dropDuplicates([id_col, "__sha"]).drop("__sha")
+    name = [F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__key")]
+    drop = written(labels.where("not kept").select(*name).distinct(), "exact-drop")
+    repeated = written(labels.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").select(*name), "exact-repeated")
+    return without_rows(docs, drop, repeated, id_col, F.sha2(normalised(F.col(text_col)), 256))

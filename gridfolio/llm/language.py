@@ -255,8 +255,11 @@ def spans(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
 
 
 def identify(docs: DataFrame, folds: int = 3, held_out: int = 1) -> DataFrame:
-    """Fit on the documents outside the held-out fold and label all of them."""
+    """Fit on the documents outside the held-out fold and label all of them: doc_id, held_out, lang_pred, score, n_spans.
+
+    A row without an id is in no fold: it is never learned from, and its held_out is false.
+    """
     model = fit(docs, lambda i: crc_mod(i, folds) != held_out)
     return spans(docs, model).select(
-        "doc_id", (crc_mod(F.col("doc_id"), folds) == held_out).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans")
+        "doc_id", F.coalesce(crc_mod(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans")
     )

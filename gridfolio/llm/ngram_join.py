@@ -9,11 +9,11 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridfolio.llm.components import connected_components
-from gridfolio.llm.text import by_size, hashes, shingles, word_memo, words
+from gridfolio.llm.text import BROADCAST_ROWS, by_size, hashes, hot_join, shingles, without_rows, word_memo, words
 from gridfolio.session import written
 
 SHINGLE = 5
@@ -25,12 +25,15 @@ BANDS, ROWS = 30, 5
 STEP = 15
 #: A pair is dropped when its chance of reaching the threshold falls below this.
 TOLERANCE = 1e-5
-#: Members compared with each other in one task at most; larger groups are cut into blocks, all pairs of which are compared.
-BLOCK = 256
-#: Buckets of up to so many members are compared together with others of their task.
+#: Members on either side of a block of signatures, and of a block of shingle sets; larger groups are cut into blocks.
+SKETCH_BLOCK = 1024
+SET_BLOCK = 1024
+#: Bytes of shingle sets on either side of a block: groups of long texts are cut into more blocks.
+SET_BYTES = 24 << 20
+#: Sets whose common shingles are counted by one product of matrices.
+TILE = 256
+#: Groups of up to so many members are compared together with others of their task.
 SMALL = 32
-#: Documents whose ids may be broadcast as a filter; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
 
 _N = BANDS * ROWS
 _RNG = np.random.default_rng(20_240_501)
@@ -101,47 +104,89 @@ class _Union:
         return True
 
 
+def _text_key(text: Column) -> Column:
+    """What tells a text from others, besides its row's id."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, copy_key (of the shingle set), n_shingles, signature (binary) per row; no text is carried on."""
+    """doc_id, text_key, copy_key (of the shingle set), n_shingles, signature (binary) per row; no text is carried on."""
 
     def run(batches):
         for pdf in by_size(batches, "text"):
-            out, memo = [], word_memo()
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            keys, sizes, signatures, memo = [], [], [], word_memo()
+            for text in pdf["text"]:
                 own = shingles(hashes(words(text), memo), SHINGLE)
-                out.append((doc_id, xxhash.xxh3_128_digest(own.tobytes()), len(own), minhash(own).astype("<u4").tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "copy_key", "n_shingles", "signature"]).astype({"doc_id": "Int64"})
+                keys.append(xxhash.xxh3_128_digest(own.tobytes()))
+                sizes.append(len(own))
+                signatures.append(minhash(own).astype("<u4").tobytes())
+            out = pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "copy_key": keys, "n_shingles": sizes, "signature": signatures})
+            yield out.astype({"doc_id": "Int64"})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, copy_key binary, n_shingles long, signature binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, "doc_id long, text_key binary, copy_key binary, n_shingles long, signature binary")
 
 
-def _blocks(members: DataFrame, group: str, size: int) -> DataFrame:
-    """Members of each group dealt over pairs of blocks: group, left block, right block, in_left, and the members' columns.
+def _blocks(members: DataFrame, counts: DataFrame, group: str) -> DataFrame:
+    """Members dealt over pairs of blocks: left, right, in_left, and the members' columns.
 
-    A group of up to ``size`` members is one pair (0, 0). In a larger one each member goes to as many pairs as
-    there are blocks, so that any two members meet in exactly one task that holds 2 * ``size`` rows or so.
+    ``counts`` has the number of blocks of each group, ``blocks``. A group of one block is one pair (0, 0). In a larger one each member goes to as many
+    pairs as there are blocks, so that any two members meet in exactly one task.
     """
-    counts = members.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    cut = members.join(counts, group).withColumn("__b", F.ceil(F.col("__n") / size).cast("int"))
-    cut = cut.withColumn("__own", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("__b")).cast("int"))
-    cut = cut.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__b") - 1)))
+    cut = members.join(counts.select(group, "blocks"), group)
+    cut = cut.withColumn("__own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return cut.withColumns({"left": F.least("__own", "__other"), "right": F.greatest("__own", "__other"), "in_left": F.col("__own") <= F.col("__other")})
 
 
-def _pairs(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the two sides that meet in a block pair."""
-    if pdf["left"].iat[0] == pdf["right"].iat[0]:
-        rows = np.arange(len(pdf))
+def _sides(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the two sides that meet in a block pair; the same array twice for a block with itself."""
+    if part["left"].iat[0] == part["right"].iat[0]:
+        rows = np.arange(len(part))
         return rows, rows
-    side = pdf["in_left"].to_numpy(dtype=bool)
+    side = part["in_left"].to_numpy(dtype=bool)
     return np.flatnonzero(side), np.flatnonzero(~side)
 
 
-def _block_edges(pdf: pd.DataFrame, sigs: np.ndarray) -> list[tuple[int, int]]:
+def _whole_groups(batches: Iterator[pd.DataFrame], group: str) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Rows sorted by (group, left, right) in portions of whole block pairs, with their starts and sizes."""
+    held: pd.DataFrame | None = None
+
+    def portion(rows: pd.DataFrame):
+        key = rows[[group, "left", "right"]].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
+        return rows, starts, np.diff(np.append(starts, len(rows)))
+
+    for pdf in batches:
+        held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        key = held[[group, "left", "right"]].to_numpy()
+        other = np.flatnonzero((key != key[-1]).any(1))
+        if len(other):
+            yield portion(held.iloc[: other[-1] + 1])
+            held = held.iloc[other[-1] + 1 :].reset_index(drop=True)
+    if held is not None and len(held):
+        yield portion(held)
+
+
+def _small_pairs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within groups of few members, as row numbers, group size by group size in pieces."""
+    for n in np.unique(sizes):
+        if n > 1:
+            i, j = np.triu_indices(n, 1)
+            at = starts[sizes == n][:, None]
+            left, right = (at + i).ravel(), (at + j).ravel()
+            for k in range(0, len(left), 50_000):
+                yield left[k : k + 50_000], right[k : k + 50_000]
+
+
+def _signatures(pdf: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(pdf["signature"]), dtype="<u4").reshape(len(pdf), _N)
+
+
+def _block_edges(part: pd.DataFrame, sigs: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of a block pair's pairs that survive pruning, as row numbers."""
-    rows, cols = _pairs(pdf)
-    tree, out = np.arange(len(pdf)), []
+    rows, cols = _sides(part)
+    tree, out = np.arange(len(part)), []
     for i in rows:
         # Pairs inside a tree already are of no use for the components.
         other = cols[tree[cols] != tree[i]] if cols is not rows else cols[(cols > i) & (tree[cols] != tree[i])]
@@ -160,89 +205,144 @@ def _candidate_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     The pairs of all small buckets of a batch are compared together; a large bucket is compared block by block.
     Of the surviving pairs of a batch only those are written that join two trees, as many as members at most.
     """
-    held: pd.DataFrame | None = None
-    for pdf in batches:
-        held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-        key = held[["band", "left", "right"]].to_numpy()
-        last = int(np.flatnonzero((key != key[-1]).any(1))[-1]) + 1 if (key != key[-1]).any() else 0
-        if last:
-            yield _bucket_edges(held.iloc[:last])
-            held = held.iloc[last:].reset_index(drop=True)
-    if held is not None and len(held):
-        yield _bucket_edges(held)
-
-
-def _bucket_edges(pdf: pd.DataFrame) -> pd.DataFrame:
-    key = pdf[["band", "left", "right"]].to_numpy()
-    rep = pdf["rep"].to_numpy()
-    sigs = np.frombuffer(b"".join(pdf["signature"]), dtype="<u4").reshape(len(pdf), _N)
-    starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
-    sizes = np.diff(np.append(starts, len(pdf)))
-    small = (sizes <= SMALL) & (key[starts, 1] == key[starts, 2])
-    pairs: list[tuple[int, int]] = []
-    for n in np.unique(sizes[small]):
-        if n > 1:
-            i, j = np.triu_indices(n, 1)
-            at = starts[small & (sizes == n)][:, None]
-            i, j = (at + i).ravel(), (at + j).ravel()
-            for k in range(0, len(i), 50_000):
-                left, right = i[k : k + 50_000], j[k : k + 50_000]
-                kept = survivors(sigs, sigs, left, right)
-                pairs += zip(left[kept].tolist(), right[kept].tolist(), strict=True)
-    for start, n in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True):
-        pairs += [(start + a, start + b) for a, b in _block_edges(pdf.iloc[start : start + n], sigs[start : start + n])]
-    known, code = np.unique(rep, return_inverse=True)
-    union = _Union(len(known))
-    out = [(rep[i], rep[j]) for i, j in pairs if union.join(int(code[i]), int(code[j]))]
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-
-def _exact_links(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per member its links in this block pair, counted over exact Jaccard similarities, and a spanning forest of them.
-
-    Rows: rep, parent (or null), links. Members' sets are numbered densely and laid out as bit rows in pieces,
-    so memory is bounded by the block, and no pair is written out.
-    """
-    rep = pdf["rep"].to_numpy()
-    sets = [np.frombuffer(x, dtype="<u8") for x in pdf["shingles"]]
-    size = np.array([len(s) for s in sets], dtype=np.int64)
-    rows, cols = _pairs(pdf)
-    n = len(sets)
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(n), size)
+    for pdf, starts, sizes in _whole_groups(batches, "band"):
+        node, sigs = pdf["node"].to_numpy(), _signatures(pdf)
+        small = (sizes <= SMALL) & (pdf["left"].to_numpy()[starts] == pdf["right"].to_numpy()[starts])
+        pairs: list[tuple[int, int]] = []
+        for left, right in _small_pairs(starts[small], sizes[small]):
+            kept = survivors(sigs, sigs, left, right)
+            pairs += zip(left[kept].tolist(), right[kept].tolist(), strict=True)
+        for start, n in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True):
+            pairs += [(start + a, start + b) for a, b in _block_edges(pdf.iloc[start : start + n], sigs[start : start + n])]
+        known, code = np.unique(node, return_inverse=True)
+        union = _Union(len(known))
+        out = [(node[i], node[j]) for i, j in pairs if union.join(int(code[i]), int(code[j]))]
+        yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def _reaches(shared, either):
+    """Whether |A & B| / |A | B| is at least the threshold, in whole numbers, so that exactly the threshold counts."""
+    return shared * 1000 >= either * round(1000 * THRESHOLD)
+
+
+def _common(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """How many shingles each set of ``rows`` has in common with each of ``cols``, by products of bit matrices of bounded width."""
+    members = np.unique(np.concatenate([rows, cols]))
+    place = {int(m): i for i, m in enumerate(members)}
+    flat = np.concatenate([sets[m] for m in members])
+    owner = np.repeat(np.arange(len(members)), [len(sets[m]) for m in members])
     _, code, times = np.unique(flat, return_inverse=True, return_counts=True)
     keep = times[code] > 1
-    code, owner = code[keep], owner[keep]
-    _, code = np.unique(code, return_inverse=True)
-    shared = np.zeros((len(rows), len(cols)), dtype=np.float32)
+    _, code = np.unique(code[keep], return_inverse=True)
+    owner = owner[keep]
     order = np.argsort(code, kind="stable")
     code, owner = code[order], owner[order]
-    width, start = max(256, 8_000_000 // max(1, n)), 0
+    left, right = np.array([place[int(r)] for r in rows]), np.array([place[int(c)] for c in cols])
+    out = np.zeros((len(rows), len(cols)), dtype=np.float32)
+    width, start = max(256, 4_000_000 // len(members)), 0
     top = int(code[-1]) + 1 if len(code) else 0
     for lo in range(0, top, width):
         end = int(np.searchsorted(code, lo + width))
-        grid = np.zeros((n, min(width, top - lo)), dtype=np.float32)
+        grid = np.zeros((len(members), min(width, top - lo)), dtype=np.float32)
         grid[owner[start:end], code[start:end] - lo] = 1
-        shared += grid[rows] @ grid[cols].T
+        out += grid[left] @ grid[right].T
         start = end
-    shared = shared.astype(np.int64)
-    either = size[rows][:, None] + size[cols][None, :] - shared
-    # |A & B| / |A | B| >= 4/5 in whole numbers, so that a similarity of exactly the threshold counts.
-    linked = shared * 1000 >= either * round(1000 * THRESHOLD)
-    linked &= rep[rows][:, None] != rep[cols][None, :]
-    counts = np.zeros(n, dtype=np.int64)
-    counts[rows] += linked.sum(1)
-    if cols is not rows:
-        counts[cols] += linked.sum(0)
-    parent: list[int | None] = [None] * n
-    extra = []
-    union = _Union(n)
-    for r, i in enumerate(rows):
-        for c in np.flatnonzero(linked[r]):
-            if union.join(int(i), int(cols[c])):
-                extra.append((rep[i], rep[cols[c]], 0))
-    out = [(r, None, int(k)) for r, k in zip(rep, counts, strict=True) if k] + extra
-    return pd.DataFrame(out, columns=["rep", "parent", "links"]).astype({"rep": "int64", "parent": "Int64", "links": "int64"})
+    return out.astype(np.int64)
+
+
+def _block_links(part: pd.DataFrame, sigs: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Links of each member in this block pair, and a spanning forest of them, as row numbers.
+
+    Tile by tile, MinHash values prune the pairs first; exact similarities are computed for the members that have a surviving
+    pair left, and only surviving pairs count.
+    """
+    rows, cols = _sides(part)
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    links = np.zeros(len(part), dtype=np.int64)
+    union, forest = _Union(len(part)), []
+    for a in range(0, len(rows), TILE):
+        for b in range(a if cols is rows else 0, len(cols), TILE):
+            left, right = rows[a : a + TILE], cols[b : b + TILE]
+            i, j = (x.ravel() for x in np.meshgrid(np.arange(len(left)), np.arange(len(right)), indexing="ij"))
+            if cols is rows and a == b:
+                i, j = i[i < j], j[i < j]
+            kept = survivors(sigs, sigs, left[i], right[j])
+            if not len(kept):
+                continue
+            alive = np.zeros((len(left), len(right)), dtype=bool)
+            alive[i[kept], j[kept]] = True
+            own, other = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
+            left, right, alive = left[own], right[other], alive[np.ix_(own, other)]
+            shared = _common(sets, left, right)
+            linked = alive & _reaches(shared, size[left][:, None] + size[right][None, :] - shared)
+            np.add.at(links, left, linked.sum(1))
+            np.add.at(links, right, linked.sum(0))
+            for x, y in zip(*np.nonzero(linked), strict=True):
+                if union.join(int(left[x]), int(right[y])):
+                    forest.append((int(left[x]), int(right[y])))
+    return links, forest
+
+
+def _exact_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Exact links of the members of families, from rows sorted by family and block pair: node, parent, links.
+
+    A row with links has how many the member has in this block pair; one with a parent is an edge of a spanning
+    forest of the links. No pair is written but those, as many as members at most.
+    """
+    for pdf, starts, sizes in _whole_groups(batches, "family"):
+        node, sigs = pdf["node"].to_numpy(), _signatures(pdf)
+        sets = [np.frombuffer(x, dtype="<u8") for x in pdf["shingles"]]
+        links = np.zeros(len(pdf), dtype=np.int64)
+        edges: list[tuple[int, int]] = []
+        small = (sizes <= SMALL) & (pdf["left"].to_numpy()[starts] == pdf["right"].to_numpy()[starts])
+        union = _Union(len(pdf))
+        for left, right in _small_pairs(starts[small], sizes[small]):
+            kept = survivors(sigs, sigs, left, right)
+            for i, j in zip(left[kept].tolist(), right[kept].tolist(), strict=True):
+                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if _reaches(shared, len(sets[i]) + len(sets[j]) - shared):
+                    links[i] += 1
+                    links[j] += 1
+                    if union.join(i, j):
+                        edges.append((i, j))
+        for start, n in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True):
+            own, forest = _block_links(pdf.iloc[start : start + n], sigs[start : start + n], sets[start : start + n])
+            links[start : start + n] += own
+            edges += [(start + a, start + b) for a, b in forest]
+        out = [(node[i], None, int(links[i])) for i in np.flatnonzero(links)] + [(node[i], node[j], 0) for i, j in edges]
+        yield pd.DataFrame(out, columns=["node", "parent", "links"]).astype({"node": "int64", "parent": "Int64", "links": "int64"})
+
+
+def _copies(known: DataFrame) -> DataFrame:
+    """One row per distinct shingle set: node (a number of its own), copy_key, rep (smallest id), n_copies, n_shingles, signature."""
+    copies = known.groupBy("copy_key").agg(
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
+    )
+    # The numbers are fixed by writing them.
+    return written(copies.withColumn("node", F.monotonically_increasing_id()), "copies")
+
+
+def _classes(docs: DataFrame, known: DataFrame, copies: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per distinct shingle set: copy_key, class_node (the class's own number), class_id, copy_id, n_copies, n_links."""
+    groups = connected_components(_candidates(copies.where("n_shingles > 0").select("node", "signature")))
+    families = written(groups.select("node", F.col("component").alias("family")), "families")
+    found = written(_verified(docs, known, copies, families, id_col, text_col), "links")
+    links = found.where("links > 0").groupBy("node").agg(F.sum("links").alias("n_links"))
+    trees = connected_components(found.where("parent is not null").select(F.col("node").alias("a"), F.col("parent").alias("b")))
+    # Components are numbered by node; the class is named by the smallest id of all its members.
+    named = written(trees.join(copies.select("node", "rep"), "node"), "classes")
+    smallest = named.groupBy("component").agg(F.min("rep").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    total = named.count()
+    classes = hot_join(named.select("node", "component"), smallest, "component", "n", total, F.col("node")).withColumnRenamed("component", "class_node")
+    labelled = copies.select("node", "copy_key", "rep", "n_copies").join(links, "node", "left").join(classes, "node", "left")
+    return labelled.select(
+        "copy_key",
+        F.coalesce("class_node", "node").alias("class_node"),
+        F.coalesce("class_id", "rep").alias("class_id"),
+        F.col("rep").alias("copy_id"),
+        "n_copies",
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    )
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,72 +356,87 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     1. A sketch of each document; documents with equal sets are one representative from here on.
     2. Representatives that share a MinHash band are compared MinHash value by value, and pairs are dropped when
        the posterior probability of reaching the threshold falls below TOLERANCE. What survives joins candidate groups.
-    3. Within candidate groups all similarities are computed exactly, in blocks.
+    3. Within candidate groups the same pruning decides which pairs are verified, by their exact similarity, in blocks.
 
-    No step writes out the pairs of a group or gathers a group in one task. Null and empty texts have the empty
-    set: one copy class without links. Rows with a null id form no representative and get null classes.
-    Repeated rows count in n_copies; other columns are not read; an empty table gives no rows.
+    No step writes out the pairs of a group or gathers a group in one task. Sets are told apart by their content and
+    not by ids, so texts that share an id are grouped each for itself. Null and empty texts have the empty
+    set: one copy class without links. A null id is never the name of a class that has another id; a class of null ids
+    has none. Repeated rows count in n_copies; other columns are not read; an empty table gives no rows.
     """
     known = written(sketches(docs, id_col, text_col), "sketches")
-    copies = written(known.groupBy("copy_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies")), "copies")
-    reps = known.join(copies.select(F.col("rep").alias("doc_id"), "copy_key"), ["doc_id", "copy_key"]).where("n_shingles > 0")
-    reps = written(reps.groupBy(F.col("doc_id").alias("rep")).agg(F.min("signature").alias("signature")), "representatives")
-    groups = connected_components(_candidates(reps)).select(F.col("node").alias("rep"), F.col("component").alias("family"))
-    found = written(_verified(docs, written(groups, "families"), id_col, text_col), "links")
-    links = found.where("links > 0").groupBy("rep").agg(F.sum("links").alias("n_links"))
-    classes = connected_components(found.where("parent is not null").select(F.col("rep").alias("a"), F.col("parent").alias("b")))
-    labelled = copies.join(links, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    labelled = labelled.select(
-        "copy_key", F.coalesce("component", "rep").alias("class_id"), F.col("rep").alias("copy_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
-    return known.select("doc_id", "copy_key", "n_shingles").join(labelled, "copy_key").select(
+    labelled = _classes(docs, known, _copies(known), id_col, text_col)
+    return _spread(known.select("doc_id", "copy_key", "n_shingles"), written(labelled, "labelled")).select(
         "doc_id", "class_id", "copy_id", "n_copies", "n_links", "n_shingles"
     )
 
 
+def _spread(rows: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Labels of copies given to their rows; one set may have very many."""
+    total = labelled.agg(F.sum("n_copies")).first()[0] or 0
+    return hot_join(rows, labelled.withColumn("__n", F.col("n_copies")), "copy_key", "__n", total, F.col("doc_id"))
+
+
 def _candidates(reps: DataFrame) -> DataFrame:
     """Edges (a, b) between representatives that share a band and survive the pruning: spanning forests per bucket."""
 
     def run(batches):
         for pdf in batches:
-            rep = pdf["rep"].to_numpy()
             sigs = [np.frombuffer(s, dtype="<u4") for s in pdf["signature"]]
-            yield pd.DataFrame({"rep": np.repeat(rep, BANDS), "band": np.array([bands(s) for s in sigs], dtype=np.int64).reshape(-1)})
-
-    keys = reps.mapInPandas(run, "rep long, band long")
-    shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    buckets = keys.join(shared, "band", "left_semi").join(reps, "rep")
-    columns = ["band", "left", "right", "in_left", "rep", "signature"]
-    dealt = _blocks(buckets, "band", 1024).select(*columns).repartition("band", "left", "right").sortWithinPartitions("band", "left", "right")
+            yield pd.DataFrame({"node": np.repeat(pdf["node"].to_numpy(), BANDS), "band": np.array([bands(s) for s in sigs], dtype=np.int64).reshape(-1)})
+
+    keys = reps.mapInPandas(run, "node long, band long")
+    counts = keys.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / SKETCH_BLOCK).cast("int"))
+    # Members of large buckets are dealt over blocks before their signatures are attached.
+    dealt = _blocks(keys, counts, "band").select("band", "left", "right", "in_left", "node").join(reps, "node")
+    columns = ["band", "left", "right", "in_left", "node", "signature"]
+    dealt = dealt.select(*columns).repartition("band", "left", "right").sortWithinPartitions("band", "left", "right")
     return dealt.mapInPandas(_candidate_edges, "a long, b long")
 
 
-def _verified(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Exact links of the members of each family: rep, parent, links."""
-    rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    n = groups.count()
-    texts = rows.join(F.broadcast(groups) if n <= BROADCAST_IDS else groups, "rep").dropDuplicates(["rep"]) if n else rows.limit(0).withColumn("family", F.col("rep"))
+def _verified(docs: DataFrame, known: DataFrame, copies: DataFrame, families: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Exact links of the members of each family: node, parent, links.
+
+    Of the rows that share a set one is read again, told by its id and text.
+    """
+    n = families.count()
+    members = copies.select("node", "copy_key", "signature").join(families, "node")
+    chosen = known.join(members.select("copy_key"), "copy_key", "left_semi").groupBy("copy_key").agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
+    wanted = written(chosen.join(members.drop("signature"), "copy_key").select(F.col("row.doc_id").alias("__id"), F.col("row.text_key").alias("__key"), "node", "family"), "wanted")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))
+    texts = rows.join(F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted, same).select("node", "family", "text")
 
     def run(batches):
         for pdf in by_size(batches, "text"):
             memo = word_memo()
-            sets = [shingles(hashes(words(t), memo), SHINGLE).astype("<u8").tobytes() for t in pdf["text"]]
-            yield pd.DataFrame({"rep": pdf["rep"], "family": pdf["family"], "shingles": sets})
+            sets = [shingles(hashes(words(t), memo), SHINGLE) for t in pdf["text"]]
+            yield pd.DataFrame({"node": pdf["node"], "family": pdf["family"], "size": [8 * len(x) for x in sets], "shingles": [x.astype("<u8").tobytes() for x in sets]})
 
-    sets = texts.mapInPandas(run, "rep long, family long, shingles binary")
-    sets = written(sets, "shingles")
-    columns = ["family", "left", "right", "in_left", "rep", "shingles"]
-    return _blocks(sets, "family", BLOCK).select(*columns).groupBy("family", "left", "right").applyInPandas(_exact_links, "rep long, parent long, links long")
+    # Rows that repeat id and text give their set twice.
+    sets = written(texts.mapInPandas(run, "node long, family long, size long, shingles binary"), "shingles")
+    if sets.count() > n:
+        sets = written(sets.dropDuplicates(["node"]), "shingles")
+    counts = sets.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).where("n > 1")
+    counts = counts.withColumn("blocks", F.greatest(F.ceil(F.col("n") / SET_BLOCK), F.ceil(F.col("bytes") / SET_BYTES)).cast("int"))
+    dealt = _blocks(sets.join(members.select("node", "signature"), "node"), counts, "family")
+    columns = ["family", "left", "right", "in_left", "node", "signature", "shingles"]
+    dealt = dealt.select(*columns).repartition("family", "left", "right").sortWithinPartitions("family", "left", "right")
+    return dealt.mapInPandas(_exact_links, "node long, parent long, links long")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their near-duplicate class, one each, with all their columns.
+    """One row of each near-duplicate class of ``docs``, that with the smallest id (null last), with all its columns.
 
-    Rows with a null id can't be grouped and all stay.
+    Rows are told by id and text together, so of rows that share an id those with a text of another class stay.
+    Among equal ids of a class the smallest text digest stays; of rows that repeat id and text, one.
     """
-    drop = near_duplicates(docs, id_col, text_col).where("doc_id <> class_id").select(F.col("doc_id").alias("__drop")).distinct()
-    kept = docs.join(written(drop, "near-drop"), F.col(id_col).cast("long") == F.col("__drop"), "left_anti")
-    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
-    if repeated.isEmpty():
-        return kept
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    known = written(sketches(docs, id_col, text_col), "sketches")
+    labelled = written(_classes(docs, known, _copies(known), id_col, text_col).select("copy_key", "class_node", "n_copies"), "labelled")
+    own = known.select("doc_id", "text_key", "copy_key")
+    rows = written(_spread(own, labelled).groupBy("doc_id", "text_key", "class_node").agg(F.count(F.lit(1)).alias("n")), "near-rows")
+    first = rows.groupBy("class_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("row"))
+    stay = written(first.select(F.col("row.doc_id").alias("__id"), F.col("row.text_key").alias("__key")), "near-stay")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))
+    drop = written(rows.join(stay, same, "left_anti").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")), "near-drop")
+    repeated = written(rows.where("n > 1").join(stay, same, "left_semi").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")), "near-repeated")
+    return without_rows(docs, drop, repeated, id_col, _text_key(F.col(text_col)))

@@ -32,8 +32,9 @@ SEARCH = 400_000
 #: Fillings that one of its nodes branches over, and different lengths up to which a node is bounded by lower_bound.
 FILLINGS = 200
 BOUNDED = 48
-#: Rows of one length that are numbered together.
-ROWS_PER_SALT = 2000
+#: Rows of one length that are numbered together, and groups of them whose sizes are summed together.
+ROWS_PER_SALT = 256
+SALTS_PER_BLOCK = 4096
 
 
 def _classes() -> np.ndarray:
@@ -45,37 +46,77 @@ def _classes() -> np.ndarray:
     return out
 
 
+def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that begin at ``starts``, laid end to end."""
+    upto = np.cumsum(sizes) - sizes
+    return values[np.repeat(starts - upto, sizes) + np.arange(int(sizes.sum()))]
+
+
+class _Runs:
+    """Runs of numbers kept end to end in one array that grows."""
+
+    def __init__(self, dtype: str):
+        self.values, self.ends = np.zeros(1 << 16, dtype=dtype), np.zeros(1 << 16, dtype=np.int64)
+        self.used = self.n = 0
+
+    def add(self, values: np.ndarray, ends: np.ndarray) -> None:
+        while self.used + len(values) > len(self.values):
+            self.values = np.concatenate([self.values, np.zeros_like(self.values)])
+        while self.n + len(ends) + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.values[self.used : self.used + len(values)] = values
+        self.ends[self.n + 1 : self.n + 1 + len(ends)] = self.used + ends
+        self.used += len(values)
+        self.n += len(ends)
+
+    def bounds(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begin = self.ends[number]
+        return begin, self.ends[number + 1] - begin
+
+
 class PieceEncoder:
     """Token ids of whole texts, the same as the library gives them, with the ids of each word remembered.
 
-    The vocabulary splits a text into words and encodes each by itself, so a word needs to be encoded once. Words
-    of a batch are found, hashed and looked up in arrays. That is done for texts of Latin letters and common
+    A vocabulary of this kind splits a text into words and encodes each by itself, so a word needs to be encoded once. Words
+    of a batch are found, hashed and looked up in arrays, and compared with the words that their hash stands for. That is
+    done for texts of Latin letters and common
     punctuation; any other text, one with a special token's opening, and one with an apostrophe that may begin
-    a contraction go through the library as a whole.
+    a contraction go through the library as a whole. So does every text where the file describes another normaliser,
+    word split or mark of word ends than the ones known here.
     """
 
     PLAIN = re.compile("[\t\n\r\x20-\x7e\xa0-ɏ‐-‧€]*")
     CONTRACTION = re.compile("'[stmdrvl]", re.I)
     CLASSES = _classes()
+    #: What a tokenizer file says that works this way.
+    NORMALISERS = ("NFC", "Replace", "Lowercase")
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.limit = limit
+        about = json.loads(self.tokenizer.to_str())
         # The vocabulary marks the last token of a word by its suffix.
-        suffix = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
+        suffix = about["model"].get("end_of_word_suffix")
+        self.known = bool(suffix) and self._known(about)
         self.last = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
-        for token, i in self.tokenizer.get_vocab().items():
+        for token, i in self.tokenizer.get_vocab().items() if self.known else ():
             self.last[i] = token.endswith(suffix)
         self.factors = np.random.default_rng(1).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.forget()
 
+    def _known(self, about: dict) -> bool:
+        normalisers = tuple(n["type"] for n in (about["normalizer"] or {}).get("normalizers", []))
+        splits = [p["pattern"].get("Regex") for p in (about["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"]
+        return about["model"]["type"] == "BPE" and normalisers == self.NORMALISERS and splits == [self.SPLIT]
+
     def forget(self) -> None:
         self.number: dict[int, int] = {}
-        self.ids = np.zeros(1 << 16, dtype="<u4")
-        self.starts = np.zeros(1 << 16, dtype=np.int64)
-        self.used = 0
+        self.ids, self.spelling = _Runs("<u4"), _Runs("<u4")
 
     def _learn(self, hashes: list[int], words: list[str]) -> None:
         """Encode different words as one text, which the marks of last tokens cut into words again."""
@@ -84,18 +125,12 @@ class PieceEncoder:
         if len(ends) != len(words):
             raise ValueError("the vocabulary doesn't mark the ends of words")
         n = len(self.number)
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while n + len(words) + 1 > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.starts[n + 1 : n + 1 + len(words)] = self.used + ends
-        self.used += len(ids)
+        self.ids.add(ids, ends)
+        self.spelling.add(np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4"), np.cumsum([len(w) for w in words]))
         self.number.update(zip(hashes, range(n, n + len(words)), strict=True))
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        """The ids of plain texts, laid end to end with blanks between."""
-        low = [t.replace("Σ", "σ").lower() for t in texts]
+    def _plain(self, low: list[str]) -> list[bytes] | None:
+        """The ids of plain lower-case texts, laid end to end with blanks between; None if two words share a hash."""
         joined = " " + " ".join(low) + " "
         codes = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
         kind = self.CLASSES[codes]
@@ -115,26 +150,35 @@ class PieceEncoder:
         if len(self.number) + len(missing) > self.limit:
             self.forget()
             missing = list(range(len(known)))
-        if missing:
-            at = np.zeros(len(known), dtype=np.int64)
-            at[code[::-1]] = np.arange(len(code))[::-1]
-            for k in range(0, len(missing), 50_000):
-                part = missing[k : k + 50_000]
-                self._learn([known[i] for i in part], [joined[first[at[i]] : first[at[i]] + size[at[i]]] for i in part])
-        number = np.fromiter(map(self.number.__getitem__, known), dtype=np.int64, count=len(known))[code]
-        begin = self.starts[number]
-        count = self.starts[number + 1] - begin
+        at = np.zeros(len(known), dtype=np.int64)
+        at[code[::-1]] = np.arange(len(code))[::-1]
+        for k in range(0, len(missing), 50_000):
+            part = missing[k : k + 50_000]
+            self._learn([known[i] for i in part], [joined[first[at[i]] : first[at[i]] + size[at[i]]] for i in part])
+        numbers = np.fromiter(map(self.number.__getitem__, known), dtype=np.int64, count=len(known))
+        # The words of the batch are compared with the first of their hash, and those with the remembered ones.
+        begin, long = self.spelling.bounds(numbers)
+        if (size != size[at][code]).any() or (long != size[at]).any():
+            return None
+        own, other = _gather(codes, first, size), _gather(codes, first[at][code], size)
+        if (own != other).any() or (_gather(codes, first[at], long) != _gather(self.spelling.values, begin, long)).any():
+            return None
+        begin, count = self.ids.bounds(numbers[code])
+        raw = _gather(self.ids.values, begin, count).tobytes()
         upto = np.concatenate([[0], np.cumsum(count)])
-        raw = self.ids[np.repeat(begin - upto[:-1], count) + np.arange(upto[-1])].tobytes()
         cuts = 4 * upto[np.searchsorted(first, np.cumsum([1] + [len(t) + 1 for t in low]))]
         return [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers, without special tokens of the library's own."""
-        plain = ["<|" not in t and bool(self.PLAIN.fullmatch(t)) and not self.CONTRACTION.search(t) for t in texts]
-        fast = iter(self._plain([t for t, p in zip(texts, plain, strict=True) if p]))
+        low = [t.replace("Σ", "σ").lower() for t in texts]
+        plain = [self.known and "<|" not in t and bool(self.PLAIN.fullmatch(t)) and not self.CONTRACTION.search(t) for t in low]
+        fast = self._plain([t for t, p in zip(low, plain, strict=True) if p]) if any(plain) else None
+        if fast is None:
+            plain, fast = [False] * len(texts), []
+        ready = iter(fast)
         whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return [next(fast) if p else whole(t) for t, p in zip(texts, plain, strict=True)]
+        return [next(ready) if p else whole(t) for t, p in zip(texts, plain, strict=True)]
 
 
 def encoder(path: str) -> PieceEncoder:
@@ -169,7 +213,11 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """Sequences that any packing needs: the sum bound, and for each threshold the large items plus what small ones overflow."""
+    """Sequences that any packing needs.
+
+    The largest of: the sum bound; for each threshold the large items plus what small ones overflow; and for each
+    k the items of which a sequence holds k at most, by their number.
+    """
     total = sum(k * n for k, n in counts.items())
     best = -(-total // capacity)
     sizes = sorted(counts)
@@ -179,6 +227,15 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
         room = sum((capacity - k) * n for k, n in large.items())
         small = sum(k * counts[k] for k in sizes if a <= k <= capacity // 2)
         best = max(best, alone + sum(large.values()) + max(0, -(-(small - room) // capacity)))
+    # Items of more than capacity / (k + 1): any k + 1 of them don't fit.
+    several, at = 0, len(sizes)
+    for k in range(1, capacity + 1):
+        while at and sizes[at - 1] * (k + 1) > capacity:
+            at -= 1
+            several += counts[sizes[at]]
+        best = max(best, -(-several // k))
+        if not at:
+            break
     return best
 
 
@@ -446,8 +503,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     # One row a length, ``capacity`` at most: small enough to broadcast whatever the number of documents.
     salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("salts")))
     sizes = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # Ranks begin after all earlier blocks of salts, and after the earlier salts of the block.
+    sizes = sizes.withColumn("block", F.expr(f"salt div {SALTS_PER_BLOCK}"))
+    blocks = sizes.groupBy("length", "block").agg(F.sum("n").alias("rows"))
+    earlier = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("length", "block", F.coalesce(F.sum("rows").over(earlier("length", "block")), F.lit(0)).alias("from"))
+    inside = sizes.withColumn("within", F.coalesce(F.sum("n").over(earlier("length", "block", "salt")), F.lit(0)))
+    bases = inside.join(blocks, ["length", "block"]).select("length", "salt", (F.col("from") + F.col("within")).alias("base"))
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = salted.join(bases, ["length", "salt"]).withColumn("rank", F.col("base") + F.row_number().over(own) - 1)
 

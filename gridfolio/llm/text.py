@@ -102,3 +102,51 @@ def unpickled(shared):
 
 def word_memo() -> Memo:
     return held("words", lambda: Memo(word_hash))
+
+
+#: A key is hot from so many rows, or from a ten-thousandth of all rows if that is more.
+HOT_ROWS = 1_000
+
+
+def hot_limit(total: int) -> int:
+    """Rows of one key from which it is hot. At most 10,000 keys can have more, whatever the number of rows."""
+    return max(HOT_ROWS, total // 10_000)
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, spread: Column) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has each ``key`` once, and how many rows share it in ``weight``.
+
+    ``total`` is the sum of the weights. Rows of hot keys find theirs in a broadcast of at most 10,000 rows, and are
+    dealt out by ``spread`` instead of the key; all other keys have few rows and are joined by a shuffle. ``weight``
+    is not carried on. Keys of null match nothing.
+    """
+    limit = hot_limit(total)
+    values = [c for c in table.columns if c not in (key, weight)]
+    hot = table.where(F.col(weight) > limit).select(F.col(key).alias("__hot"), F.struct(*values).alias("__known"))
+    cold = table.where(F.col(weight) <= limit).select(F.xxhash64(key).alias("__deal"), F.col(key).alias("__key"), F.struct(*values).alias("__found"))
+    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    dealt = dealt.withColumn("__deal", F.when(F.col("__hot").isNull(), F.xxhash64(key)).otherwise(F.xxhash64(F.lit("hot"), spread))).drop("__hot")
+    joined = dealt.alias("l").join(cold.alias("r"), (F.col("l.__deal") == F.col("r.__deal")) & (F.col(f"l.{key}") == F.col("r.__key")), "left")
+    found = F.coalesce(F.col("__known"), F.col("__found"))
+    return joined.withColumn("__value", found).where("__value is not null").select(*[F.col(f"l.{c}") for c in rows.columns], *[F.col(f"__value.{v}").alias(v) for v in values])
+
+
+#: Rows whose keys may be broadcast as a filter, about 100 bytes each; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def without_rows(docs: DataFrame, drop: DataFrame, repeated: DataFrame, id_col: str, key: Column) -> DataFrame:
+    """``docs`` without the rows that ``drop`` names, and with one of each that ``repeated`` names, with all columns.
+
+    Both tables are written ones and name rows by __id and __key, which ``key`` computes from a row.
+    """
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key"))
+    few = drop.count() <= BROADCAST_ROWS
+    kept = docs.withColumn("__own", key).join(F.broadcast(drop) if few else drop, same, "left_anti")
+    n = repeated.count()
+    if not n:
+        return kept.drop("__own")
+    # Only the rows that are repeated meet each other, not the whole table.
+    named = F.broadcast(repeated) if n <= BROADCAST_ROWS else repeated
+    once, again = kept.join(named, same, "left_anti"), kept.join(named, same, "left_semi")
+    return once.unionByName(again.dropDuplicates([id_col, "__own"])).drop("__own")

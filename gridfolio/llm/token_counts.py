@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfolio.llm.text import by_size, held
-from gridfolio.session import scratch_path
+from gridfolio.llm.text import by_size, held, hot_join
+from gridfolio.session import scratch_path, written
 
 LIMIT = 1024
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
@@ -83,6 +83,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     version = tokenizer_digest(tokenizer_path)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("content_digest", content_digest(F.col("text")))
+    sized = written(rows.select("doc_id", "content_digest", F.octet_length("text").cast("long").alias("n_bytes")), "sizes")
+    uses = sized.groupBy("content_digest").agg(F.count(F.lit(1)).alias("n"))
     stored = read_cache(spark, cache_path).where(F.col("tokenizer_digest") == version).select("content_digest").distinct()
     misses = rows.select("content_digest", "text").join(stored, "content_digest", "left_anti")
     # Copies are combined where they are read, so a text with very many copies sends one row a task.
@@ -90,8 +92,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     new = encode_counts(distinct, tokenizer_path).select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens")
     new.write.mode("append").parquet(cache_path)
     counts = read_cache(spark, cache_path).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.min("n_tokens").alias("n_tokens"))
-    sized = rows.select("doc_id", "content_digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    return sized.join(counts, "content_digest").select(
+    # A text may have very many copies, so its count is joined as a hot key.
+    answers = written(uses.join(counts, "content_digest"), "answers")
+    return hot_join(sized, answers, "content_digest", "n", sized.count(), F.col("doc_id")).select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.lower(F.hex("content_digest")).alias("content_digest")
     )
 

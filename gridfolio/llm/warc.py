@@ -20,6 +20,8 @@ REVISIT_BYTES = 1000
 #: Uncompressed bytes after which a frame, and a bundle, is closed. A record is never split.
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 64 << 20
+#: Repeated payloads whose keys may be broadcast, about 80 bytes each; more are joined by a shuffle.
+BROADCAST_PAYLOADS = 500_000
 #: Fixed values of the seekable format and of the revisit profile.
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
@@ -125,17 +127,22 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     so that a task that runs twice leaves an orphan file but no record twice.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
+    size = F.octet_length(html).cast("long")
     rows = pages.select(
-        F.col(id_col).cast("long").alias("page_id"),
-        F.col(url_col).alias("url"),
-        html.alias("html"),
-        F.octet_length(html).cast("long").alias("size"),
-        F.sha1(html.cast("binary")).alias("digest"),
-        F.xxhash64(html).alias("second"),
+        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), size.alias("size"), F.sha1(html.cast("binary")).alias("digest")
     )
+    # Small payloads need no winner, so they are neither grouped nor shuffled: empty pages may be a third of all.
+    small = rows.where(F.octet_length("html") < REVISIT_BYTES).withColumn("refers_to", F.lit(None).cast("long"))
+    large = rows.where(F.octet_length("html") >= REVISIT_BYTES).withColumn("second", F.xxhash64("html"))
     key = ["digest", "size", "second"]
-    winners = rows.where(F.col("size") >= REVISIT_BYTES).groupBy(*key).agg(F.max("page_id").alias("first"))
-    named = rows.join(winners, key, "left").withColumn("refers_to", F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
+    marked = written(large.select("page_id", F.struct(*key).alias("key")).groupBy("key").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "payloads")
+    # Only payloads that recur are named, the html itself stays where it was read; a payload that doesn't recur refers to nothing.
+    repeated = marked.select(F.col("key.*"), "first")
+    few = marked.count() <= BROADCAST_PAYLOADS
+    named = large.join(F.broadcast(repeated) if few else repeated, key, "left")
+    named = named.withColumn("refers_to", F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
+    columns = ["page_id", "url", "html", "digest", "refers_to"]
+    named = small.select(*columns).unionByName(named.select(*columns))
 
     def run(batches):
         filesystem, path = _filesystem(folder)
@@ -164,7 +171,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         if entries:
             yield flush()
 
-    return written(named.select("page_id", "url", "html", "digest", "refers_to").mapInPandas(run, MANIFEST), "manifest")
+    return written(named.mapInPandas(run, MANIFEST), "manifest")
 
 
 def _row(headers: dict[str, str], block: bytes) -> tuple:

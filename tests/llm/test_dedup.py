@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
-from gridfolio.llm import components, exact_dedup, line_dedup, ngram_join
+from gridfolio.llm import components, exact_dedup, line_dedup, ngram_join, text
 from gridfolio.llm.text import words
 
 
@@ -45,6 +45,33 @@ def test_exact_keeps_one_row_each(nasty):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [2, 5, 6, 8, None, 9, 10]))
 
 
+LOST = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (5, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (5, "one two three four five six seven eight nine ten"), (7, "quite another text that nobody else has ever written down here"), (None, "quite another text that nobody else has ever written down here"), (None, "a text that only rows without an id have so far"), (None, "a text that only rows without an id have so far")]
+
+
+@pytest.mark.parametrize("keep", [exact_dedup.drop_exact_duplicates, ngram_join.keep_one])
+def test_no_text_is_lost_for_its_id(spark, keep):
+    df = spark.createDataFrame(LOST, "doc_id long, text string")
+    kept = [tuple(r) for r in keep(df).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [LOST[0], LOST[2], LOST[3], LOST[5]]))
+    again = keep(df.unionAll(df))
+    assert sorted(map(str, map(tuple, again.collect()))) == sorted(map(str, kept))
+
+
+def test_hot_keys_are_joined_alike(spark, monkeypatch, small):
+    want = {f.__name__: sorted(map(str, f(small).collect())) for f in (exact_dedup.exact_duplicates, ngram_join.near_duplicates)}
+    monkeypatch.setattr(text, "HOT_ROWS", 1)
+    for f in (exact_dedup.exact_duplicates, ngram_join.near_duplicates):
+        assert sorted(map(str, f(small).collect())) == want[f.__name__]
+
+
+def test_a_digest_of_two_contents_is_matched_by_content(nasty, monkeypatch):
+    want = brute_exact([(r["doc_id"], r["text"]) for r in nasty.collect()])
+    real = exact_dedup.F.sha2
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: exact_dedup.F.when(exact_dedup.F.length(c) % 2 == 0, "same").otherwise(real(c, n)))
+    got = [tuple(r)[:4] for r in exact_dedup.exact_duplicates(nasty).collect()]
+    assert sorted(map(str, got)) == sorted(x.rsplit(", ", 1)[0] + ")" for x in want)
+
+
 def test_salts_do_not_change_the_result(small):
     a, b = (sorted(map(str, exact_dedup.exact_duplicates(small, salts=n).collect())) for n in (1, 7))
     assert a == b
@@ -125,7 +152,7 @@ def test_pruning_keeps_what_may_reach_the_threshold():
     assert len(ngram_join.survivors(left, right, np.array([0]), np.array([0]))) == 0
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(40)]
     up = {}
@@ -138,8 +165,10 @@ def test_components(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         up[max(a, b)] = min(a, b)
-    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: find(x) for x in list(up)}
+    for hot in (1000, 2):
+        monkeypatch.setattr(text, "HOT_ROWS", hot)
+        got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {x: find(x) for x in list(up)}
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 

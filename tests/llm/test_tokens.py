@@ -2,6 +2,7 @@
 
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -126,6 +127,40 @@ def test_sequences_of_very_many_short_pieces(counts):
     assert used == Counter(counts) and sum(n for _, n in patterns) == packing.lower_bound(counts, 4096)
 
 
+def test_sixty_pieces_and_equal_lengths_end_at_the_bound():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        counts = dict(Counter(rng.integers(50, 211, 60).tolist()))
+        assert sum(n for _, n in packing.solve(counts)) == packing.lower_bound(counts, 4096)
+    for counts in ({1366: 9000}, {1365: 9000}, {3: 10**5}, {4096: 7, 1: 10**5}, {1: 10**10, 2000: 10**9}):
+        assert sum(n for _, n in packing.solve(counts)) == packing.lower_bound(counts, 4096)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=12))
+def test_the_bound_is_one(sizes):
+    assert packing.lower_bound(dict(Counter(sizes)), 20) <= brute_bins(sizes, 20)
+
+
+def test_ranks_run_on_over_blocks_of_salts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ROWS_PER_SALT", 10)
+    monkeypatch.setattr(packing, "SALTS_PER_BLOCK", 3)
+    pieces = spark.range(2000).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "IF(id < 1700, 900L, 77L) AS length", "id AS ids_crc32")
+    assert check_packing(packing.pack(pieces).collect(), 4096) == packing.lower_bound({900: 1700, 77: 300}, 4096)
+
+
+def test_words_that_share_a_hash_are_told_apart(monkeypatch):
+    own = packing.PieceEncoder(WORD)
+    own.factors = np.ones(64, dtype=np.uint64)
+    for text in ("stop pots tops spot", "stop", "pots"):
+        assert own.encode([text])[0] == np.array(own.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def test_other_vocabularies_go_through_the_library():
+    own = packing.PieceEncoder(BYTE)
+    assert not own.known and own.encode(["Some text"])[0] == np.array(own.tokenizer.encode("Some text", add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
 def test_completion_wastes_least():
     rng = np.random.default_rng(3)
     for _ in range(200):
@@ -181,7 +216,23 @@ def brute_overlap(a, b):
     return False
 
 
-def test_decontamination_against_brute_force(spark):
+def substitutions(n):
+    """All placements of the substituted tokens that an overlap of n tokens may have, as bit sets."""
+    return np.array([sum(1 << i for i in c) for c in combinations(range(n), n // 5)], dtype=np.int64)
+
+
+@pytest.mark.parametrize("n", range(3, 26))
+def test_masks_hit_every_placement_of_substitutions(n):
+    placed = substitutions(n)
+    hit = np.zeros(len(placed), dtype=bool)
+    for mask in decontamination.masks_of(n):
+        own = sum(1 << i for i, bit in enumerate(mask) if bit == "1")
+        for shift in range(n - len(mask) + 1):
+            hit |= (placed & (own << shift)) == 0
+    assert hit.all()
+
+
+def test_decontamination_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(4)
     vocab = [f"w{i}" for i in range(400)]
     items = [[str(rng.choice(vocab)) for _ in range(int(rng.integers(3, 40)))] for _ in range(25)]
@@ -199,12 +250,24 @@ def test_decontamination_against_brute_force(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.overlaps(df, bench).collect()}
     want = {(d, i) for d, t in docs for i, x in enumerate(items) if brute_overlap(words(t), x)}
-    assert got <= want and len(got) >= 0.97 * len(want)
-    blocks = {(r["doc_id"], r["item_id"]) for r in decontamination.overlaps(df, bench, block_tokens=40).collect()}
-    assert blocks == got
+    assert got == want
+    assert decontamination.decontaminate(df, bench).count() == 120 - len({d for d, _ in got})
+    for name in ("BROADCAST_SEEDS", "BROADCAST_ROWS"):
+        monkeypatch.setattr(decontamination, name, 0)
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.overlaps(df, bench).collect()} == got
     assert decontamination.decontaminate(df, bench).count() == 120 - len({d for d, _ in got})
 
 
+def test_the_text_decides_and_not_the_id(spark):
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight")], "item_id long, text string")
+    bad = "so one two three four five six seven eight it is"
+    rows = [(None, bad), (None, "a clean text without an id"), (3, bad), (3, "a clean text with the id of another"), (4, bad), (4, bad), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(str, ((r["doc_id"], r["text"]) for r in decontamination.decontaminate(df, bench).collect())))
+    assert kept == sorted(map(str, [rows[1], rows[3], rows[6]]))
+    assert decontamination.overlaps(df, bench).count() == 4
+
+
 def test_decontamination_edges(spark, nasty, none):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (4, "lorem ipsum dolor sit amet lorem ipsum dolor sit amet lorem ipsum"), (None, "unique text number eight stands alone")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.overlaps(nasty, bench).collect()}

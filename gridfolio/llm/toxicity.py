@@ -14,9 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridfolio.llm.text import WORD, Memo, by_size, crc_mod, held
+from gridfolio.session import written
 
-#: Labelled rows that the lexicon and the weights are fitted on, in expectation; more are not collected.
+#: Labelled rows that the lexicon and the weights are fitted on, and characters of their texts, both in expectation; more
+#: are not collected.
 FIT_ROWS = 8_000
+FIT_CHARS = 40_000_000
+#: States that an automaton remembers before it begins anew.
+STATES = 50_000
+#: Words that a document counts for at least when its hits are set against its length.
+LEAST_WORDS = 20
 #: Words on either side of a hit that are its context.
 WINDOW = 6
 #: Words that report speech, in the languages of the labels.
@@ -27,7 +34,10 @@ REPORTING = frozenset(
 )
 #: Words that address the reader.
 ADDRESS = frozenset("you your you're yourself u ur tu toi vous votre ton ta du dich dein deine ihr euch tú usted vos te".split())
-QUOTES = "\"'«»“”‘’„‹›`"
+#: Quotation marks that open, that close, and that do either by their neighbours.
+OPENING, CLOSING, EITHER = "«“„‹‘", "»”›’", "\"'`“‘»‹«›"
+#: Characters on either side of a hit within which the marks of a quotation are looked for.
+REACH = 40
 
 
 def edits(length: int) -> int:
@@ -39,6 +49,30 @@ def edits(length: int) -> int:
 DISGUISES = str.maketrans("013457", "oieast")
 
 
+def quoted(text: str, start: int, end: int) -> bool:
+    """Whether the words from ``start`` to ``end`` stand between an opening and a closing mark, both within REACH.
+
+    A mark between two letters is an apostrophe. One that can do either opens before a word and closes after one;
+    the nearest mark on each side decides.
+    """
+    letter = lambda i: 0 <= i < len(text) and text[i].isalnum()
+
+    def role(i: int) -> str:
+        before, after = letter(i - 1), letter(i + 1)
+        if before and after:
+            return ""
+        c = text[i]
+        if c in EITHER:
+            # After the end of a sentence a mark closes as well.
+            before = before or (i > 0 and text[i - 1] in ".,!?;:)…")
+            return "both" if before == after else "close" if before else "open"
+        return "open" if c in OPENING else "close" if c in CLOSING else ""
+
+    left = next((r for i in range(start - 1, max(-1, start - 1 - REACH), -1) if (r := role(i))), "")
+    right = next((r for i in range(end, min(len(text), end + REACH)) if (r := role(i))), "")
+    return left in ("open", "both") and right in ("close", "both")
+
+
 def undisguised(word: str) -> str:
     """A word with digits as the letters they look like and runs of three or more of one letter as one."""
     if not word.isdigit() and any(c.isdigit() for c in word):
@@ -70,6 +104,9 @@ class LexiconAutomaton:
                 node = nxt
             store[node] = entry
         self.most = max([edits(len(t)) for t in terms] + [1] * bool(stems), default=0)
+        self._begin()
+
+    def _begin(self) -> None:
         self.states: list[frozenset] = []
         self.number: dict[frozenset, int] = {}
         self.moves: list[dict[str, int]] = []
@@ -120,6 +157,8 @@ class LexiconAutomaton:
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The nearest entry in reach and its distance, a stem counted without its ending. Ties: alphabetical."""
+        if len(self.states) > STATES:
+            self._begin()
         state = self.start
         found: set[tuple[int, str]] = set()
         for i, char in enumerate(word):
@@ -148,8 +187,14 @@ class ToxicityModel:
     trust: dict = field(default_factory=dict)
     #: Probability that a document is toxic without any hit.
     base: float = 0.01
-    #: Logistic weights of a hit: bias, quotation, address.
-    weights: tuple = (3.0, -7.0, 0.5)
+    #: Logistic weights of a document with hits: bias, quotation, address, hits by length.
+    weights: tuple = (1.0, -7.0, 0.5, 2.0)
+
+
+class Hits(list):
+    """The hits of a text, and how many words it has."""
+
+    n_words = 0
 
 
 def _tail(k: int, n: int, p: float) -> float:
@@ -214,7 +259,6 @@ def train(rows: list[tuple[str, int]]) -> ToxicityModel:
     lexicon = {w: v for w, v in _significant(df[1], df[0], rate, 0.8).items() if w in lexicon}
     candidates = {s: v for s, v in _significant(pre[1], pre[0], rate, 0.95).items() if s in candidates}
     stems: list[str] = []
-    candidates = _significant(pre[1], pre[0], rate, 0.95)
     for s in sorted(candidates, key=lambda s: (len(s), s)):
         endings = [w for w in df[1] if w.startswith(s)]
         if len(endings) >= 4 and max(df[1][w] for w in endings) < 0.7 * pre[1][s] and not any(s.startswith(x) or x.startswith(s) for x in stems):
@@ -241,11 +285,11 @@ def train(rows: list[tuple[str, int]]) -> ToxicityModel:
         f = scorer.features(t)
         if f is None:
             without[int(label)] += 1
-        elif f[0] == 1:
+        else:
             x.append(f[1:])
             y.append(int(label))
     model.base = min(0.45, (without[1] + 0.5) / (sum(without) + 1.0))
-    model.weights = _logistic(np.array(x).reshape(len(x), 2), np.array(y, dtype=float), np.array(model.weights))
+    model.weights = _logistic(np.array(x).reshape(len(x), 3), np.array(y, dtype=float), np.array(model.weights))
     return model
 
 
@@ -281,49 +325,62 @@ class Scorer:
             hit = (hit[0], 1) if hit and hit[1] == 0 else None
         return hit
 
-    def hits(self, text: str) -> list[dict]:
+    def hits(self, text: str) -> Hits:
         """Every hit with its place, distance and whether its context is quotation or address."""
         low = text.lower()
         memo = self.memo
-        if not any(map(memo.__getitem__, set(WORD.findall(low)))):
-            return []
+        found, out = WORD.findall(low), Hits()
+        out.n_words = len(found)
+        if not any(map(memo.__getitem__, set(found))):
+            return out
         found = list(WORD.finditer(low))
-        out = []
         for i, m in enumerate(found):
             hit = memo[m[0]]
             if not hit:
                 continue
             near = [x[0] for x in found[max(0, i - WINDOW) : i + WINDOW + 1]]
-            left, right = low[max(0, m.start() - 40) : m.start()], low[m.end() : m.end() + 40]
-            marks = any(q in left for q in QUOTES) and any(q in right for q in QUOTES)
             told = any(w in REPORTING for w in near)
-            out.append({"start": m.start(), "end": m.end(), "term": hit[0], "distance": hit[1], "quoted": float(marks) + 0.5 * float(told), "address": float(any(w in ADDRESS for w in near))})
+            out.append(
+                {
+                    "start": m.start(), "end": m.end(), "term": hit[0], "distance": hit[1],
+                    "quoted": float(quoted(low, m.start(), m.end())) + 0.5 * float(told), "address": float(any(w in ADDRESS for w in near)),
+                }
+            )
         return out
 
-    def features(self, text: str | None, hits: list[dict] | None = None) -> list[float] | None:
-        """Of the strongest hit: its trust (1 if exact), quotation, address. None without a hit."""
+    def trust(self, hit: dict) -> float:
+        """The chance that a hit is the term or a misspelling of it."""
+        return self.model.trust.get(hit["term"], 1.0) ** hit["distance"]
+
+    def features(self, text: str | None, hits: Hits | None = None) -> list[float] | None:
+        """Of the strongest hit its trust (1 if exact), quotation and address, and how many hits there are for the text's length.
+
+        Words that only look like a term turn up by chance in any long text, while abuse has many hits for its length.
+        The last number is the logarithm of the trusted hits in a thousand words, 0 at ten. None without a hit.
+        """
         hits = self.hits(text or "") if hits is None else hits
         if not hits:
             return None
-        trust = lambda h: self.model.trust.get(h["term"], 1.0) ** h["distance"]
-        top = min(hits, key=lambda h: (h["distance"] > 0, h["quoted"], -trust(h), -h["address"], h["distance"]))
-        return [trust(top), top["quoted"], top["address"]]
+        top = min(hits, key=lambda h: (h["distance"] > 0, h["quoted"], -self.trust(h), -h["address"], h["distance"]))
+        often = 1000 * sum(map(self.trust, hits)) / max(LEAST_WORDS, hits.n_words)
+        return [self.trust(top), top["quoted"], top["address"], math.log((often + 0.1) / 10.1)]
 
-    def score(self, hits: list[dict]) -> float:
-        """Base probability without a hit; else the chance that at least one kind of its hits is abuse."""
+    def score(self, hits: Hits) -> float:
+        """Base probability without a hit; else the chance that its hits are abuse."""
         f = self.features(None, hits)
         if f is None:
             return self.model.base
         z = float(np.dot(self.model.weights, [1.0, *f[1:]]))
-        more = 0.15 * math.log1p(len(hits) - 1) if z > 0 else 0.0
-        abuse = 1 / (1 + math.exp(-max(-30.0, min(30.0, z + more))))
+        abuse = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
         return f[0] * abuse + (1 - f[0]) * self.model.base
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_on=None, rows: int = FIT_ROWS) -> ToxicityModel:
-    """Fit on about ``rows`` labelled documents, chosen by a hash of their id: a bound on what is collected.
+def fit(docs: DataFrame, labels: DataFrame, train_on=None, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> ToxicityModel:
+    """Fit on about ``rows`` labelled documents with ``chars`` characters at most, chosen by a hash of id and text.
 
-    A document with several labels counts as toxic if one of them says so. Rows with a null id or label are left out.
+    Both numbers bound what is collected: where all labelled texts have more, a smaller share is chosen. A document with
+    several labels counts as toxic if one of them says so; rows that repeat id and text count once. Rows with a null
+    id or label are left out.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("i"), F.col("toxic").alias("y")).where("i is not null and y is not null")
     if train_on is not None:
@@ -334,7 +391,13 @@ def fit(docs: DataFrame, labels: DataFrame, train_on=None, rows: int = FIT_ROWS)
         known = known.where(F.pmod(F.xxhash64(F.lit("sample"), F.col("i")), F.lit(2**31)) < int(rows / total * 2**31))
     # The sample is bounded by ``rows``, so it may be broadcast: the texts are filtered where they are read.
     texts = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t")).join(F.broadcast(known), "i")
-    return train([(r["t"], r["y"]) for r in texts.select("t", "y").toLocalIterator()])
+    texts = written(texts.distinct(), "toxicity-sample")
+    n, size = texts.agg(F.count(F.lit(1)), F.sum(F.length("t"))).first()
+    share = min(1.0, rows / max(1, n), chars / max(1, size or 0))
+    # A little above the expectation of ``rows`` is chance, far above it many texts of one id.
+    if n > 1.2 * rows or (size or 0) > chars:
+        texts = texts.where(F.pmod(F.xxhash64(F.lit("text"), "i", "t"), F.lit(2**31)) < int(share * 2**31))
+    return train([(r["t"], r["y"]) for r in texts.orderBy("i").select("t", "y").toLocalIterator()])
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -365,11 +428,14 @@ def _scorer(shared) -> Scorer:
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> DataFrame:
-    """Fit on the labels outside the held-out fold and score all documents: doc_id, held_out, score, predicted, n_hits."""
+    """Fit on the labels outside the held-out fold and score all documents: doc_id, held_out, score, predicted, n_hits.
+
+    A row without an id is in no fold: it is never learned from, and its held_out is false.
+    """
     model = fit(docs, labels, lambda i: crc_mod(i, folds) != held_out)
     return score(docs, model).select(
         "doc_id",
-        (crc_mod(F.col("doc_id"), folds) == held_out).alias("held_out"),
+        F.coalesce(crc_mod(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
         F.size("hits").cast("long").alias("n_hits"),

@@ -56,6 +56,7 @@ def test_viterbi_is_optimal(lengths, seed):
 def test_language_edges(nasty, none):
     got = language.identify(nasty).collect()
     assert len(got) == nasty.count() and {r["lang_pred"] for r in got if r["doc_id"] in (3, 4, 5)} == {"und"}
+    assert all(r["held_out"] is not None for r in got)
     assert language.identify(none).count() == 0
     assert language.identify(nasty.withColumn("lang", F.lit(None).cast("string"))).select("lang_pred").distinct().collect() == [("und",)]
 
@@ -120,6 +121,67 @@ def test_misspellings_and_quotations(toxic_model):
     assert p('they wrote the word "idiot" in a quote') < 0.5 < p("you are an idiot")
 
 
+@pytest.mark.parametrize(
+    ("text", "inside"),
+    [
+        ("he said: «x idiot y»", True), ("he said \"you idiot\".", True), ("'idiot' he said", True), ("“idiot”", True), ("„idiot“ sagte er", True),
+        ("I don't care you are an idiot and it's known", False), ("\"a quote\" you idiot \"another\"", False), ("\"Stop.\" you idiot", False), ("idiot", False), ("the dogs' idiot, the cats' way", False),
+    ],
+)
+def test_quotation_marks_are_paired(text, inside):
+    at = text.index("idiot")
+    assert toxicity.quoted(text, at, at + 5) == inside
+
+
+def test_apostrophes_are_no_quotation(toxic_model):
+    s = toxicity.Scorer(toxic_model)
+    p = lambda t: s.score(s.hits(t))
+    assert p("I don't care you are an idiot and it's known") > 0.5 and p("you are an idiot and everyone knows") > 0.5
+    assert p('he said "you idiot" and left') < 0.5
+
+
+def test_automaton_forgets_states(monkeypatch):
+    monkeypatch.setattr(toxicity, "STATES", 50)
+    a = toxicity.LexiconAutomaton(["disgusting", "worthless"], [])
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        a.match("".join(rng.choice(list("abcdegorst"), 9)))
+        assert len(a.states) < 200
+    assert a.match("disgustng") == ("disgusting", 1)
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda rows: seen.extend(rows) or toxicity.ToxicityModel())
+    docs = spark.range(400).selectExpr("id % 40 AS doc_id", "repeat(concat('w', id, ' '), 50) AS text")
+    labels = spark.range(40).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS toxic")
+    toxicity.fit(docs, labels, rows=40)
+    assert len(seen) <= 100
+    seen.clear()
+    toxicity.fit(docs, labels, rows=10**6, chars=20_000)
+    assert 0 < sum(len(t) for t, _ in seen) < 40_000
+    seen.clear()
+    toxicity.fit(docs.unionAll(docs), labels, rows=10**6)
+    assert len(seen) == 400
+
+
+def test_toxicity_precision_and_recall():
+    """Fitted and held out as the query does, on more rows. Of the toxic rows 6 in 100 hold no term that any other has."""
+    import zlib
+
+    import pyarrow.parquet as pq
+
+    big = SF.replace("0.01", "0.1")
+    docs = pq.read_table(f"{big}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
+    text = dict(zip(docs["doc_id"], docs["text"], strict=True))
+    labels = pq.read_table(f"{big}/labels.parquet").to_pydict()
+    rows = [(text[i], y, zlib.crc32(str(i).encode()) % 5 == 0) for i, y in zip(labels["doc_id"], labels["toxic"], strict=True) if i in text]
+    s = toxicity.Scorer(toxicity.train([(t, y) for t, y, out in rows if not out]))
+    got = [(s.score(s.hits(t or "")) >= 0.5, y) for t, y, out in rows if out]
+    caught, right = sum(p for p, y in got if y), sum(p for p, y in got)
+    assert caught / right >= 0.97 and caught / sum(y for _, y in got) >= 0.9
+
+
 def test_copies_make_no_lexicon():
     text = "these are some ordinary words of one text that was copied often"
     assert toxicity.train([(text, 1)] * 60 + [(f"other text number {i}", 0) for i in range(300)]).terms == []
@@ -136,6 +198,7 @@ def test_toxicity_edges(spark, nasty, none):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (8, None), (6, 0)], "doc_id long, toxic int")
     got = toxicity.classify(nasty, labels).collect()
     assert len(got) == nasty.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
+    assert all(r["held_out"] is not None for r in got) and not [r for r in got if r["doc_id"] is None and r["held_out"]]
     assert toxicity.classify(none, labels).count() == 0
     empty = spark.createDataFrame([], labels.schema)
     assert toxicity.classify(nasty, empty).count() == nasty.count()

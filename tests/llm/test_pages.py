@@ -78,9 +78,76 @@ def test_wrapper_has_repeats_optionals_and_slots():
     b = H.page_wrapper(*H.leaves("<body><h1>B</h1><p>only</p><ul><li>extra</li></ul><div>Same</div></body>"))
     w = H.align(a, b)
     assert "".join(map(H._signature, w)) == "<body><h1>#</h1>(<p>#</p>)+[<ul><li>#</li></ul>]?<div>#</div></body>"
-    flat = [n for n in w if n[0] in "cs"]
-    assert [n[0] for n in flat] == ["s", "c"]
-    assert H.align(w, a) == H.align(w, H.align(a, a)) or "".join(map(H._signature, H.align(w, a))) == "".join(map(H._signature, w))
+    flat = [n for n in w if n[0] == "x"]
+    assert [len(n[1]) for n in flat] == [2, 1] and [len(p) for p in flat[1][1].values()] == [2]
+    assert "".join(map(H._signature, H.align(w, a))) == "".join(map(H._signature, w))
+
+
+def renamed(page):
+    """The page with nothing but div elements, without classes; menus stay links."""
+    return re.sub(r"<(/?)(?:article|nav|header|footer|aside|section|main|p|h1|ul|li|form|label)\b[^>]*>", r"<\1div>", re.sub(r' class="[^"]*"', "", page))
+
+
+def test_wrappers_decide_where_all_tags_are_alike(spark):
+    rows, want = [], {}
+    for i in range(40):
+        paragraphs = [f"Paragraph {k} of page {i} tells {'at some length ' * (i % 7)}what happened." for k in range(1 + i % 5)]
+        extra = "<div>Call us now for an offer that ends today, dear reader of this site</div>" if i % 3 else ""
+        rows.append((i, "http://r.org/x", renamed(page(f"Title number {i}", paragraphs, extra=extra))))
+        want[i] = "\n\n".join([f"Title number {i}", *paragraphs])
+    got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want
+
+
+def test_generated_pages_without_article_markup(spark):
+    """Nothing on these pages is constant, so only the regions of the wrappers tell the article."""
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r["page_id"]: r["text"] for r in H.extract(pages).collect()}
+    alike = pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<(/?)(?:article|section|main)[^>]*>", "<$1div>"), ' class="(?!ad)[^"]*"', ""))
+    got = {r["page_id"]: r["text"] for r in H.extract(alike).collect()}
+    assert sum(got[i] == t for i, t in want.items()) >= 0.97 * len(want)
+
+
+def test_a_text_counts_once_a_page_and_copies_once():
+    one = H.page_wrapper(*H.leaves("<body><p>same</p><p>same</p><p>same</p><div>other text</div></body>"))
+    assert not H.template(one).constants and not H.template(H.align(one, H.align(one, one))).constants
+    pages = [H.page_wrapper(*H.leaves(f"<body><p>same</p><div>a text of its own number {i}</div></body>")) for i in range(3)]
+    assert [k for _, k in H.template(H.align(H.align(pages[0], pages[1]), pages[2])).constants] == [str(H.text_key("same"))]
+    # A page that lacks the constant doesn't hide it.
+    lacks = H.page_wrapper(*H.leaves("<body><p>else</p><div>a text of its own</div></body>"))
+    assert H.template(H.align(H.align(H.align(pages[0], lacks), pages[1]), pages[2])).constants
+
+
+def test_result_does_not_depend_on_partitions(spark):
+    rows = [(i, "http://q.org/x", f"<body><div>Menu of the site</div><div><h2>Title {i}</h2><div>Text {i} is here.{' More.' * (i % 4)}</div></div><div>{'Bye' if i % 5 else 'See you'}</div></body>") for i in range(30)]
+    rows += [(100 + i, "http://q.org/copy", rows[0][2]) for i in range(8)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    results = [sorted(map(str, H.extract(df.repartition(n, "page_id")).collect())) for n in (1, 4, 7)]
+    assert results[0] == results[1] == results[2]
+    assert "Title 0\n\nText 0 is here." in {r["text"] for r in H.extract(df).collect() if r["page_id"] >= 100}
+
+
+def test_long_pages_are_aligned_in_bounds(monkeypatch):
+    a = [str(i) for i in range(300)]
+    b = [x for x in a if int(x) % 7] + ["x"]
+    want = H._longest(a, b)
+    monkeypatch.setattr(H, "CELLS", 100)
+    assert H._matches(a, b) == want
+    assert H._matches(["y"] * 50, ["z"] * 50) == []
+
+
+@pytest.mark.parametrize(
+    ("raw", "text"),
+    [
+        ("<html><head><title>x</title><body><p>text</p>", "text"), ("<p>a <svg/> b</p>", "a b"), ("<p>a</p><select><option>no<p>text</p>", "a\n\ntext"),
+        ("<p>a <svg><text>no</text></svg> b</p>", "a b"), ("<p>a</p><object data=x><p>b</p>", "a\n\nb"),
+    ],
+)
+def test_missing_end_tags_do_not_swallow_the_page(raw, text):
+    _, found = H.leaves(raw)
+    assert H.main_text(found, H.Template()) == text
 
 
 @pytest.mark.parametrize("raw", ["", "<", "<p", "<p>a<div>b", "</p></div>", "<!-- open", "<script>x", "&am", "a & b", "<p>&amp;lt;</p>", '<p title="a>b">c</p>', "<table><tr><td>1<td>2</table>", "<article></article>", "\x00<p> x</p>"])

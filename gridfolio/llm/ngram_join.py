@@ -314,19 +314,23 @@ def _exact_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _copies(known: DataFrame) -> DataFrame:
-    """One row per distinct shingle set: node (a number of its own), copy_key, rep (smallest id), n_copies, n_shingles, signature."""
+    """One row per distinct shingle set: node (a number of its own), copy_key, rep (smallest id), row (one of its rows), n_copies, n_shingles, signature."""
     copies = known.groupBy("copy_key").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
+        F.min("doc_id").alias("rep"),
+        F.min(F.struct("doc_id", "text_key")).alias("row"),
+        F.count(F.lit(1)).alias("n_copies"),
+        F.first("n_shingles").alias("n_shingles"),
+        F.first("signature").alias("signature"),
     )
     # The numbers are fixed by writing them.
     return written(copies.withColumn("node", F.monotonically_increasing_id()), "copies")
 
 
-def _classes(docs: DataFrame, known: DataFrame, copies: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _classes(docs: DataFrame, copies: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per distinct shingle set: copy_key, class_node (the class's own number), class_id, copy_id, n_copies, n_links."""
     groups = connected_components(_candidates(copies.where("n_shingles > 0").select("node", "signature")))
     families = written(groups.select("node", F.col("component").alias("family")), "families")
-    found = written(_verified(docs, known, copies, families, id_col, text_col), "links")
+    found = written(_verified(docs, copies, families, id_col, text_col), "links")
     links = found.where("links > 0").groupBy("node").agg(F.sum("links").alias("n_links"))
     trees = connected_components(found.where("parent is not null").select(F.col("node").alias("a"), F.col("parent").alias("b")))
     # Components are numbered by node; the class is named by the smallest id of all its members.
@@ -364,7 +368,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     has none. Repeated rows count in n_copies; other columns are not read; an empty table gives no rows.
     """
     known = written(sketches(docs, id_col, text_col), "sketches")
-    labelled = _classes(docs, known, _copies(known), id_col, text_col)
+    labelled = _classes(docs, _copies(known), id_col, text_col)
     return _spread(known.select("doc_id", "copy_key", "n_shingles"), written(labelled, "labelled")).select(
         "doc_id", "class_id", "copy_id", "n_copies", "n_links", "n_shingles"
     )
@@ -393,15 +397,14 @@ def _candidates(reps: DataFrame) -> DataFrame:
     return dealt.mapInPandas(_candidate_edges, "a long, b long")
 
 
-def _verified(docs: DataFrame, known: DataFrame, copies: DataFrame, families: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _verified(docs: DataFrame, copies: DataFrame, families: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Exact links of the members of each family: node, parent, links.
 
     Of the rows that share a set one is read again, told by its id and text.
     """
     n = families.count()
-    members = copies.select("node", "copy_key", "signature").join(families, "node")
-    chosen = known.join(members.select("copy_key"), "copy_key", "left_semi").groupBy("copy_key").agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
-    wanted = written(chosen.join(members.drop("signature"), "copy_key").select(F.col("row.doc_id").alias("__id"), F.col("row.text_key").alias("__key"), "node", "family"), "wanted")
+    members = copies.select("node", "row", "signature").join(families, "node")
+    wanted = written(members.select(F.col("row.doc_id").alias("__id"), F.col("row.text_key").alias("__key"), "node", "family"), "wanted")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))
     texts = rows.join(F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted, same).select("node", "family", "text")
@@ -431,7 +434,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Among equal ids of a class the smallest text digest stays; of rows that repeat id and text, one.
     """
     known = written(sketches(docs, id_col, text_col), "sketches")
-    labelled = written(_classes(docs, known, _copies(known), id_col, text_col).select("copy_key", "class_node", "n_copies"), "labelled")
+    labelled = written(_classes(docs, _copies(known), id_col, text_col).select("copy_key", "class_node", "n_copies"), "labelled")
     own = known.select("doc_id", "text_key", "copy_key")
     rows = written(_spread(own, labelled).groupBy("doc_id", "text_key", "class_node").agg(F.count(F.lit(1)).alias("n")), "near-rows")
     first = rows.groupBy("class_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("row"))

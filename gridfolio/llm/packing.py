@@ -9,7 +9,7 @@ import unicodedata
 import zlib
 from bisect import bisect_right
 from collections import Counter
-from itertools import accumulate
+from itertools import accumulate, islice
 from operator import ge
 from random import Random
 
@@ -32,6 +32,8 @@ SEARCH = 400_000
 #: Fillings that one of its nodes branches over, and different lengths up to which a node is bounded by lower_bound.
 FILLINGS = 200
 BOUNDED = 48
+#: Words whose ids a worker remembers from one task to the next, about 200 bytes each.
+KEPT_WORDS = 250_000
 #: Rows of one length that are numbered together, and groups of them whose sizes are summed together.
 ROWS_PER_SALT = 256
 SALTS_PER_BLOCK = 4096
@@ -48,8 +50,12 @@ def _classes() -> np.ndarray:
 
 def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The runs of ``values`` that begin at ``starts``, laid end to end."""
+    # Places fit 32 bits, which halves what is moved; only very large arrays need more.
+    kind = np.int32 if len(values) < 2**31 and sizes.sum() < 2**31 else np.int64
     upto = np.cumsum(sizes) - sizes
-    return values[np.repeat(starts - upto, sizes) + np.arange(int(sizes.sum()))]
+    at = np.repeat((starts - upto).astype(kind), sizes)
+    at += np.arange(len(at), dtype=kind)
+    return values[at]
 
 
 class _Runs:
@@ -69,6 +75,11 @@ class _Runs:
         self.used += len(values)
         self.n += len(ends)
 
+    def cut(self, n: int) -> None:
+        """Keep the first ``n`` runs."""
+        self.n, self.used = n, int(self.ends[n])
+        self.values, self.ends = self.values[: max(1, self.used)].copy(), self.ends[: n + 1].copy()
+
     def bounds(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begin = self.ends[number]
         return begin, self.ends[number + 1] - begin
@@ -118,6 +129,13 @@ class PieceEncoder:
         self.number: dict[int, int] = {}
         self.ids, self.spelling = _Runs("<u4"), _Runs("<u4")
 
+    def keep(self, n: int) -> None:
+        """Forget all but the first ``n`` words: those that come first are the frequent ones."""
+        if len(self.number) > n:
+            self.number = dict(islice(self.number.items(), n))
+            self.ids.cut(n)
+            self.spelling.cut(n)
+
     def _learn(self, hashes: list[int], words: list[str]) -> None:
         """Encode different words as one text, which the marks of last tokens cut into words again."""
         ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
@@ -148,8 +166,8 @@ class PieceEncoder:
         known = different.tolist()
         missing = [i for i, h in enumerate(known) if h not in self.number]
         if len(self.number) + len(missing) > self.limit:
-            self.forget()
-            missing = list(range(len(known)))
+            self.keep(KEPT_WORDS)
+            missing = [i for i, h in enumerate(known) if h not in self.number]
         at = np.zeros(len(known), dtype=np.int64)
         at[code[::-1]] = np.arange(len(code))[::-1]
         for k in range(0, len(missing), 50_000):
@@ -203,8 +221,8 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
                     part = ids[4 * start : 4 * (start + capacity)]
                     out.append((doc_id, piece, start, len(part) // 4, zlib.crc32(part), part)[: len(columns)])
             yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
-        # A worker that waits for its next task holds the vocabulary, but no words.
-        own.forget()
+        # A worker that waits for its next task holds a bounded number of words.
+        own.keep(KEPT_WORDS)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     columns = [c.split()[0] for c in schema.split(", ")]

@@ -156,6 +156,17 @@ def test_words_that_share_a_hash_are_told_apart(monkeypatch):
         assert own.encode([text])[0] == np.array(own.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+def test_words_are_forgotten_in_bounds(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_WORDS", 5)
+    own = packing.PieceEncoder(WORD, limit=12)
+    for k in range(6):
+        text = " ".join(f"word{chr(97 + i)}x" for i in range(k, k + 9))
+        assert own.encode([text])[0] == np.array(own.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert len(own.number) <= 12
+        own.keep(5)
+        assert len(own.number) <= 5
+
+
 def test_other_vocabularies_go_through_the_library():
     own = packing.PieceEncoder(BYTE)
     assert not own.known and own.encode(["Some text"])[0] == np.array(own.tokenizer.encode("Some text", add_special_tokens=False).ids, dtype="<u4").tobytes()

@@ -16,17 +16,21 @@ MAX_TOKENS, MIN_TOKENS, OVERLAP_TOKENS = 512, 50, 64
 SEMANTIC_MAX_TOKENS, PERCENTILE = 1024, 0.95
 
 
-def pack_sentences(sentences: list[str], most: int = MAX_TOKENS, least: int = MIN_TOKENS, overlap: int = OVERLAP_TOKENS) -> Iterator[tuple[int, int, str]]:
+def word_count(text: str) -> int:
+    return len(text.split())
+
+
+def pack_sentences(sentences: list[str], most: int = MAX_TOKENS, least: int = MIN_TOKENS, overlap: int = OVERLAP_TOKENS, count: Callable[[str], int] = word_count) -> Iterator[tuple[int, int, str]]:
     """(first sentence, words, text) of chunks of whole sentences; each begins with the last sentences of the one before.
 
-    A sentence above the limit is a chunk of its own, cut by words. A chunk below ``least`` words is left out
-    unless it is the only one.
+    A sentence above the limit is a chunk of its own, cut by words. A chunk below ``least`` words joins the one before it, so
+    that no text is lost; that chunk may then exceed the limit by as much. Words are counted by ``count``.
     """
     pieces = []
     for s in sentences:
         words = s.split()
         pieces += [" ".join(words[i : i + most]) for i in range(0, len(words), most)]
-    sizes = [len(p.split()) for p in pieces]
+    sizes = [count(p) for p in pieces]
     runs, start, total = [], 0, 0
     for i, n in enumerate(sizes):
         if total and total + n > most:
@@ -38,18 +42,26 @@ def pack_sentences(sentences: list[str], most: int = MAX_TOKENS, least: int = MI
         total += n
     if pieces:
         runs.append((start, len(pieces)))
-    kept = [(a, b) for a, b in runs if sum(sizes[a:b]) >= least] or runs[:1]
+    kept: list[tuple[int, int]] = []
+    for a, b in runs:
+        if kept and sum(sizes[a:b]) < least:
+            kept[-1] = (kept[-1][0], b)
+        else:
+            kept.append((a, b))
     for a, b in kept:
         yield a, sum(sizes[a:b]), " ".join(pieces[a:b])
 
 
-def chunks(docs: DataFrame, id_col: str, text_col: str, most: int = MAX_TOKENS, least: int = MIN_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:
-    """document_id, chunk_index, first_sentence, token_count, text. Packing is sequential, so each text is cut by itself, in Arrow batches."""
+def chunks(docs: DataFrame, id_col: str, text_col: str, most: int = MAX_TOKENS, least: int = MIN_TOKENS, overlap: int = OVERLAP_TOKENS, count: Callable[[str], int] = word_count) -> DataFrame:
+    """document_id, chunk_index, first_sentence, token_count, text. Packing is sequential, so each text is cut by itself, in Arrow batches.
+
+    ``count`` counts the tokens of a sentence: words, or those of an injected tokenizer.
+    """
     rows = docs.select(F.col(id_col).alias("document_id"), text.sentences(F.col(text_col)).alias("s"))
 
     def run(batches):
         for pdf in batches:
-            out = [(d, i, *c) for d, s in zip(pdf["document_id"], pdf["s"], strict=True) for i, c in enumerate(pack_sentences(list(s), most, least, overlap))]
+            out = [(d, i, *c) for d, s in zip(pdf["document_id"], pdf["s"], strict=True) for i, c in enumerate(pack_sentences(list(s), most, least, overlap, count))]
             yield pd.DataFrame(out, columns=["document_id", "chunk_index", "first_sentence", "token_count", "text"])
 
     kind = rows.schema["document_id"].dataType.simpleString()
@@ -115,7 +127,8 @@ def cut_by_meaning(sentences: list[str], embed: Callable, most: int, least: int)
 def keywords(docs: DataFrame, id_col: str, text_col: str, n: int = 10) -> DataFrame:
     """The n most frequent words (of three letters or more) and word pairs of each text, by count, then first appearance."""
     words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: w != "")
-    rows = docs.select(F.col(id_col).alias("id"), words.alias("w"))
+    # Texts are dealt out by id once: counts and ranks of their words then need no further shuffle.
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col)).repartition("id").select("id", words.alias("w"))
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 2, F.lit(0))), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))).otherwise(F.array())
     tagged = F.concat(F.transform("w", lambda x, i: F.struct(x.alias("term"), (2 * i).alias("at"))), F.transform(pairs, lambda x, i: F.struct(x.alias("term"), (2 * i + 1).alias("at"))))
     counts = rows.select("id", F.explode(tagged).alias("t")).groupBy("id", "t.term").agg(F.count(F.lit(1)).alias("n"), F.min("t.at").alias("first"))

@@ -41,9 +41,13 @@ def type_scores(text: Column, n_tables: Column) -> Column:
     return F.struct(*[(count(words) + (more if t == "financial" else 0)).alias(t) for t, words in TYPE_WORDS.items()])
 
 
-def document_types(df: DataFrame, text_col: str, n_tables: Column | None = None) -> DataFrame:
-    """Adds document_types (array) and type_confidence: types with at least half of the best score and 2, else the best, else policy."""
-    scored = df.withColumn("__s", type_scores(F.col(text_col), F.lit(0) if n_tables is None else n_tables))
+def document_types(df: DataFrame, text_col: str, n_tables: Column | None = None, filename: Column | None = None) -> DataFrame:
+    """Adds document_types (array) and type_confidence: types with at least half of the best score and 2, else the best, else policy.
+
+    Words of the file's name count as those of the text.
+    """
+    text = F.col(text_col) if filename is None else F.concat_ws(" ", filename, F.col(text_col))
+    scored = df.withColumn("__s", type_scores(text, F.lit(0) if n_tables is None else n_tables))
     best = F.greatest(*[F.col(f"__s.{t}") for t in TYPE_WORDS])
     limit = F.greatest(F.lit(2), F.floor(best * 0.5).cast("int"))
     pairs = F.array(*[F.struct(F.lit(t).alias("type"), F.col(f"__s.{t}").alias("score")) for t in TYPE_WORDS])

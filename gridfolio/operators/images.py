@@ -43,16 +43,27 @@ def duplicates(df: DataFrame, by: str = "document_id", order: str = "image_index
     """Images with an earlier one of their document within MAX_HAMMING bits.
 
     Two hashes that differ in at most 5 bits share one of 6 parts of the hash, so only those that share a part
-    are compared: an equi-join that finds every pair.
+    are compared: an equi-join that finds every pair. Images of one hash are one row in it, by their first and second
+    number, so that a hash that very many images share (that of a blank one, say) makes no pairs of its own.
     """
+    first = df.where("ahash is not null").groupBy(by, "ahash").agg(F.min(order).alias("__first"))
+    near = _near(first, by)
+    least = near.groupBy(by, "ahash").agg(F.min("__other").alias("__near"))
+    rows = df.select(by, order, "ahash").join(first, [by, "ahash"]).join(least, [by, "ahash"], "left")
+    found = F.least(F.col("__first"), F.coalesce("__near", "__first"))
+    return rows.where(found < F.col(order)).select(by, order, found.alias("duplicate_of"))
+
+
+def _near(hashes: DataFrame, by: str) -> DataFrame:
+    """Per hash of a document (by, ahash, __first) the first image of every other hash within MAX_HAMMING bits."""
     width = [11, 11, 11, 11, 10, 10]
     starts = np.cumsum([0, *width[:-1]]).tolist()
     parts = F.array(*[F.shiftrightunsigned("ahash", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in zip(starts, width, strict=True)])
-    cut = df.select(by, order, "ahash", F.posexplode(parts).alias("part", "bits"))
+    cut = hashes.select(by, "__first", "ahash", F.posexplode(parts).alias("part", "bits"))
     a, b = cut.alias("a"), cut.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (by, "part", "bits")]
-    near = (F.col(f"a.{order}") < F.col(f"b.{order}")) & (F.bit_count(F.col("a.ahash").bitwiseXOR(F.col("b.ahash"))) <= MAX_HAMMING)
-    return a.join(b, [*same, near]).groupBy(F.col(f"b.{by}").alias(by), F.col(f"b.{order}").alias(order)).agg(F.min(f"a.{order}").alias("duplicate_of"))
+    close = (F.col("a.ahash") != F.col("b.ahash")) & (F.bit_count(F.col("a.ahash").bitwiseXOR(F.col("b.ahash"))) <= MAX_HAMMING)
+    return a.join(b, [*same, close]).select(F.col(f"b.{by}").alias(by), F.col("b.ahash").alias("ahash"), F.col("a.__first").alias("__other"))
 
 
 def decided(df: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def ingested(parsed: DataFrame, embed: Callable[[list[str]], list] | None = None
     """
     docs = stores.with_id(parsed, "path", name="document_id")
     lines = F.transform("blocks", lambda b: b["text"])
-    typed = enrichment.document_types(docs.withColumn("__text", F.array_join(lines, "\n")), "__text", F.size("tables"))
+    typed = enrichment.document_types(docs.withColumn("__text", F.array_join(lines, "\n")), "__text", F.size("tables"), F.regexp_extract("path", r"([^/]+)$", 1))
     documents = typed.select(
         "document_id", "path", F.when(F.col("error").isNull(), "completed").otherwise("failed").alias("status"), "error",
         "document_types", F.size("blocks").alias("n_blocks"), F.size("tables").alias("n_tables"),

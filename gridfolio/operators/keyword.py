@@ -120,6 +120,9 @@ def search(df: DataFrame, text: str, k: int, by: str = "store", id_col: str = "c
 
 
 def inverted_index(df: DataFrame, by: str = "store", id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """store, term, id, positions: the stored form for repeated searches."""
-    flat = df.select(by, id_col, F.posexplode(tokens(F.col(text_col))).alias("pos", "term")).where("term <> ''")
+    """store, term, id, positions: the stored form for repeated searches.
+
+    Texts are dealt out by id once; their tokens, many times as many rows, are then grouped where they are.
+    """
+    flat = df.select(by, id_col, text_col).repartition(id_col).select(by, id_col, F.posexplode(tokens(F.col(text_col))).alias("pos", "term")).where("term <> ''")
     return flat.groupBy(by, "term", id_col).agg(F.sort_array(F.collect_list("pos")).alias("positions"))

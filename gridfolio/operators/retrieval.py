@@ -14,6 +14,8 @@ RRF_K = 60
 #: Quality grades from low to high.
 QUALITY = ["low", "medium", "high"]
 RERANK_POOL = 40
+#: Rows of one ranked list that are fused.
+LIST_ROWS = 1_000
 ROW_MATCH_BONUS = 0.05
 SENTENCE_BUDGET, KEEP_SCORE, MIN_SENTENCES, MAX_SENTENCES, MIN_KEEP = 120, 0.30, 4, 6, 1
 _CHUNK = ["chunk_id", "document_id", "store", "text"]
@@ -68,14 +70,15 @@ def rrf(df: DataFrame, k: int = RRF_K) -> DataFrame:
     return df.withColumn("rrf_score", 1 / (F.lit(k) + rank))
 
 
-def fuse(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
+def fuse(lists: list[DataFrame], k: int = RRF_K, most: int = LIST_ROWS) -> DataFrame:
     """Ranked lists (chunk_id, document_id, store, text, distance) fused by summed reciprocal ranks.
 
+    The best ``most`` rows of each list take part: a list is the top of a search, and its ranks are numbered in one task.
     A chunk in several lists keeps the longest of its texts and the smallest of its distances.
     """
-    ranked = [
-        df.select(*_CHUNK, "distance", (1 / (F.lit(k) + F.row_number().over(Window.orderBy("distance", "chunk_id")))).alias("part"), F.lit(i).alias("list")) for i, df in enumerate(lists)
-    ]
+    rank = F.row_number().over(Window.orderBy("distance", "chunk_id"))
+    cut = [df.select(*_CHUNK, "distance").orderBy("distance", "chunk_id").limit(most) for df in lists]
+    ranked = [df.withColumns({"part": 1 / (F.lit(k) + rank), "list": F.lit(i)}) for i, df in enumerate(cut)]
     rows = reduce(DataFrame.unionByName, ranked)
     richest = F.max_by(F.struct("document_id", "store", "text"), F.struct(F.length("text"), -F.col("list")))
     out = rows.groupBy("chunk_id").agg(F.sum("part").alias("fused_score"), F.min("distance").alias("distance"), richest.alias("r"))
@@ -90,19 +93,28 @@ def balanced_pool(df: DataFrame, cap: int, order: Column | None = None) -> DataF
     return once.withColumn("__rank", rank).where((F.col("__rank") <= cap) | exempt).drop("__rank")
 
 
+def _with_range(df: DataFrame, column: str, by: list[str] | None) -> DataFrame:
+    """Adds __lo and __hi of a column within its batch: aggregated per task and broadcast, so that no batch is gathered."""
+    known = df.groupBy(*(by or [])).agg(F.min(column).alias("__lo"), F.max(column).alias("__hi"))
+    if not by:
+        return df.crossJoin(F.broadcast(known))
+    keys = known.select(*[F.col(c).alias(f"__{c}") for c in by], "__lo", "__hi")
+    return df.join(keys, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]).drop(*[f"__{c}" for c in by])
+
+
 def minmax_relevance(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """relevance = 1 - (distance - min) / (max - min) within a batch, rounded to 4; equal distances give 1."""
-    w = Window.partitionBy(*(by or []))
-    lo, hi = F.min("distance").over(w), F.max("distance").over(w)
-    return df.withColumn("relevance", F.round(1 - (F.col("distance") - lo) / F.when(hi == lo, 1.0).otherwise(hi - lo), 4))
+    lo, hi = F.col("__lo"), F.col("__hi")
+    shown = F.round(1 - (F.col("distance") - lo) / F.when(hi == lo, 1.0).otherwise(hi - lo), 4)
+    return _with_range(df, "distance", by).withColumn("relevance", shown).drop("__lo", "__hi")
 
 
 def blended_logits(df: DataFrame, logit: str = "logit", by: list[str] | None = None) -> DataFrame:
     """relevance = 0.3 sigmoid + 0.7 min-max of the logits of a batch, clamped to [0, 1] and rounded to 4."""
-    w = Window.partitionBy(*(by or []))
-    lo, hi = F.min(logit).over(w), F.max(logit).over(w)
+    lo, hi = F.col("__lo"), F.col("__hi")
     mixed = 0.3 * numeric.sigmoid(F.col(logit)) + 0.7 * (F.col(logit) - lo) / F.when(hi == lo, 1.0).otherwise(hi - lo)
-    return df.withColumn("relevance", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), mixed)), 4))
+    shown = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), mixed)), 4)
+    return _with_range(df, logit, by).withColumn("relevance", shown).drop("__lo", "__hi")
 
 
 def lexical_logit(question: str, column: Column) -> Column:
@@ -149,7 +161,11 @@ def confidence(df: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def context(df: DataFrame, budget: int = 12_000) -> DataFrame:
-    """Blocks in order of relevance within a budget of characters; the block that crosses it is cut: adds block."""
+    """Blocks in order of relevance within a budget of characters; the block that crosses it is cut: adds block.
+
+    Every block has a character at least, so the budget bounds the rows that are summed in one task; blank ones are left out.
+    """
+    df = df.where(F.length("text") > 0).orderBy(F.col("relevance").desc(), "chunk_id").limit(budget)
     w = Window.orderBy(F.col("relevance").desc(), "chunk_id").rowsBetween(Window.unboundedPreceding, -1)
     used = F.coalesce(F.sum(F.length("text")).over(w), F.lit(0))
     return df.withColumn("used", used).where(F.col("used") < budget).withColumn("block", F.left("text", (F.lit(budget) - F.col("used")).cast("int"))).drop("used")

@@ -99,8 +99,11 @@ def windows(rows: DataFrame, size: int = ROWS_PER_WINDOW, most: int = MAX_WINDOW
 
 
 def page_of_windows(windowed: DataFrame, row_pages: DataFrame) -> DataFrame:
-    """Adds page_start and page_end from (table_id, row_index, page_number)."""
-    w, p = windowed.alias("w"), row_pages.alias("p")
-    inside = (F.col("w.table_id") == F.col("p.table_id")) & F.col("p.row_index").between(F.col("w.row_start"), F.col("w.row_end"))
-    pages = w.join(p, inside).groupBy(F.col("w.table_id").alias("table_id"), "window_index").agg(F.min("page_number").alias("page_start"), F.max("page_number").alias("page_end"))
+    """Adds page_start and page_end from (table_id, row_index, page_number).
+
+    Each window names its rows, so rows meet their windows by an equi-join and no row is compared with other windows.
+    """
+    named = windowed.select("table_id", "window_index", F.explode(F.sequence("row_start", "row_end")).alias("row_index"))
+    pages = named.join(row_pages.select("table_id", "row_index", "page_number"), ["table_id", "row_index"])
+    pages = pages.groupBy("table_id", "window_index").agg(F.min("page_number").alias("page_start"), F.max("page_number").alias("page_end"))
     return windowed.join(pages, ["table_id", "window_index"], "left")

@@ -12,6 +12,8 @@ from gridfolio.functions import numeric, text
 from gridfolio.plans import binder, nl
 
 MAX_ROWS = 200
+#: Columns that a question can be bound to.
+MAX_HEADERS = 10_000
 
 
 class Source:
@@ -20,10 +22,17 @@ class Source:
     def __init__(self, df: DataFrame, maps: bool = False):
         self.df, self.maps = df, maps
         if maps:
-            self.headers = [r[0] for r in df.select(F.explode(F.map_keys("row_data"))).distinct().sort("col").collect()]
+            self.headers = self._keys("row_data")
         else:
             self.headers = df.columns
 
+    def _keys(self, column: str) -> list[str]:
+        """The keys of a map column: names of columns, of which a table has few. More than MAX_HEADERS are no table's."""
+        keys = [r[0] for r in self.df.select(F.explode(F.map_keys(column)).alias("k")).distinct().sort("k").limit(MAX_HEADERS + 1).collect()]
+        if len(keys) > MAX_HEADERS:
+            raise ValueError(f"{column} has more than {MAX_HEADERS} different keys: restrict the rows to fewer tables")
+        return keys
+
     def as_text(self, column: str) -> Column:
         return F.try_element_at("row_data", F.lit(column)) if self.maps else F.col(column).cast("string")
 
@@ -35,7 +44,7 @@ class Source:
 
     def numeric_columns(self) -> list[str]:
         if self.maps:
-            return [r[0] for r in self.df.select(F.explode(F.map_keys("row_numeric"))).distinct().sort("col").collect()]
+            return self._keys("row_numeric")
         return [f.name for f in self.df.schema if isinstance(f.dataType, T.NumericType)]
 
     def column_of_values(self, values: list[str]) -> str | None:

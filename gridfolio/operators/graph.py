@@ -170,6 +170,69 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return labels
 
 
+def modularity(edges: DataFrame, groups: DataFrame) -> float:
+    """The share of weight inside communities less what chance would put there; edges (src, tgt, weight), groups (node, community)."""
+    pairs = undirected(edges)
+    total = pairs.agg(F.sum("weight")).first()[0] or 0.0
+    if not total:
+        return 0.0
+    own = groups.select("node", "community")
+    ends = pairs.join(own.toDF("a", "ca"), "a").join(own.toDF("b", "cb"), "b")
+    inside = ends.where("ca = cb").agg(F.sum("weight")).first()[0] or 0.0
+    degrees = ends.select(F.explode(F.array("ca", "cb")).alias("community"), "weight").groupBy("community").agg(F.sum("weight").alias("d"))
+    return inside / total - (degrees.agg(F.sum(F.pow(F.col("d") / (2 * total), 2))).first()[0] or 0.0)
+
+
+def communities(edges: DataFrame, rounds: int = 8, levels: int = 5) -> DataFrame:
+    """node, community by modularity: nodes move to the neighbouring community that gains most, then communities become nodes.
+
+    Deterministic: all nodes decide at once; one that gains equally by several takes the smaller label. In each round only nodes of one
+    half, by hash, may move, so that neighbours don't swap places for ever. Each round and level is written; it ends
+    when no node moves. A community is named by its smallest node.
+    """
+    pairs = written(undirected(edges), "louvain-edges")
+    total = pairs.agg(F.sum("weight")).first()[0] or 0.0
+    links = written(pairs.select("a", "b", "weight").union(pairs.select("b", "a", "weight")), "louvain-links")
+    members = written(links.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")), "louvain-members")
+    for _ in range(levels if total else 0):
+        labels = _moved(links, total, rounds)
+        if labels is None:
+            break
+        members = written(members.join(labels.toDF("community", "__to"), "community").select("node", F.col("__to").alias("community")), "louvain-members")
+        to = labels.select(F.col("node").alias("b"), F.col("community").alias("cb"))
+        joined = links.join(labels.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(to, "b")
+        # Weight inside a community stays as a loop of its node.
+        links = written(joined.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("weight").alias("weight")), "louvain-links")
+    names = members.groupBy("community").agg(F.min("node").alias("name"))
+    return members.join(names, "community").select("node", F.col("name").alias("community"))
+
+
+def _moved(links: DataFrame, total: float, rounds: int) -> DataFrame | None:
+    """node, community after moving single nodes; None if none gains. ``links`` holds both directions, and loops once with both halves."""
+    degrees = written(links.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("degree")), "louvain-degrees")
+    labels = written(degrees.select("node", F.col("node").alias("community")), "louvain-labels")
+    moved, still = False, 0
+    for r in range(2 * rounds):
+        placed = labels.join(degrees, "node")
+        sums = placed.groupBy("community").agg(F.sum("degree").alias("sum"))
+        near = links.where("a <> b").join(labels.toDF("b", "to"), "b").groupBy(F.col("a").alias("node"), "to").agg(F.sum("weight").alias("w"))
+        own = placed.select("node", F.col("community").alias("now"), "degree")
+        options = near.unionByName(labels.select("node", F.col("community").alias("to"), F.lit(0.0).alias("w"))).groupBy("node", "to").agg(F.sum("w").alias("w"))
+        scored = options.join(own, "node").join(sums.toDF("to", "sum"), "to")
+        rest = F.col("sum") - F.when(F.col("to") == F.col("now"), F.col("degree")).otherwise(0.0)
+        gain = F.round(F.col("w") - F.col("degree") * rest / F.lit(2.0 * total), 9)
+        rank = F.row_number().over(Window.partitionBy("node").orderBy(F.col("gain").desc(), (F.col("to") != F.col("now")).cast("int"), "to"))
+        best = scored.withColumn("gain", gain).withColumn("r", rank).where("r = 1")
+        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
+        after = written(best.select("node", F.when(turn, F.col("to")).otherwise(F.col("now")).alias("community"), (turn & (F.col("to") != F.col("now"))).alias("changed")), "louvain-labels")
+        changes = after.where("changed").limit(1).count()
+        labels = after.select("node", "community")
+        moved, still = moved or bool(changes), 0 if changes else still + 1
+        if still == 2:
+            break
+    return labels if moved else None
+
+
 def summaries(groups: DataFrame, names: DataFrame, shown: int = 10, least: int = 3, most: int = 40) -> DataFrame:
     """The largest communities of at least ``least`` members with a summary that names the first ``shown`` of them."""
     rows = groups.join(names, groups["node"] == names["entity_key"])
@@ -216,10 +279,6 @@ def sentence_relations(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("p.src", "p.tgt", F.lit("CO_OCCURS").alias("rel_type"), F.lit(None).cast("string").alias("description"), "document_id", F.lit(None).cast("double").alias("confidence"), "seq")
 
 
-def should_rebuild(dirty: int, elapsed_seconds: float, most_dirty: int = 25, most_seconds: float = 1800) -> bool:
-    return dirty >= most_dirty or (dirty > 0 and elapsed_seconds >= most_seconds)
-
-
 def route(cue_global: bool, has_entities: bool) -> str:
     """local where the question names known entities, global where it asks about all of the collection, else none."""
     return "global" if cue_global else "local" if has_entities else "none"

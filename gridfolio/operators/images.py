@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -122,3 +124,59 @@ def routed(df: DataFrame) -> DataFrame:
     quality = F.when(table, F.when(valid & clean, "high").when(valid, "medium").otherwise("low")).when(F.col("content_class") == "decorative", "low").otherwise(F.when(n >= 200, "high").when(n >= 60, "medium").otherwise("low"))
     to = F.when(table & ~valid, "vector_store").otherwise(destination(F.col("content_class"), F.col("confidence")))
     return out.withColumns({"is_valid": valid, "quality": quality, "destination_store": to})
+
+
+def _checked(df: DataFrame, valid: Column, to: str) -> DataFrame:
+    return df.where(valid).withColumn("store", F.lit(to))
+
+
+def table_rows(df: DataFrame) -> DataFrame:
+    """Tables: title, headers and rows of the structured content; only grids with uniform rows are valid."""
+    from gridfolio.functions import nested
+    from gridfolio.operators.ingest import vlm_tables
+
+    found = vlm_tables(df, "structured_content")
+    return _checked(found, (F.size("rows") > 0) & nested.uniform_width(F.col("rows")), "table_store")
+
+
+def clause_rows(df: DataFrame) -> DataFrame:
+    """Clauses: number, title and type of the text that was read."""
+    from gridfolio.functions import text
+
+    found = df.withColumn("c", text.clause(F.col("ocr_text"), F.lit(None).cast("string")))
+    found = found.withColumns({"clause_number": F.col("c.number"), "clause_title": F.col("c.title"), "clause_type": F.col("c.type"), "text": F.trim("ocr_text")}).drop("c")
+    return _checked(found, searchable(F.col("text")), "clause_store")
+
+
+def text_rows(df: DataFrame) -> DataFrame:
+    """Plain text: the structured content, else what was read."""
+    said = F.when(F.trim(F.coalesce("structured_content", F.lit(""))) != "", F.trim("structured_content")).otherwise(F.trim("ocr_text"))
+    found = df.withColumn("text", said)
+    return _checked(found, searchable(F.col("text")), "vector_store")
+
+
+#: What turns routed content into the rows of a store. Further stores are added by name.
+HANDLERS: dict[str, Callable[[DataFrame], DataFrame]] = {"table_store": table_rows, "clause_store": clause_rows, "vector_store": text_rows}
+
+
+def stored(routed_rows: DataFrame, handlers: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> dict[str, DataFrame]:
+    """The rows of each store by its handler, and under ``rejected`` those that have no handler. One plan per store."""
+    known = HANDLERS | (handlers or {})
+    out = {name: handle(routed_rows.where(F.col("destination_store") == name)) for name, handle in known.items()}
+    return out | {"rejected": routed_rows.where(~F.coalesce("destination_store", F.lit("")).isin(*known))}
+
+
+def read_text(df: DataFrame, ocr: Callable[[bytes], str], content: str = "content") -> DataFrame:
+    """Adds ocr_text and ocr_error by an injected reader of image bytes, in Arrow batches; an image that fails costs no other."""
+
+    @F.pandas_udf("struct<ocr_text:string,ocr_error:string>")
+    def run(images: pd.Series) -> pd.DataFrame:
+        def one(data):
+            try:
+                return (ocr(bytes(data)), None) if data is not None else (None, None)
+            except Exception as e:
+                return None, f"{type(e).__name__}: {e}"
+
+        return pd.DataFrame([one(x) for x in images], columns=["ocr_text", "ocr_error"])
+
+    return df.withColumn("__o", run(content)).select(*df.columns, "__o.*")

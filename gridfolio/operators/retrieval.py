@@ -33,6 +33,31 @@ def prefiltered(df: DataFrame, currency: str | None = None, fiscal_year: str | N
     return df
 
 
+def of_documents(df: DataFrame, document_id: str | None = None, document_ids: list[str] | None = None) -> DataFrame:
+    """Rows of one document, or of a list of them; of all without either."""
+    df = df if document_id is None else df.where(F.col("document_id") == document_id)
+    return df if document_ids is None else df.where(F.col("document_id").isin(*document_ids))
+
+
+def of_completed(df: DataFrame, documents: DataFrame, status: str = "completed") -> DataFrame:
+    """Rows of documents in a state: only what is completely ingested is searched."""
+    return df.join(documents.where(F.col("status") == status).select("document_id"), "document_id", "left_semi")
+
+
+def hybrid_tables(rows: DataFrame, tables: DataFrame, query: list[float], k: int) -> DataFrame:
+    """Tables by their nearest row and by their own summary: both searches as one, each chunk at its smaller distance, cut to k."""
+    return merged_hits(nearest(rows, query, k), nearest(tables, query, k), k)
+
+
+def listed_chunks(chunks: DataFrame, document_id: str, store: str | None = None, page: int | None = None, number: int = 1, size: int = 50) -> DataFrame:
+    """A page of a document's chunks in their order, of one store and one of its pages if asked for."""
+    rows = of_documents(chunks, document_id)
+    rows = rows if store is None else rows.where(F.col("store") == store)
+    rows = rows if page is None else rows.where(F.col("page") == page)
+    order = [c for c in ("store", "page", "chunk_index", "chunk_id") if c in rows.columns]
+    return rows.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
+
+
 def typed(df: DataFrame, document_types: list[str], column: str = "document_types") -> DataFrame:
     """Rows whose array of types has one of ``document_types``."""
     return df.where(F.arrays_overlap(F.col(column), F.array(*[F.lit(t) for t in document_types])))

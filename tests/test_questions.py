@@ -97,7 +97,7 @@ def test_stores():
     assert nl.select_stores(None, {"stores": ["clause"], "confidence": 0.4}) == list(nl.ALL_STORES)
     assert nl.route_by_centroid({"vector": 0.9, "table": 0.5})["stores"] == ["vector"]
     assert nl.route_by_centroid({"vector": 0.1})["confidence"] == 0.35
-    assert nl.is_conversational("hello") and not nl.is_conversational("what is revenue in 2024")
+    assert nl.is_conversational("hello") and not nl.is_conversational("list invoices") and not nl.is_conversational("please summarize") and not nl.is_conversational("what is revenue in 2024")
 
 
 @pytest.mark.parametrize(("question", "want"), [("total Actual USD", 56600.0), ("average Actual USD", 11320.0), ("how many rows", 5.0), ("min Actual USD", -542.0), ("max Actual USD", 20000.0)])
@@ -157,10 +157,11 @@ def test_engine_answers_or_retrieves(spark, sales):
     chunks = spark.createDataFrame([("c1", "d", "vector_store", "apples grow on trees"), ("c2", "d", "vector_store", "cars drive"), ("c3", "e", "clause_store", "apples and law")], ["chunk_id", "document_id", "store", "text"])
     e = engine.Engine({"sales": (sales, ["Month"])}, chunks)
     assert e.query("top 2 rows by Actual USD").rows.count() == 2
-    found = e.query("apples")
-    assert found.kind == "evidence" and {r["chunk_id"] for r in found.rows.collect()} == {"c1", "c3"}
-    assert e.answer("apples")["confidence"] >= 0.5
-    assert e.agentic("apples", lambda t: ["cars"]).count() == 3
+    assert e.query("apples").kind == "conversation" and e.query("thanks!").rows is None
+    found = e.query("apples that grow")
+    assert found.kind == "evidence" and {r["chunk_id"] for r in found.rows.collect()} == {"c1"}
+    assert e.answer("which apples")["confidence"] >= 0.5
+    assert {r["chunk_id"] for r in e.agentic("what apples", lambda t: ["what cars"]).collect()} == {"c1", "c2", "c3"}
 
 
 def test_window_source_binds_map_keys(spark):

@@ -175,9 +175,11 @@ def row_sets_union(spark, sf_dir):
     return left.union(read_table(spark, sf_dir, "supplier").select("s_nationkey")).distinct()
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT doc_id FROM documents WHERE doc_id IS NOT NULL EXCEPT SELECT doc_id FROM labels")
 def lineage_gap(spark, sf_dir):
-    return read_table(spark, sf_dir, "customer").select("c_custkey").exceptAll(read_table(spark, sf_dir, "orders").select("o_custkey").distinct()).distinct()
+    """Documents that never got a label."""
+    docs = read_table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id")
+    return catalog.missing_children(docs, read_table(spark, sf_dir, "labels"), "doc_id").distinct()
 
 
 @query("SELECT n_name, r_name, count(s_suppkey) AS n_suppliers FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2")

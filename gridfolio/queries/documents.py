@@ -109,12 +109,6 @@ def unseen_numbers(spark, sf_dir):
     return a.join(b, a["doc_id"] == b["item_id"]).select("doc_id", "item_id", F.size(F.array_except("a", "b")).cast("long").alias("n_unseen"))
 
 
-@query()
-def clause_detection(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents")
-    return docs.select("doc_id", text.clause(F.col("text"), F.lit(None).cast("string")).alias("c")).select("doc_id", "c.*")
-
-
 _HASH = "list_sum(list_transform(range(1, 17), lambda i: CASE WHEN embedding[i] > 0 THEN (2::HUGEINT ** (i - 1))::BIGINT ELSE 0 END))::BIGINT"
 
 

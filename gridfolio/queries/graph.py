@@ -115,11 +115,6 @@ def graph_stats(spark, sf_dir):
     return graph.stats(nodes, nation, _log(spark, sf_dir), nation.select(F.col("n_regionkey").alias("community")))
 
 
-@query()
-def entity_mentions(spark, sf_dir):
-    return graph.mentions(read_table(spark, sf_dir, "documents"), "doc_id", "text")
-
-
 @query()
 def communities_label_propagation(spark, sf_dir):
     lines = read_table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")

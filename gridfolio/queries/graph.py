@@ -120,3 +120,13 @@ def communities_label_propagation(spark, sf_dir):
     lines = read_table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
     edges = lines.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("tgt"), F.lit(1.0).alias("weight"))
     return graph.label_propagation(edges, 4)
+
+
+@query()
+def communities_by_modularity(spark, sf_dir):
+    """Nations that share customers' suppliers: weights are the lines between a customer's and a supplier's nation."""
+    orders, lines = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "lineitem")
+    customer, supplier = read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "supplier")
+    pairs = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    pairs = pairs.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("c_nationkey", "s_nationkey").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return graph.communities(pairs.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("tgt"), "weight"), rounds=3, levels=2)

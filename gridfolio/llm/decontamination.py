@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridfolio.llm.text import BROADCAST_ROWS, Memo, by_size, hashes, held, word_hash, word_memo, words
+from gridfolio.llm.text import BROADCAST_ROWS, Memo, by_size, hashes, held, hot_join, word_hash, word_memo, words
 from gridfolio.session import written
 
 #: Fixed masks: 1 is a token that counts, 0 one that is ignored. Together they hit every overlap of MIN_TOKENS tokens or
@@ -160,9 +160,11 @@ def _candidates(rows: DataFrame, items: DataFrame) -> DataFrame:
     hits = _hits(rows, seeds)
     known = seeds.select("seed", "item_row", "place")
     joined = hits.join(F.broadcast(known), "seed") if seeds.count() <= BROADCAST_SEEDS else hits.distinct().join(known, "seed")
-    starts = joined.groupBy("text_key", "item_row").agg(F.collect_set(F.col("at") - F.col("place")).alias("shifts"))
-    starts = written(starts.join(items, "item_row"), "benchmark-candidates")
-    return starts.groupBy("text_key").agg(F.collect_list(F.struct("item_row", "item_id", "tokens", "shifts")).alias("found"))
+    starts = written(joined.groupBy("text_key", "item_row").agg(F.collect_set(F.col("at") - F.col("place")).alias("shifts")), "benchmark-candidates")
+    # A passage that very many texts have is a hot key here.
+    uses = starts.groupBy("item_row").agg(F.count(F.lit(1)).alias("n"))
+    named = hot_join(starts, written(items.join(uses, "item_row"), "benchmark-used"), "item_row", "n", starts.count())
+    return named.groupBy("text_key").agg(F.collect_list(F.struct("item_row", "item_id", "tokens", "shifts")).alias("found"))
 
 
 def _verify(text: str, found: list, memo: Memo) -> list[tuple]:

@@ -79,12 +79,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     total = groups.agg(F.sum("group_size")).first()[0] or 0
     shared = groups.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("text_sha256")
     content = normalised(F.col(text_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(content, 256).alias("text_sha256"))
+    rows = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(content, 256).alias("text_sha256")), "exact-rows")
     if shared.isEmpty():
-        return _labelled(hot_join(rows, groups.withColumn("n", F.col("group_size")), "text_sha256", "n", total, F.col("doc_id")))
+        return _labelled(hot_join(rows, groups.withColumn("n", F.col("group_size")), "text_sha256", "n", total))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(content, 256).alias("text_sha256"), content.alias("content"))
     alone = groups.join(shared, "text_sha256", "left_anti").withColumn("n", F.col("group_size"))
-    by_digest = hot_join(rows, alone, "text_sha256", "n", total, F.col("doc_id"))
+    by_digest = hot_join(rows, alone, "text_sha256", "n", total)
     by_content = own.join(shared, "text_sha256", "left_semi").join(grouped, ["text_sha256", "content"])
     return _labelled(by_digest).unionByName(_labelled(by_content))
 

@@ -130,10 +130,12 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def _blocks(members: DataFrame, counts: DataFrame, group: str) -> DataFrame:
     """Members dealt over pairs of blocks: left, right, in_left, and the members' columns.
 
-    ``counts`` has the number of blocks of each group, ``blocks``. A group of one block is one pair (0, 0). In a larger one each member goes to as many
-    pairs as there are blocks, so that any two members meet in exactly one task.
+    ``counts`` has the members ``n`` and the number of blocks of each group, ``blocks``. A group of one block is one pair (0, 0). In a larger
+    one each member goes to as many pairs as there are blocks, so that any two members meet in exactly one task. Members of
+    a large group are dealt where they are, never gathered first.
     """
-    cut = members.join(counts.select(group, "blocks"), group)
+    counts = written(counts.select(group, "blocks", "n"), f"{group}-blocks")
+    cut = hot_join(members, counts, group, "n", counts.agg(F.sum("n")).first()[0] or 0)
     cut = cut.withColumn("__own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
     cut = cut.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return cut.withColumns({"left": F.least("__own", "__other"), "right": F.greatest("__own", "__other"), "in_left": F.col("__own") <= F.col("__other")})
@@ -337,7 +339,7 @@ def _classes(docs: DataFrame, copies: DataFrame, id_col: str, text_col: str) ->
     named = written(trees.join(copies.select("node", "rep"), "node"), "classes")
     smallest = named.groupBy("component").agg(F.min("rep").alias("class_id"), F.count(F.lit(1)).alias("n"))
     total = named.count()
-    classes = hot_join(named.select("node", "component"), smallest, "component", "n", total, F.col("node")).withColumnRenamed("component", "class_node")
+    classes = hot_join(named.select("node", "component"), smallest, "component", "n", total).withColumnRenamed("component", "class_node")
     labelled = copies.select("node", "copy_key", "rep", "n_copies").join(links, "node", "left").join(classes, "node", "left")
     return labelled.select(
         "copy_key",
@@ -377,7 +379,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _spread(rows: DataFrame, labelled: DataFrame) -> DataFrame:
     """Labels of copies given to their rows; one set may have very many."""
     total = labelled.agg(F.sum("n_copies")).first()[0] or 0
-    return hot_join(rows, labelled.withColumn("__n", F.col("n_copies")), "copy_key", "__n", total, F.col("doc_id"))
+    return hot_join(rows, labelled.withColumn("__n", F.col("n_copies")), "copy_key", "__n", total)
 
 
 def _candidates(reps: DataFrame) -> DataFrame:
@@ -388,7 +390,7 @@ def _candidates(reps: DataFrame) -> DataFrame:
             sigs = [np.frombuffer(s, dtype="<u4") for s in pdf["signature"]]
             yield pd.DataFrame({"node": np.repeat(pdf["node"].to_numpy(), BANDS), "band": np.array([bands(s) for s in sigs], dtype=np.int64).reshape(-1)})
 
-    keys = reps.mapInPandas(run, "node long, band long")
+    keys = written(reps.mapInPandas(run, "node long, band long"), "bands")
     counts = keys.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / SKETCH_BLOCK).cast("int"))
     # Members of large buckets are dealt over blocks before their signatures are attached.
     dealt = _blocks(keys, counts, "band").select("band", "left", "right", "in_left", "node").join(reps, "node")

@@ -113,26 +113,20 @@ def hot_limit(total: int) -> int:
     return max(HOT_ROWS, total // 10_000)
 
 
-def hot_join(rows: DataFrame, table: DataFrame, key: str | list[str], weight: str, total: int, spread: Column) -> DataFrame:
+def hot_join(rows: DataFrame, table: DataFrame, key: str | list[str], weight: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with ``table``, which has each ``key`` once, and how many rows share it in ``weight``.
 
-    ``total`` is the sum of the weights. Rows of hot keys find theirs in a broadcast of at most 10,000 rows, and are
-    dealt out by ``spread`` instead of the key; all other keys have few rows and are joined by a shuffle. ``weight``
-    is not carried on. Keys of null match nothing.
+    ``total`` is the sum of the weights. Rows of hot keys stay where they are and find theirs in a broadcast of at most
+    10,000 rows; all other keys have few rows and are joined by a shuffle. Both sides are read twice: pass
+    written tables, or what is cheap to compute. ``weight`` is not carried on. Keys of null match nothing.
     """
     keys = [key] if isinstance(key, str) else key
     limit = hot_limit(total)
-    values = [c for c in table.columns if c not in (*keys, weight)]
-    named = [F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)]
-    found = F.struct(*values) if values else F.struct(F.lit(True).alias("__there"))
-    hot = table.where(F.col(weight) > limit).select(*[F.col(k).alias(f"__hot{i}") for i, k in enumerate(keys)], found.alias("__known"))
-    cold = table.where(F.col(weight) <= limit).select(F.xxhash64(*keys).alias("__deal"), *named, found.alias("__found"))
-    same = lambda side: [F.col(k) == F.col(f"__{side}{i}") for i, k in enumerate(keys)]
-    dealt = rows.join(F.broadcast(hot), same("hot"), "left").drop(*[f"__hot{i}" for i in range(len(keys))])
-    dealt = dealt.withColumn("__own", F.when(F.col("__known").isNull(), F.xxhash64(*keys)).otherwise(F.xxhash64(F.lit("hot"), spread)))
-    joined = dealt.join(cold, [F.col("__own") == F.col("__deal"), *same("key")], "left")
-    joined = joined.withColumn("__value", F.coalesce("__known", "__found")).where("__value is not null")
-    return joined.select(*rows.columns, *[F.col(f"__value.{v}").alias(v) for v in values])
+    hot = F.broadcast(table.where(F.col(weight) > limit).drop(weight))
+    cold = table.where(F.col(weight) <= limit).drop(weight)
+    columns = [*rows.columns, *[c for c in table.columns if c not in (*keys, weight)]]
+    found = rows.join(hot, keys).select(*columns)
+    return found.unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys).select(*columns))
 
 
 #: Rows whose keys may be broadcast as a filter, about 100 bytes each; more are joined by a shuffle.

@@ -94,7 +94,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     counts = read_cache(spark, cache_path).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.min("n_tokens").alias("n_tokens"))
     # A text may have very many copies, so its count is joined as a hot key.
     answers = written(uses.join(counts, "content_digest"), "answers")
-    return hot_join(sized, answers, "content_digest", "n", sized.count(), F.col("doc_id")).select(
+    return hot_join(sized, answers, "content_digest", "n", sized.count()).select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.lower(F.hex("content_digest")).alias("content_digest")
     )
 

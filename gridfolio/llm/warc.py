@@ -13,6 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridfolio.llm.text import hot_limit
 from gridfolio.session import scratch_path, written
 
 #: Equal payloads of at least so many bytes are stored once.
@@ -139,7 +140,12 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     # Only payloads that recur are named, the html itself stays where it was read; a payload that doesn't recur refers to nothing.
     repeated = marked.select(F.col("key.*"), "first")
     few = marked.count() <= BROADCAST_PAYLOADS
-    named = large.join(F.broadcast(repeated) if few else repeated, key, "left")
+    if few:
+        named = large.join(F.broadcast(repeated), key, "left")
+    else:
+        # Payloads with very many copies are few and stay where they are; the others are joined by a shuffle.
+        hot = F.broadcast(marked.where(F.col("n") > hot_limit(marked.agg(F.sum("n")).first()[0])).select(F.col("key.*"), "first"))
+        named = large.join(hot, key).unionByName(large.join(hot.select(*key), key, "left_anti").join(repeated, key, "left"))
     named = named.withColumn("refers_to", F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
     columns = ["page_id", "url", "html", "digest", "refers_to"]
     named = small.select(*columns).unionByName(named.select(*columns))

@@ -129,6 +129,14 @@ def test_result_does_not_depend_on_partitions(spark):
     assert "Title 0\n\nText 0 is here." in {r["text"] for r in H.extract(df).collect() if r["page_id"] >= 100}
 
 
+def test_partial_wrappers_are_aligned_in_rounds(spark, monkeypatch):
+    rows = [(i, "http://q.org/x", f"<body><div>Menu of the site</div><div><h2>Title {i}</h2><div>Text {i} is here.{ ' More.' * (i % 4)}</div></div></body>") for i in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(12, "page_id")
+    want = sorted(map(str, H.extract(df).collect()))
+    monkeypatch.setattr(H, "FAN_IN", 2)
+    assert sorted(map(str, H.extract(df).collect())) == want
+
+
 def test_long_pages_are_aligned_in_bounds(monkeypatch):
     a = [str(i) for i in range(300)]
     b = [x for x in a if int(x) % 7] + ["x"]

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridfolio.llm import decontamination, exact_dedup, ngram_join, packing, toxicity
 from gridfolio.llm.text import crc_mod
-from gridfolio.session import read_table, written
+from gridfolio.session import read_table, scratch_path, scratch_scope
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,22 +21,35 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text, white space aside: that with the most code points, then the smallest id.
+
+    A document is told by id and text: those that share an id, or have none, with different texts all stay.
+    """
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: that with the smallest id."""
+    """One document of each near-duplicate class: that with the smallest id, null last; told by id and text as well."""
     return ngram_join.keep_one(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose text overlaps no benchmark item. The text decides; null and empty texts stay."""
     return decontamination.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences; a null text is the end id alone, repeated rows are packed each."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def kept(docs: DataFrame, name: str) -> DataFrame:
+    """Written outside the stage's scope."""
+    path = scratch_path(docs.sparkSession, name)
+    docs.write.parquet(path)
+    return docs.sparkSession.read.schema(docs.schema).parquet(path)
+
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact dedup", drop_exact),
@@ -50,11 +63,11 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over the documents of ``sf_dir``."""
     docs = read_table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = written(docs, f"stage-{i}")
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        # What a stage wrote for itself goes once its result is written; the result itself is kept in the scope around it.
+        with scratch_scope(spark):
+            docs = kept(stage(spark, docs, sf_dir), f"stage-{i}")
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: The classifier, the similarity join and the tokenizer have no SQL; tests hold the stages against brute force.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridfolio.llm.text import hot_limit
-from gridfolio.session import written
+from gridfolio.session import discard, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "edges")
     seen = _mark(now)
     while seen[0]:
-        now = written(_small_star(_large_star(now, seen[0]), seen[0]), "edges")
+        # A round reads only what the one before wrote, so that may go.
+        before, stars = now, written(_large_star(now, seen[0]), "stars")
+        now = written(_small_star(stars, seen[0]), "edges")
+        discard(before)
+        discard(stars)
         mark = _mark(now)
         if mark == seen:
             break
@@ -61,7 +65,6 @@ def _large_star(edges: DataFrame, total: int) -> DataFrame:
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Each node and its smaller neighbours are linked to the smallest of them."""
-    edges = written(edges, "stars")
     least = edges.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n"))
     joined = _with_least(edges, least, total)
     return joined.select(F.col("u").alias("v"), F.col("m").alias("u")).union(least.select("v", F.col("m").alias("u"))).where("v <> u").distinct()

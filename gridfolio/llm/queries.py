@@ -11,43 +11,52 @@ from gridfolio.session import read_table
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the row that stays of its text; null text: empty, null id: last choice, repeats: all in group_size."""
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its predicted language; ``und`` without a letter, held_out false without an id."""
     return language.identify(read_table(spark, sf_dir, "documents"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its toxicity score; the base score without a hit (null and empty texts), held_out false without an id."""
     return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place; null text: the end id alone, repeated rows: packed each."""
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its main text; null html: empty, null url: the host without a name, repeated rows: repeated results."""
     return html_extract.extract(read_table(spark, sf_dir, "pages"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its lines of recurring templates; null text: one empty line, null id: all lines stay."""
     return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cache is new for each run, so that the run encodes every distinct text once."""
+    """Every document with its size in tokens; null text: empty. The cache is new for each run, so that it encodes every distinct text once."""
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), token_counts.default_cache(spark))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every overlap of a document with a benchmark item; null texts have none, null ids are given as null, repeats each."""
     return decontamination.overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its near-duplicate class and number of links; null and empty texts are one class of copies."""
     return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from its archive; null html: an empty payload, a null id is never referred to."""
     return warc.archive_round_trip(read_table(spark, sf_dir, "pages"))
 
 

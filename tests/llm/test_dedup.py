@@ -132,6 +132,40 @@ def test_near_duplicates_lose_no_link(near):
     assert got[n]["copy_id"] == n - 1 and got[n - 2]["copy_id"] == n - 3
 
 
+def test_links_of_all_documents(spark):
+    """On sf0.1, all documents against all others, through those that share a shingle."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    sets = {}
+    for r in docs.toLocalIterator():
+        w = words(r["text"])
+        key = frozenset(hash(tuple(w[k : k + 5])) for k in range(max(1, len(w) - 4))) if w else frozenset()
+        sets[r["doc_id"]] = key
+    got = {r["doc_id"]: r for r in ngram_join.near_duplicates(docs).collect()}
+    first = {key: min(i for i in ids) for key, ids in _by_value(sets).items()}
+    where = defaultdict(list)
+    for key, i in first.items():
+        for x in key:
+            where[x].append(i)
+    n = found = 0
+    for i in sorted(first.values()):
+        if sets[i]:
+            near = {j for x in sets[i] for j in where[x]} - {i}
+            links = [j for j in near if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+            n += len(links)
+            found += sum(got[i]["class_id"] == got[j]["class_id"] for j in links)
+            assert got[i]["n_links"] <= len(links)
+            n += len(links)
+            found += got[i]["n_links"]
+    assert n > 100 and found >= 0.99 * n, (n, found)
+
+
+def _by_value(sets):
+    out = defaultdict(list)
+    for i, key in sets.items():
+        out[key].append(i)
+    return out
+
+
 def test_near_duplicate_edges(nasty, none):
     got = ngram_join.near_duplicates(nasty).collect()
     assert len(got) == nasty.count()

@@ -103,4 +103,4 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     name = [F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__key")]
     drop = written(labels.where("not kept").select(*name).distinct(), "exact-drop")
     repeated = written(labels.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").select(*name), "exact-repeated")
-    return without_rows(docs, drop, repeated, id_col, F.sha2(normalised(F.col(text_col)), 256))
+    return without_rows(docs, drop, repeated, id_col, text_col, F.sha2(normalised(F.col(text_col)), 256))

@@ -444,4 +444,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))
     drop = written(rows.join(stay, same, "left_anti").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")), "near-drop")
     repeated = written(rows.where("n > 1").join(stay, same, "left_semi").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")), "near-repeated")
-    return without_rows(docs, drop, repeated, id_col, _text_key(F.col(text_col)))
+    return without_rows(docs, drop, repeated, id_col, text_col, _text_key(F.col(text_col)))

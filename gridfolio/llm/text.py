@@ -133,10 +133,11 @@ def hot_join(rows: DataFrame, table: DataFrame, key: str | list[str], weight: st
 BROADCAST_ROWS = 500_000
 
 
-def without_rows(docs: DataFrame, drop: DataFrame, repeated: DataFrame, id_col: str, key: Column) -> DataFrame:
+def without_rows(docs: DataFrame, drop: DataFrame, repeated: DataFrame, id_col: str, text_col: str, key: Column) -> DataFrame:
     """``docs`` without the rows that ``drop`` names, and with one of each that ``repeated`` names, with all columns.
 
-    Both tables are written ones and name rows by __id and __key, which ``key`` computes from a row.
+    Both tables are written ones and name rows by __id and __key, which ``key`` computes from a row. Of rows with one name the
+    longest text stays, then the last in the order of texts.
     """
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key"))
     few = drop.count() <= BROADCAST_ROWS
@@ -146,5 +147,7 @@ def without_rows(docs: DataFrame, drop: DataFrame, repeated: DataFrame, id_col:
         return kept.drop("__own")
     # Only the rows that are repeated meet each other, not the whole table.
     named = F.broadcast(repeated) if n <= BROADCAST_ROWS else repeated
-    once, again = kept.join(named, same, "left_anti"), kept.join(named, same, "left_semi")
-    return once.unionByName(again.dropDuplicates([id_col, "__own"])).drop("__own")
+    once, again = kept.join(named, same, "left_anti").drop("__own"), kept.join(named, same, "left_semi")
+    # Combined where they are read: a row that a third of the table repeats sends one row a task.
+    best = F.max_by(F.struct(*docs.columns), F.struct(F.length(text_col), F.col(text_col))).alias("__best")
+    return once.unionByName(again.groupBy(F.col(id_col).alias("__name"), "__own").agg(best).select("__best.*"))

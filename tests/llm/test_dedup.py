@@ -53,6 +53,9 @@ def test_no_text_is_lost_for_its_id(spark, keep):
     df = spark.createDataFrame(LOST, "doc_id long, text string")
     kept = [tuple(r) for r in keep(df).collect()]
     assert sorted(map(str, kept)) == sorted(map(str, [LOST[0], LOST[2], LOST[3], LOST[5]]))
+    blanks = spark.createDataFrame([(1, "a  b c"), (1, "a b c"), (1, None), (1, "")], "doc_id long, text string")
+    left = [r["text"] or "" for r in keep(blanks).collect()]
+    assert len(left) == 2 and "" in left and (keep is ngram_join.keep_one or "a  b c" in left)
     again = keep(df.unionAll(df))
     assert sorted(map(str, map(tuple, again.collect()))) == sorted(map(str, kept))
 

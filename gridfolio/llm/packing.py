@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridfolio.llm.text import by_size, held, unpickled
+from gridfolio.llm.text import by_size, give_back, held, unpickled
 from gridfolio.session import written
 
 CAPACITY = 4096
@@ -33,7 +33,7 @@ SEARCH = 400_000
 FILLINGS = 200
 BOUNDED = 48
 #: Words whose ids a worker remembers from one task to the next, about 200 bytes each.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 100_000
 #: Rows of one length that are numbered together, and groups of them whose sizes are summed together.
 ROWS_PER_SALT = 256
 SALTS_PER_BLOCK = 4096
@@ -103,7 +103,7 @@ class PieceEncoder:
     NORMALISERS = ("NFC", "Replace", "Lowercase")
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -223,6 +223,7 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
             yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
         # A worker that waits for its next task holds a bounded number of words.
         own.keep(KEPT_WORDS)
+        give_back()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     columns = [c.split()[0] for c in schema.split(", ")]

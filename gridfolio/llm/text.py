@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import re
 from collections.abc import Callable, Iterator
@@ -83,6 +84,14 @@ def hash_sample(rows: DataFrame, key: Column, size: int, total: int) -> DataFram
 _HELD: dict[object, object] = {}
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where its C library can: workers live on, beside others and the executor."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def held(key: object, make: Callable[[], object]) -> object:
     """What a Python worker keeps between tasks: the state of the operator that it last ran, and nothing of others.
 
@@ -91,6 +100,7 @@ def held(key: object, make: Callable[[], object]) -> object:
     """
     if key not in _HELD:
         _HELD.clear()
+        give_back()
         _HELD[key] = make()
     return _HELD[key]
 

@@ -286,16 +286,18 @@ def _block_links(part: pd.DataFrame, sigs: np.ndarray, sets: list[np.ndarray]) -
 
 
 def _exact_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Exact links of the members of families, from rows sorted by family and block pair: node, parent, links.
+    """Exact links of the members of families, from rows sorted by family and block pair: node, parent, links, root.
 
-    A row with links has how many the member has in this block pair; one with a parent is an edge of a spanning
-    forest of the links. No pair is written but those, as many as members at most.
+    A row with links has how many the member has in this block pair. In a family of one block it also has the root of its group of
+    links, which is known there; of a larger family the edges of a spanning forest are written, with a parent. No
+    other pair is written, so there are as many as members at most.
     """
     for pdf, starts, sizes in _whole_groups(batches, "family"):
         node, sigs = pdf["node"].to_numpy(), _signatures(pdf)
         sets = [np.frombuffer(x, dtype="<u8") for x in pdf["shingles"]]
         links = np.zeros(len(pdf), dtype=np.int64)
         edges: list[tuple[int, int]] = []
+        whole = pdf["blocks"].to_numpy() == 1
         small = (sizes <= SMALL) & (pdf["left"].to_numpy()[starts] == pdf["right"].to_numpy()[starts])
         union = _Union(len(pdf))
         for left, right in _small_pairs(starts[small], sizes[small]):
@@ -305,14 +307,18 @@ def _exact_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if _reaches(shared, len(sets[i]) + len(sets[j]) - shared):
                     links[i] += 1
                     links[j] += 1
-                    if union.join(i, j):
-                        edges.append((i, j))
+                    union.join(i, j)
         for start, n in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True):
             own, forest = _block_links(pdf.iloc[start : start + n], sigs[start : start + n], sets[start : start + n])
             links[start : start + n] += own
-            edges += [(start + a, start + b) for a, b in forest]
-        out = [(node[i], None, int(links[i])) for i in np.flatnonzero(links)] + [(node[i], node[j], 0) for i, j in edges]
-        yield pd.DataFrame(out, columns=["node", "parent", "links"]).astype({"node": "int64", "parent": "Int64", "links": "int64"})
+            for a, b in forest:
+                if whole[start]:
+                    union.join(start + a, start + b)
+                else:
+                    edges.append((start + a, start + b))
+        out = [(node[i], None, int(links[i]), node[union.find(int(i))] if whole[i] else None) for i in np.flatnonzero(links)]
+        out += [(node[i], node[j], 0, None) for i, j in edges]
+        yield pd.DataFrame(out, columns=["node", "parent", "links", "root"]).astype({"node": "int64", "parent": "Int64", "links": "int64", "root": "Int64"})
 
 
 def _copies(known: DataFrame) -> DataFrame:
@@ -334,7 +340,11 @@ def _classes(docs: DataFrame, copies: DataFrame, id_col: str, text_col: str) ->
     families = written(groups.select("node", F.col("component").alias("family")), "families")
     found = written(_verified(docs, copies, families, id_col, text_col), "links")
     links = found.where("links > 0").groupBy("node").agg(F.sum("links").alias("n_links"))
-    trees = connected_components(found.where("parent is not null").select(F.col("node").alias("a"), F.col("parent").alias("b")))
+    trees = found.where("root is not null").select("node", F.col("root").alias("component"))
+    # Only the links of families of several blocks are still in pieces.
+    pieces = found.where("parent is not null").select(F.col("node").alias("a"), F.col("parent").alias("b"))
+    if pieces.limit(1).count():
+        trees = trees.unionByName(connected_components(pieces))
     # Components are numbered by node; the class is named by the smallest id of all its members.
     named = written(trees.join(copies.select("node", "rep"), "node"), "classes")
     smallest = named.groupBy("component").agg(F.min("rep").alias("class_id"), F.count(F.lit(1)).alias("n"))
@@ -400,7 +410,7 @@ def _candidates(reps: DataFrame) -> DataFrame:
 
 
 def _verified(docs: DataFrame, copies: DataFrame, families: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Exact links of the members of each family: node, parent, links.
+    """Exact links of the members of each family: node, parent, links, root.
 
     Of the rows that share a set one is read again, told by its id and text.
     """
@@ -424,9 +434,9 @@ def _verified(docs: DataFrame, copies: DataFrame, families: DataFrame, id_col: s
     counts = sets.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).where("n > 1")
     counts = counts.withColumn("blocks", F.greatest(F.ceil(F.col("n") / SET_BLOCK), F.ceil(F.col("bytes") / SET_BYTES)).cast("int"))
     dealt = _blocks(sets.join(members.select("node", "signature"), "node"), counts, "family")
-    columns = ["family", "left", "right", "in_left", "node", "signature", "shingles"]
+    columns = ["family", "left", "right", "in_left", "blocks", "node", "signature", "shingles"]
     dealt = dealt.select(*columns).repartition("family", "left", "right").sortWithinPartitions("family", "left", "right")
-    return dealt.mapInPandas(_exact_links, "node long, parent long, links long")
+    return dealt.mapInPandas(_exact_links, "node long, parent long, links long, root long")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfolio.llm.text import by_size, held, hot_join
+from gridfolio.llm.text import BROADCAST_ROWS, by_size, held, hot_join
 from gridfolio.session import scratch_path, written
 
 LIMIT = 1024
@@ -74,7 +74,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     The digests of the texts are joined to the counts stored under ``cache_path`` for this tokenizer version.
     One text of each digest that is not there is encoded and its count appended to the cache, so a second run,
     or one over a table that shares texts, encodes nothing again. An appended count is the same whoever encodes
-    it: if two jobs append one digest, the join reads it once.
+    it: if two jobs append one digest, the join reads it once. Only digests are compared with the cache; where it answers all of
+    them, no text is read again.
 
     A null text counts as empty: 0 bytes, and the tokens of the empty text. Repeated rows are counted each;
     an empty table gives no rows; other columns are not read. Whole texts are encoded, without truncation.
@@ -84,13 +85,20 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("content_digest", content_digest(F.col("text")))
     sized = written(rows.select("doc_id", "content_digest", F.octet_length("text").cast("long").alias("n_bytes")), "sizes")
-    uses = sized.groupBy("content_digest").agg(F.count(F.lit(1)).alias("n"))
+    uses = written(sized.groupBy("content_digest").agg(F.count(F.lit(1)).alias("n")), "uses")
     stored = read_cache(spark, cache_path).where(F.col("tokenizer_digest") == version).select("content_digest").distinct()
-    misses = rows.select("content_digest", "text").join(stored, "content_digest", "left_anti")
-    # Copies are combined where they are read, so a text with very many copies sends one row a task.
-    distinct = misses.groupBy("content_digest").agg(F.first("text").alias("text"))
-    new = encode_counts(distinct, tokenizer_path).select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens")
-    new.write.mode("append").parquet(cache_path)
+    misses = written(uses.select("content_digest").join(stored, "content_digest", "left_anti"), "misses")
+    n = misses.count()
+    if n:
+        texts = rows.select("content_digest", "text")
+        few = n <= BROADCAST_ROWS and 4 * n <= uses.count()
+        texts = texts.join(F.broadcast(misses), "content_digest", "left_semi") if few else texts
+        # Copies are combined where they are read, before any join, so a text with very many copies sends one row a task.
+        distinct = texts.groupBy("content_digest").agg(F.first("text").alias("text"))
+        # An inner join with a table of different digests: a semi-join would be moved below the aggregation, and copies with it.
+        distinct = distinct if few or n == uses.count() else distinct.join(misses, "content_digest")
+        new = encode_counts(distinct, tokenizer_path).select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens")
+        new.write.mode("append").parquet(cache_path)
     counts = read_cache(spark, cache_path).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.min("n_tokens").alias("n_tokens"))
     # A text may have very many copies, so its count is joined as a hot key.
     answers = written(uses.join(counts, "content_digest"), "answers")

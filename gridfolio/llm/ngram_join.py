@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridfolio.llm.components import connected_components
-from gridfolio.llm.text import BROADCAST_ROWS, by_size, hashes, hot_join, shingles, without_rows, word_memo, words
+from gridfolio.llm.text import BROADCAST_ROWS, by_size, give_back, hashes, hot_join, shingles, without_rows, word_memo, words
 from gridfolio.session import written
 
 SHINGLE = 5
@@ -170,6 +170,13 @@ def _whole_groups(batches: Iterator[pd.DataFrame], group: str) -> Iterator[tuple
         yield portion(held)
 
 
+def _small_batches(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
+    """Batches of fewer rows, so that only few sets are compared, and held, at once."""
+    for pdf in batches:
+        for k in range(0, len(pdf), rows):
+            yield pdf.iloc[k : k + rows]
+
+
 def _small_pairs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs within groups of few members, as row numbers, group size by group size in pieces."""
     for n in np.unique(sizes):
@@ -292,7 +299,8 @@ def _exact_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     links, which is known there; of a larger family the edges of a spanning forest are written, with a parent. No
     other pair is written, so there are as many as members at most.
     """
-    for pdf, starts, sizes in _whole_groups(batches, "family"):
+    for pdf, starts, sizes in _whole_groups(_small_batches(batches), "family"):
+        give_back()
         node, sigs = pdf["node"].to_numpy(), _signatures(pdf)
         sets = [np.frombuffer(x, dtype="<u8") for x in pdf["shingles"]]
         links = np.zeros(len(pdf), dtype=np.int64)

@@ -33,7 +33,7 @@ SEARCH = 400_000
 FILLINGS = 200
 BOUNDED = 48
 #: Words whose ids a worker remembers from one task to the next, about 200 bytes each.
-KEPT_WORDS = 100_000
+KEPT_WORDS = 50_000
 #: Rows of one length that are numbered together, and groups of them whose sizes are summed together.
 ROWS_PER_SALT = 256
 SALTS_PER_BLOCK = 4096
@@ -103,7 +103,7 @@ class PieceEncoder:
     NORMALISERS = ("NFC", "Replace", "Lowercase")
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -212,7 +212,7 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     def run(batches):
         own = encoder(tokenizer_path)
         end = np.array([end_id], dtype="<u4").tobytes()
-        for pdf in by_size(batches, "text", 1_000_000):
+        for pdf in by_size(batches, "text", 500_000):
             out = []
             for doc_id, ids in zip(pdf["doc_id"], own.encode([t or "" for t in pdf["text"]]), strict=True):
                 ids += end

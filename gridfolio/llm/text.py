@@ -100,8 +100,8 @@ def held(key: object, make: Callable[[], object]) -> object:
     """
     if key not in _HELD:
         _HELD.clear()
-        give_back()
         _HELD[key] = make()
+    give_back()
     return _HELD[key]
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridfolio.llm.text import BROADCAST_ROWS, Memo, by_size, hashes, held, hot_join, word_hash, word_memo, words
+from gridfolio.llm.text import BROADCAST_ROWS, Memo, by_size, hashes, held, hot_join, small_batches, word_hash, word_memo, words
 from gridfolio.session import written
 
 #: Fixed masks: 1 is a token that counts, 0 one that is ignored. Together they hit every overlap of MIN_TOKENS tokens or
@@ -189,7 +189,8 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _verified(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text_key and the overlap, per document row and benchmark item."""
     rows = _rows(docs, id_col, text_col)
-    found = written(_candidates(rows, _items(benchmark)), "benchmark-texts")
+    with small_batches(docs.sparkSession):
+        found = written(_candidates(rows, _items(benchmark)), "benchmark-texts")
     keys = found.select("text_key")
     # Only texts with candidates are read again in full and shuffled.
     near = rows.join(F.broadcast(keys) if found.count() <= BROADCAST_ROWS else keys, "text_key", "left_semi")
@@ -224,6 +225,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     It is the text that decides: a row that shares its id, or the lack of one, with a row that goes stays.
     """
-    hit = written(_verified(docs, benchmark, id_col, text_col).select(F.col("text_key").alias("__hit")).distinct(), "benchmark-hits")
+    found = _verified(docs, benchmark, id_col, text_col).select(F.col("text_key").alias("__hit"))
+    with small_batches(docs.sparkSession):
+        hit = written(found.distinct(), "benchmark-hits")
     few = hit.count() <= BROADCAST_ROWS
     return docs.withColumn("__own", _key(F.col(text_col))).join(F.broadcast(hit) if few else hit, F.col("__own") == F.col("__hit"), "left_anti").drop("__own")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridfolio.llm.components import connected_components
-from gridfolio.llm.text import BROADCAST_ROWS, by_size, give_back, hashes, hot_join, shingles, without_rows, word_memo, words
+from gridfolio.llm.text import BROADCAST_ROWS, by_size, give_back, hashes, hot_join, shingles, small_batches, without_rows, word_memo, words
 from gridfolio.session import written
 
 SHINGLE = 5
@@ -170,13 +170,6 @@ def _whole_groups(batches: Iterator[pd.DataFrame], group: str) -> Iterator[tuple
         yield portion(held)
 
 
-def _small_batches(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
-    """Batches of fewer rows, so that only few sets are compared, and held, at once."""
-    for pdf in batches:
-        for k in range(0, len(pdf), rows):
-            yield pdf.iloc[k : k + rows]
-
-
 def _small_pairs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs within groups of few members, as row numbers, group size by group size in pieces."""
     for n in np.unique(sizes):
@@ -299,7 +292,7 @@ def _exact_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     links, which is known there; of a larger family the edges of a spanning forest are written, with a parent. No
     other pair is written, so there are as many as members at most.
     """
-    for pdf, starts, sizes in _whole_groups(_small_batches(batches), "family"):
+    for pdf, starts, sizes in _whole_groups(batches, "family"):
         give_back()
         node, sigs = pdf["node"].to_numpy(), _signatures(pdf)
         sets = [np.frombuffer(x, dtype="<u8") for x in pdf["shingles"]]
@@ -346,7 +339,8 @@ def _classes(docs: DataFrame, copies: DataFrame, id_col: str, text_col: str) ->
     """Per distinct shingle set: copy_key, class_node (the class's own number), class_id, copy_id, n_copies, n_links."""
     groups = connected_components(_candidates(copies.where("n_shingles > 0").select("node", "signature")))
     families = written(groups.select("node", F.col("component").alias("family")), "families")
-    found = written(_verified(docs, copies, families, id_col, text_col), "links")
+    with small_batches(docs.sparkSession):
+        found = written(_verified(docs, copies, families, id_col, text_col), "links")
     links = found.where("links > 0").groupBy("node").agg(F.sum("links").alias("n_links"))
     trees = found.where("root is not null").select("node", F.col("root").alias("component"))
     # Only the links of families of several blocks are still in pieces.
@@ -387,7 +381,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     set: one copy class without links. A null id is never the name of a class that has another id; a class of null ids
     has none. Repeated rows count in n_copies; other columns are not read; an empty table gives no rows.
     """
-    known = written(sketches(docs, id_col, text_col), "sketches")
+    with small_batches(docs.sparkSession):
+        known = written(sketches(docs, id_col, text_col), "sketches")
     labelled = _classes(docs, _copies(known), id_col, text_col)
     return _spread(known.select("doc_id", "copy_key", "n_shingles"), written(labelled, "labelled")).select(
         "doc_id", "class_id", "copy_id", "n_copies", "n_links", "n_shingles"
@@ -453,7 +448,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows are told by id and text together, so of rows that share an id those with a text of another class stay.
     Among equal ids of a class the smallest text digest stays; of rows that repeat id and text, one.
     """
-    known = written(sketches(docs, id_col, text_col), "sketches")
+    with small_batches(docs.sparkSession):
+        known = written(sketches(docs, id_col, text_col), "sketches")
     labelled = written(_classes(docs, _copies(known), id_col, text_col).select("copy_key", "class_node", "n_copies"), "labelled")
     own = known.select("doc_id", "text_key", "copy_key")
     rows = written(_spread(own, labelled).groupBy("doc_id", "text_key", "class_node").agg(F.count(F.lit(1)).alias("n")), "near-rows")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridfolio.llm.text import by_size, give_back, held, unpickled
+from gridfolio.llm.text import by_size, give_back, held, small_batches, unpickled
 from gridfolio.session import written
 
 CAPACITY = 4096
@@ -103,7 +103,7 @@ class PieceEncoder:
     NORMALISERS = ("NFC", "Replace", "Lowercase")
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -559,4 +559,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     gives no rows; columns other than the id and the text are not read. Texts are encoded where they are read
     and never shuffled: the written table holds about 40 bytes a piece.
     """
-    return pack(written(cut(docs, tokenizer_path, capacity, end_id, with_ids=False), "pieces"), capacity)
+    with small_batches(docs.sparkSession):
+        pieces = written(cut(docs, tokenizer_path, capacity, end_id, with_ids=False), "pieces")
+    return pack(pieces, capacity)

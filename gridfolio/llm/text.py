@@ -6,10 +6,11 @@ import ctypes
 import pickle
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
@@ -81,6 +82,22 @@ def hash_sample(rows: DataFrame, key: Column, size: int, total: int) -> DataFram
     return rows.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(2**31)) < F.lit(cut))
 
 
+#: Rows that the executor hands a Python worker at once where they carry texts or sets.
+ARROW_ROWS = 1_000
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]:
+    """Jobs that run inside hand their Python workers so many rows at once, at most: both sides hold a batch in memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 _HELD: dict[object, object] = {}
 
 

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with production parameters over whole tables."""
+"""The registered queries of the operators, with production parameters over whole tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from gridfolio.llm import decontamination, exact_dedup, html_extract, language, line_dedup, ngram_join, packing, token_counts, toxicity, warc
+from gridfolio.llm import decontamination, exact_dedup, fim, hard_negatives, html_extract, language, line_dedup, ngram_join, packing, piece_bpe, token_counts, toxicity, warc
 from gridfolio.session import read_table
 
 
@@ -60,11 +60,28 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut and put in another order; null text: empty and plain, null id: drawn as an id without digits, repeats each."""
+    return fim.digests(fim.fill_in_middle(read_table(spark, sf_dir, "documents")))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as ids and back; null text: the end id alone, null ids and repeated rows each."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return piece_bpe.digests(piece_bpe.encode(read_table(spark, sf_dir, "documents"), path), path)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three hardest negatives of every anchor and positive; null labels and vectors take no part, repeated ids are rows of their own."""
+    return hard_negatives.mine(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_language_id, op3_toxicity, op4_best_fit_packing, op5_html_extraction,
         op6_line_dedup, op7_token_counts, op8_decontamination, op9_ngram_jaccard_join, op10_warc,
+        op11_fill_in_middle, op12_sentencepiece, op13_hard_negatives,
     )
 }
 
@@ -82,6 +99,7 @@ ORACLE_SQL = {
         FROM d
     """,
     "op6_line_dedup": line_dedup.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
     "op10_warc": """
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest, coalesce(html, '') AS html FROM pages

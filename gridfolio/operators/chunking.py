@@ -23,8 +23,9 @@ def word_count(text: str) -> int:
 def pack_sentences(sentences: list[str], most: int = MAX_TOKENS, least: int = MIN_TOKENS, overlap: int = OVERLAP_TOKENS, count: Callable[[str], int] = word_count) -> Iterator[tuple[int, int, str]]:
     """(first sentence, words, text) of chunks of whole sentences; each begins with the last sentences of the one before.
 
-    A sentence above the limit is a chunk of its own, cut by words. A chunk below ``least`` words joins the one before it, so
-    that no text is lost; that chunk may then exceed the limit by as much. Words are counted by ``count``.
+    A sentence above the limit is a chunk of its own, cut by words. A chunk below ``least`` words joins the one before it, the first one
+    the one after it, so that no text is lost; that chunk may then exceed the limit by as much. A first chunk stays short only
+    where the one after it has taken a short one already and has no room left. Words are counted by ``count``.
     """
     pieces = []
     for s in sentences:
@@ -48,6 +49,8 @@ def pack_sentences(sentences: list[str], most: int = MAX_TOKENS, least: int = MI
             kept[-1] = (kept[-1][0], b)
         else:
             kept.append((a, b))
+    if len(kept) > 1 and sum(sizes[kept[0][0] : kept[0][1]]) < least and sum(sizes[kept[0][0] : kept[1][1]]) < most + least:
+        kept[:2] = [(kept[0][0], kept[1][1])]
     for a, b in kept:
         yield a, sum(sizes[a:b]), " ".join(pieces[a:b])
 

@@ -16,15 +16,30 @@ MAX_ROWS = 200
 MAX_HEADERS = 10_000
 
 
+#: What the name of a column of stored labels ends with.
+LABEL_SUFFIX = "__label"
+
+
+def with_labels(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``df`` with the label of each text column beside it, to be stored with the table.
+
+    Conditions on texts then compare a column with a value, so that Parquet statistics skip what can't match. Sorting by
+    such a column before writing makes them skip most of a table.
+    """
+    columns = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)] if columns is None else columns
+    return df.withColumns({f"{c}{LABEL_SUFFIX}": text.label(F.col(c)) for c in columns})
+
+
 class Source:
     """How a bound column is read: a native column of a DataFrame, or a key of the maps of a row relation."""
 
     def __init__(self, df: DataFrame, maps: bool = False):
         self.df, self.maps = df, maps
+        self.labels = [f"{c}{LABEL_SUFFIX}" for c in df.columns if f"{c}{LABEL_SUFFIX}" in df.columns]
         if maps:
             self.headers = self._keys("row_data")
         else:
-            self.headers = df.columns
+            self.headers = [c for c in df.columns if c not in self.labels]
 
     def _keys(self, column: str) -> list[str]:
         """The keys of a map column: names of columns, of which a table has few. More than MAX_HEADERS are no table's."""
@@ -36,9 +51,22 @@ class Source:
     def as_text(self, column: str) -> Column:
         return F.try_element_at("row_data", F.lit(column)) if self.maps else F.col(column).cast("string")
 
-    def as_number(self, column: str) -> Column:
+    def as_label(self, column: str) -> Column:
+        """The label of a cell: the one stored beside it by ``with_labels``, which a scan can be filtered by, else computed."""
+        stored = f"{column}{LABEL_SUFFIX}"
+        return F.col(stored) if stored in self.labels else text.label(self.as_text(column))
+
+    def number_like(self, column: str, value: float) -> tuple[Column, bool]:
+        """A literal to compare a column with, and whether the column itself can be compared with it, without a cast that no scan takes."""
+        whole = not self.maps and isinstance(self.df.schema[column].dataType, T.IntegralType) and float(value).is_integer() and abs(value) < 2**31
+        return (F.lit(int(value)), True) if whole else (F.lit(float(value)), False)
+
+    def as_number(self, column: str, exact: bool = False) -> Column:
+        """A cell as a double, or as it is with ``exact``."""
         if self.maps:
             return F.try_element_at("row_numeric", F.lit(column))
+        if exact:
+            return F.col(column)
         kind = self.df.schema[column].dataType
         return F.col(column).cast("double") if isinstance(kind, T.NumericType) else numeric.parse_number(F.col(column).cast("string"))
 
@@ -50,10 +78,10 @@ class Source:
     def column_of_values(self, values: list[str]) -> str | None:
         """The text column with the most cells among ``values``: one pass over the table for all columns."""
         wanted = [binder.label(v) for v in values]
-        columns = self.headers if self.maps else [f.name for f in self.df.schema if isinstance(f.dataType, T.StringType)]
+        columns = self.headers if self.maps else [f.name for f in self.df.schema if isinstance(f.dataType, T.StringType) and f.name in self.headers]
         if not columns:
             return None
-        counts = self.df.agg(*[F.count_if(text.label(self.as_text(c)).isin(wanted)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+        counts = self.df.agg(*[F.count_if(self.as_label(c).isin(wanted)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
         best = max(range(len(columns)), key=lambda i: (counts[i], -i))
         return columns[best] if counts[best] else None
 
@@ -81,24 +109,32 @@ def predicate(source: Source, tree) -> Column | None:
     if column is None:
         return None
     if tree.op in ("EQ", "NEQ", "IN", "LIKE"):
-        cell, wanted = text.label(source.as_text(column)), [binder.label(v) for v in values]
+        cell, wanted = source.as_label(column), [binder.label(v) for v in values]
         has = source.as_text(column).isNotNull()
         return has & {"EQ": cell == wanted[0], "NEQ": cell != wanted[0], "IN": cell.isin(wanted), "LIKE": F.contains(cell, F.lit(wanted[0]))}[tree.op]
-    cell = source.as_number(column)
-    if tree.op == "BETWEEN":
-        return F.coalesce(cell.between(*tree.value), F.lit(False))
-    value = F.lit(float(tree.value))
-    return F.coalesce({"GT": cell > value, "GTE": cell >= value, "LT": cell < value, "LTE": cell <= value}[tree.op], F.lit(False))
+    low, high = (source.number_like(column, v) for v in (tree.value if tree.op == "BETWEEN" else (tree.value, tree.value)))
+    cell = source.as_number(column, exact=low[1] and high[1])
+    low, high = low[0], high[0]
+    # A cell that is no number gives null, which a filter drops as it does false: nothing stands between the scan and the comparison.
+    return {"BETWEEN": (cell >= low) & (cell <= high), "GT": cell > low, "GTE": cell >= low, "LT": cell < low, "LTE": cell <= low}[tree.op]
 
 
-def matching(source: Source, tree) -> DataFrame | None:
-    """All rows that satisfy the tree, as one filter that reaches the scan; None if it can't be bound."""
+def _rows(source: Source, tree) -> DataFrame | None:
     if tree is None:
         return source.df
     found = predicate(source, tree)
     return None if found is None else source.df.where(found)
 
 
+def matching(source: Source, tree) -> DataFrame | None:
+    """All rows that satisfy the tree, as one filter; None if it can't be bound.
+
+    Comparisons of numbers reach the scan; those of texts do where their labels are stored (``with_labels``).
+    """
+    rows = _rows(source, tree)
+    return None if rows is None else rows.drop(*source.labels)
+
+
 def capped(df: DataFrame, order: list[Column], most: int = MAX_ROWS) -> tuple[DataFrame, DataFrame]:
     """The first ``most`` rows of an answer, and (matched, truncated) about all of them."""
     total = df.agg(F.count(F.lit(1)).alias("matched")).withColumn("truncated", F.col("matched") > most)
@@ -112,7 +148,7 @@ def fold(op: str, value: Column) -> Column:
 
 def aggregated(source: Source, op: str, hint: str | None, tree=None) -> DataFrame | None:
     """value, n_rows, n_unparsed of the rows that satisfy ``tree``; value is null when no cell is a number."""
-    rows = matching(source, tree)
+    rows = _rows(source, tree)
     column = bind(source, hint) if hint else None
     if column is None and op != "COUNT":
         candidates = source.numeric_columns()
@@ -126,7 +162,7 @@ def aggregated(source: Source, op: str, hint: str | None, tree=None) -> DataFram
 
 def grouped(source: Source, op: str, group_hint: str, hint: str | None, tree=None, ignore_case: bool = False) -> DataFrame | None:
     """group_key, value per group of the raw text (or its label), largest value first, then by key."""
-    rows = matching(source, tree)
+    rows = _rows(source, tree)
     key = bind(source, group_hint)
     column = bind(source, hint) if hint else None
     if column is None and op != "COUNT":
@@ -134,14 +170,14 @@ def grouped(source: Source, op: str, group_hint: str, hint: str | None, tree=Non
         column = candidates[0] if len(candidates) == 1 else None
     if rows is None or key is None or (column is None and op != "COUNT"):
         return None
-    shown = text.label(source.as_text(key)) if ignore_case else source.as_text(key)
+    shown = source.as_label(key) if ignore_case else source.as_text(key)
     out = rows.where(shown.isNotNull()).groupBy(shown.alias("group_key")).agg(fold(op, source.as_number(column) if column else F.lit(1.0)).alias("value"))
     return out.where(F.col("value").isNotNull()).orderBy(F.col("value").desc(), "group_key")
 
 
 def ranked(source: Source, rank: nl.Ranking, tie: list[str], tree=None) -> DataFrame | None:
     """The first rows by a numeric column; rows without a number are left out; ties by the columns ``tie``."""
-    rows = matching(source, tree)
+    rows = _rows(source, tree)
     column = bind(source, rank.column)
     if column is None:
         candidates = source.numeric_columns()
@@ -150,7 +186,7 @@ def ranked(source: Source, rank: nl.Ranking, tie: list[str], tree=None) -> DataF
         return None
     number = source.as_number(column)
     order = number.desc() if rank.descending else number.asc()
-    return rows.where(number.isNotNull()).withColumn("rank_value", number).orderBy(order, *tie).limit(rank.limit)
+    return rows.where(number.isNotNull()).withColumn("rank_value", number).orderBy(order, *tie).limit(rank.limit).drop(*source.labels)
 
 
 def listed(source: Source, value: str) -> DataFrame | None:
@@ -161,14 +197,14 @@ def listed(source: Source, value: str) -> DataFrame | None:
     bare = lambda w: w[:-2] if len(w) > 4 and w.endswith("es") else w[:-1] if len(w) > 3 and w.endswith("s") else w
 
     def match(column: str) -> Column:
-        have = F.split(text.label(source.as_text(column)), " ")
+        have = F.split(source.as_label(column), " ")
         stems = F.transform(have, lambda w: F.when((F.length(w) > 4) & F.endswith(w, F.lit("es")), F.left(w, F.length(w) - 2)).when((F.length(w) > 3) & F.endswith(w, F.lit("s")), F.left(w, F.length(w) - 1)).otherwise(w))
         return F.size(F.array_except(F.array(*[F.lit(bare(w)) for w in wanted]), stems)) == 0
 
     columns = source.headers
     counts = source.df.agg(*[F.count_if(match(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     best = max(range(len(columns)), key=lambda i: (counts[i], -i), default=None)
-    return source.df.where(match(columns[best])) if best is not None and counts[best] else None
+    return source.df.where(match(columns[best])).drop(*source.labels) if best is not None and counts[best] else None
 
 
 def looked_up(source: Source, asked: str, row_words: str, tie: list[str]) -> DataFrame | None:
@@ -189,7 +225,7 @@ def looked_up(source: Source, asked: str, row_words: str, tie: list[str]) -> Dat
     covered = F.size(F.array_intersect(F.split(F.array_join(labels, " "), " "), need))
     rows = source.df.withColumns({"value": source.as_text(column), "n_covered": covered, "cell_score": F.array_max(F.transform(labels, score))})
     rows = rows.where((F.col("n_covered") > 0) & F.col("value").isNotNull())
-    return rows.orderBy(F.col("n_covered").desc(), F.col("cell_score").desc(), *tie).limit(1)
+    return rows.orderBy(F.col("n_covered").desc(), F.col("cell_score").desc(), *tie).limit(1).drop(*source.labels)
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:

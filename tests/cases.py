@@ -1,4 +1,4 @@
-"""Operators on given inputs, whose results are stated in full by SQL."""
+"""Operators on small inputs, each with the rows that it must give."""
 
 from __future__ import annotations
 
@@ -10,10 +10,24 @@ from pyspark.sql import functions as F
 from gridfolio.functions import dates, models, nested, text
 from gridfolio.operators import chunking, clauses, enrichment, graph, images, ingest, retrieval
 from gridfolio.plans import binder, nl
-from gridfolio.queries import query
 from gridfolio.sources import documents
 
 
+CASES: dict = {}
+EXPECTED: dict[str, str] = {}
+
+
+def query(sql: str):
+    """A case under its name, with the SQL that states its rows."""
+
+    def add(f):
+        CASES[f.__name__] = f
+        EXPECTED[f.__name__] = sql
+        return f
+
+    return add
+
+
 def _literal(value) -> str:
     if value is None:
         return "NULL"

@@ -7,6 +7,8 @@ import duckdb
 import pytest
 from gridfolio import queries
 
+from tests import cases
+
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 queries.load()
@@ -25,16 +27,24 @@ def shown(v):
     return "null" if v is None else ("nan" if math.isnan(v) else f"{v:.5f}") if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
-def test_query_matches_its_sql(spark, duck, name):
-    df = queries.QUERIES[name](spark, SF)
-    cursor = duck.execute(queries.ORACLE_SQL[name])
+def same(df, duck, sql):
+    cursor = duck.execute(sql)
     names = [d[0] for d in cursor.description]
     assert sorted(names) == sorted(df.columns)
     want = sorted(tuple(map(shown, r)) for r in cursor.fetchall())
     assert sorted(tuple(shown(r[n]) for n in names) for r in df.collect()) == want
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_matches_its_sql(spark, duck, name):
+    same(queries.QUERIES[name](spark, SF), duck, queries.ORACLE_SQL[name])
+
+
+@pytest.mark.parametrize("name", sorted(cases.CASES))
+def test_case_gives_the_stated_rows(spark, duck, name):
+    same(cases.CASES[name](spark, SF), duck, cases.EXPECTED[name])
+
+
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL)))
 def test_query_without_sql_runs(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0

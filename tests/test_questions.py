@@ -168,3 +168,49 @@ def test_window_source_binds_map_keys(spark):
     grids = spark.createDataFrame([("d", "t", ["Sector", "Price"], [["Steel", "5"], ["Banks", "7"]])], "document_id string, table_id string, headers array<string>, rows array<array<string>>")
     found = engine.ask(rows.from_grids(grids), "price above 6", ["row_index"], maps=True).rows.select(F.col("row_data")["Sector"]).collect()
     assert [r[0] for r in found] == ["Banks"]
+
+
+def pushed(df):
+    """The filters that the scan of a plan takes."""
+    return " ".join(line for line in df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")).splitlines() if "PushedFilters" in line)
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    """A table with its labels, as it is stored at ingestion."""
+    path = str(tmp_path_factory.mktemp("labels") / "part")
+    structured.with_labels(spark.read.parquet("/root/testdata/sf0.001/part.parquet")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.mark.parametrize(
+    ("question", "filters"),
+    [
+        ("list all rows with p_size above 45", ["GreaterThan(p_size,45)"]),
+        ("list all rows with p_size at least 45", ["GreaterThanOrEqual(p_size,45)"]),
+        ("list all rows with p_size under 4", ["LessThan(p_size,4)"]),
+        ("list all rows with p_size at most 4", ["LessThanOrEqual(p_size,4)"]),
+        ("p_retailprice between 905.5 and 950", ["GreaterThanOrEqual(p_retailprice,905.5)", "LessThanOrEqual(p_retailprice,950.0)"]),
+        ("p_size between 3 and 4", ["GreaterThanOrEqual(p_size,3)", "LessThanOrEqual(p_size,4)"]),
+        ("p_brand is Brand#13", ["EqualTo(p_brand__label,brand 13)"]),
+        ("p_brand in Brand#13 or Brand#22", ["In(p_brand__label, [brand 13,brand 22])"]),
+        ("p_brand is not Brand#13", ["Not(EqualTo(p_brand__label,brand 13))"]),
+        ("p_name containing 'red'", ["StringContains(p_name__label,red)"]),
+        ("p_size above 45 and p_brand is Brand#13", ["GreaterThan(p_size,45)", "EqualTo(p_brand__label,brand 13)"]),
+        ("p_size above 45 or p_brand is Brand#13", ["Or(GreaterThan(p_size,45),And(IsNotNull(p_brand),EqualTo(p_brand__label,brand 13)))"]),
+    ],
+)
+def test_conditions_reach_the_scan(stored, question, filters):
+    tree, _ = nl.conditions(question)
+    found = structured.matching(structured.Source(stored), tree)
+    assert all(f in pushed(found) for f in filters), pushed(found)
+    assert not any(c.endswith(structured.LABEL_SUFFIX) for c in found.columns)
+    plain = stored.drop(*[c for c in stored.columns if c.endswith(structured.LABEL_SUFFIX)])
+    assert sorted(map(str, found.collect())) == sorted(map(str, structured.matching(structured.Source(plain), tree).collect()))
+
+
+def test_labels_serve_groups_and_values(stored):
+    source = structured.Source(stored)
+    assert source.column_of_values(["brand#13"]) == "p_brand"
+    groups = structured.grouped(source, "COUNT", "p_brand", None, ignore_case=True)
+    assert groups.agg({"value": "sum"}).first()[0] == stored.count()

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridfolio.operators import keyword, retrieval
+from gridfolio.operators import keyword, retrieval, vector_index
 from gridfolio.queries import query
-from gridfolio.session import read_table
+from gridfolio.session import read_table, scratch_path
 
 #: The question that the registered searches ask: the vector of this row.
 ASKED = 0
@@ -165,3 +165,36 @@ def inverted_index(spark, sf_dir):
 def context_within_budget(spark, sf_dir):
     rows = read_table(spark, sf_dir, "benchmark").select("item_id", F.col("item_id").alias("chunk_id"), "text", (-F.col("item_id")).alias("relevance"))
     return retrieval.context(rows, 3000).select("item_id", "block")
+
+
+_NEIGHBOURS = """
+    WITH s AS (
+        SELECT q.vec_id AS question_id, e.vec_id, 1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS d
+        FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0
+    ), r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(d, 9), vec_id) AS rank FROM s)
+"""
+
+
+def _indexed(spark, sf_dir) -> tuple[vector_index.VectorIndex, DataFrame]:
+    """An index of all embeddings, and the questions: every vector whose id is divisible by 20."""
+    df = read_table(spark, sf_dir, "embeddings")
+    asked = df.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), "embedding")
+    return vector_index.VectorIndex.build(df, scratch_path(spark, "vectors"), id_col="vec_id"), asked
+
+
+@query(_NEIGHBOURS + "SELECT question_id, rank::INTEGER AS rank, vec_id, round(d, 6) AS distance FROM r WHERE rank <= 10")
+def vector_index_all_cells(spark, sf_dir):
+    """With all cells probed the index gives the exact neighbours."""
+    index, asked = _indexed(spark, sf_dir)
+    return index.search(asked, 10, len(index.centres)).select("question_id", "rank", "vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query(_NEIGHBOURS + "SELECT count(DISTINCT question_id) AS n_questions, true AS recalled, true AS pruned FROM r")
+def vector_index_recall(spark, sf_dir):
+    """With the cells that the index chose itself: whether 95 % of all neighbours are found, and not all rows were read for it."""
+    index, asked = _indexed(spark, sf_dir)
+    exact, found = index.search(asked, 10, len(index.centres)), index.search(asked, 10)
+    hit = exact.join(found.select("question_id", "vec_id", F.lit(1).alias("hit")), ["question_id", "vec_id"], "left")
+    return hit.agg(
+        F.count_distinct("question_id").alias("n_questions"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.95).alias("recalled"), F.lit(index.probes < len(index.centres)).alias("pruned")
+    )

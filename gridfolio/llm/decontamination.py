@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridfolio.llm.text import BROADCAST_ROWS, Memo, by_size, hashes, held, hot_join, small_batches, word_hash, word_memo, words
+from gridfolio.llm.text import BROADCAST_ROWS, Memo, by_size, free_names, hashes, held, hot_join, small_batches, word_hash, word_memo, words
 from gridfolio.session import written
 
 #: Fixed masks: 1 is a token that counts, 0 one that is ignored. Together they hit every overlap of MIN_TOKENS tokens or
@@ -225,8 +225,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     It is the text that decides: a row that shares its id, or the lack of one, with a row that goes stays.
     """
-    found = _verified(docs, benchmark, id_col, text_col).select(F.col("text_key").alias("__hit"))
+    own, key = free_names(docs, "own", "hit")
+    found = _verified(docs, benchmark, id_col, text_col).select(F.col("text_key").alias(key))
     with small_batches(docs.sparkSession):
         hit = written(found.distinct(), "benchmark-hits")
     few = hit.count() <= BROADCAST_ROWS
-    return docs.withColumn("__own", _key(F.col(text_col))).join(F.broadcast(hit) if few else hit, F.col("__own") == F.col("__hit"), "left_anti").drop("__own")
+    return docs.withColumn(own, _key(F.col(text_col))).join(F.broadcast(hit) if few else hit, F.col(own) == F.col(key), "left_anti").drop(own)

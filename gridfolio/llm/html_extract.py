@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridfolio.llm.text import BROADCAST_ROWS, by_size
+from gridfolio.llm.text import BROADCAST_ROWS, by_size, hot_join
 from gridfolio.session import written
 
 TOKEN = re.compile(
@@ -54,8 +54,9 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*(\"
 SPACE = re.compile(r"\s+")
 #: Different pages that must agree before a text counts as part of the template.
 SUPPORT = 3
-#: Different texts that a place of a wrapper remembers while it is inferred, those of most pages first.
-TEXTS = 32
+#: Inside a marked article a text is a constant only if so large a share of the host's pages have it, or so large a share of the texts
+#: under its path of elements are it: articles of a host may share passages.
+FIRM = 2 / 3
 #: Cells of an alignment's table; longer sequences are first cut where both have the same rare token.
 CELLS = 1_000_000
 #: Nodes of a wrapper from which it is put aside and a new one begun, to be aligned with it at the end.
@@ -195,9 +196,8 @@ def text_key(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
-# Wrapper nodes are lists: ["t", token], ["o", nodes] optional, ["r", nodes] repeated, and for text
-# ["x", texts, path, weight, members]: the pages of each text by its key, the path of elements, the characters that speak
-# for main text, and, of a single page, the numbers of its blocks.
+# Wrapper nodes are lists: ["t", token], ["o", nodes] optional, ["r", nodes] repeated, and for text ["x", weight, members]:
+# the characters that speak for main text, and, of a single page, the numbers of its blocks.
 
 
 def _signature(node: list) -> str:
@@ -209,46 +209,68 @@ def _signature(node: list) -> str:
 
 
 def _merged(a: list, b: list) -> list:
-    """One node for two with the same signature.
-
-    Of each text the SUPPORT smallest numbers of its pages are kept, so that a text counts once a page however often the
-    page has it, and once for all copies of a page, in whatever order pages are merged.
-    """
+    """One node for two with the same signature."""
     if a[0] == "t":
         return a
     if a[0] in "or":
         return [a[0], [_merged(x, y) for x, y in zip(a[1], b[1], strict=True)]]
-    texts = dict(a[1])
-    for key, pages in b[1].items():
-        texts[key] = sorted({*texts.get(key, ()), *pages})[:SUPPORT]
-    if len(texts) > TEXTS:
-        texts = dict(sorted(texts.items(), key=lambda x: (-len(x[1]), x[0]))[:TEXTS])
-    return ["x", texts, a[2], a[3] + b[3], a[4] + b[4]]
+    return ["x", a[1] + b[1], a[2] + b[2]]
 
 
 def fold(nodes: list[list]) -> list[list]:
     """Turn tandem repeats into repeated groups, shortest groups first, so that groups may nest."""
-    width = 1
-    while width <= min(24, len(nodes) // 2):
-        signs = [_signature(n) for n in nodes]
-        out, i, changed = [], 0, False
+    signs = [_signature(n) for n in nodes]
+    while width := _shortest_repeat(signs):
+        out, i = [], 0
         while i < len(nodes):
             j = i + width
-            if signs[i].startswith("<") and not signs[i].startswith("</") and j + width <= len(nodes) and signs[i:j] == signs[j : j + width] and _balanced(signs[i:j]):
+            if _opens(signs[i]) and signs[i:j] == signs[j : j + width] and _balanced(signs[i:j]):
                 group = nodes[i:j]
-                while j + width <= len(nodes) and signs[j : j + width] == signs[i : i + width]:
+                while signs[j : j + width] == signs[i : i + width]:
                     group = [_merged(a, b) for a, b in zip(group, nodes[j : j + width], strict=True)]
                     j += width
                 out.append(["r", group])
-                i, changed = j, True
+                i = j
             else:
                 out.append(nodes[i])
                 i += 1
         nodes = out
-        width = 1 if changed else width + 1
+        signs = [_signature(n) for n in nodes]
     return nodes
 
 
+def _opens(sign: str) -> bool:
+    return sign.startswith("<") and not sign.startswith("</")
+
+
+def _shortest_repeat(signs: list[str]) -> int:
+    """The width of the shortest group of whole elements that is followed by itself; 0 without one.
+
+    A group begins with an element and ends where a later sibling of it begins, so only these places are compared.
+    """
+    n = len(signs)
+    # Where the next sibling of what begins at a place begins; 0 where there is none.
+    after, stack = [0] * n, []
+    for i, sign in enumerate(signs):
+        if _opens(sign):
+            stack.append(i)
+        elif not sign.startswith("</"):
+            after[i] = i + 1
+        elif stack:
+            after[stack.pop()] = i + 1
+    best = 0
+    for i, sign in enumerate(signs):
+        if not _opens(sign):
+            continue
+        j = after[i]
+        while j and 2 * j - i <= n and (not best or j - i < best):
+            if signs[j] == sign and signs[i:j] == signs[j : 2 * j - i]:
+                best = j - i
+                break
+            j = after[j] if j < n else 0
+    return best
+
+
 def _balanced(signs: list[str]) -> bool:
     depth = 0
     for s in signs:
@@ -397,30 +419,37 @@ def _anchored(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def page_wrapper(stream: list[str], found: list[Leaf]) -> list[list]:
-    """The wrapper of one page. A page is told from others by its longest texts, so that copies count once."""
+def page_number(found: list[Leaf]) -> int:
+    """What a page is told from others by: its longest texts, so that copies count once."""
     longest = sorted({f.text for f in found if not f.aside} or {f.text for f in found}, key=lambda t: (-len(t), t))[:TELLING]
-    page = text_key("\0".join(longest))
-    nodes, at = [], 0
-    for token in stream:
-        if token == "#":
-            leaf = found[at]
-            nodes.append(["x", {str(text_key(leaf.text)): [page]}, "/".join(leaf.path), leaf.weight, [at]])
-            at += 1
-        else:
-            nodes.append(["t", token])
-    return fold(nodes)
+    return text_key("\0".join(longest))
+
+
+def path_key(leaf: Leaf) -> int:
+    return text_key("/".join(leaf.path))
+
+
+def place_key(leaf: Leaf) -> int:
+    """A text with the path of elements that it stands under."""
+    return text_key("/".join(leaf.path) + "\0" + leaf.text)
+
+
+def page_wrapper(stream: list[str], found: list[Leaf]) -> list[list]:
+    """The wrapper of one page."""
+    at = iter(range(len(found)))
+    return fold([["x", found[k := next(at)].weight, [k]] if token == "#" else ["t", token] for token in stream])
 
 
 @dataclass
 class Template:
-    """What extraction needs of a host's wrapper: its constants with their places, and its nodes with their weights."""
+    """What extraction needs of a host: its constants, texts with their places, those that are constants inside articles too, and its wrapper's nodes."""
 
-    constants: set[tuple[str, str]] = field(default_factory=set)
+    constants: set[int] = field(default_factory=set)
+    firm: set[int] = field(default_factory=set)
     nodes: list[list] = field(default_factory=list)
 
-    def constant(self, leaf: Leaf) -> bool:
-        return ("/".join(leaf.path), str(text_key(leaf.text))) in self.constants
+    def constant(self, leaf: Leaf, inside: bool = False) -> bool:
+        return place_key(leaf) in (self.firm if inside else self.constants)
 
 
 def _texts(nodes: list[list]) -> Iterator[list]:
@@ -431,19 +460,6 @@ def _texts(nodes: list[list]) -> Iterator[list]:
             yield from _texts(n[1])
 
 
-def _bare(nodes: list[list]) -> list[list]:
-    return [["x", {}, "", n[3], []] if n[0] == "x" else [n[0], _bare(n[1])] if n[0] in "or" else n for n in nodes]
-
-
-def template(nodes: list[list]) -> Template:
-    """The constants of a wrapper are the texts that SUPPORT different pages have under one path of elements."""
-    pages: dict[tuple[str, str], set[int]] = {}
-    for n in _texts(nodes):
-        for key, own in n[1].items():
-            pages.setdefault((n[2], key), set()).update(own)
-    return Template({k for k, own in pages.items() if len(own) >= SUPPORT}, _bare(nodes))
-
-
 def region(nodes: list[list]) -> set[int]:
     """The blocks of a page that lie in the main region of the wrapper that it was aligned to.
 
@@ -461,8 +477,8 @@ def region(nodes: list[list]) -> set[int]:
             if n[0] == "x":
                 # The element of a single block is no region.
                 own = tuple(k for k, _ in stack[:-1])
-                inside.append((own, n[3], n[4]))
-                weight.update(dict.fromkeys(own, n[3]))
+                inside.append((own, n[1], n[2]))
+                weight.update(dict.fromkeys(own, n[1]))
             elif n[0] in "or":
                 walk(n[1])
             elif n[1].startswith("</"):
@@ -485,7 +501,7 @@ def main_text(found: list[Leaf], host: Template, stream: list[str] | None = None
 
     Where a page marks its article, the blocks inside it that aren't set aside are candidates; if all its articles
     lie in elements that are set aside (a class of the whole layout, say), only what is inside them counts. The
-    host's template decides there too: its constants go, unless nothing else is left (copies of one article agree
+    host's template decides there too: its firm constants go, unless nothing else is left (copies of one article agree
     in all their blocks), and so do articles that are mostly links where others aren't.
 
     Elsewhere the host's wrapper decides alone: the page is aligned to it, its constants go, and of the rest what lies in the
@@ -493,7 +509,7 @@ def main_text(found: list[Leaf], host: Template, stream: list[str] | None = None
     """
     marked = [f for f in found if f.article]
     if article := [f for f in marked if not f.aside] or [f for f in marked if not f.aside_inside]:
-        article = [f for f in article if not host.constant(f)] or article
+        article = [f for f in article if not host.constant(f, True)] or article
         plain: dict[int, int] = {}
         for f in article:
             plain[f.region] = plain.get(f.region, 0) + len(f.text) - 2 * f.linked
@@ -505,7 +521,7 @@ def main_text(found: list[Leaf], host: Template, stream: list[str] | None = None
         own = page_wrapper(stream, found)
         for n in _texts(own):
             # The page counts for the wrapper already; a constant of it speaks for nothing.
-            n[1], n[3] = {}, 0 if host.nodes else sum(found[i].weight for i in n[4] if not fixed[i])
+            n[1] = 0 if host.nodes else sum(found[i].weight for i in n[2] if not fixed[i])
         kept &= region(align(host.nodes, own) if host.nodes else own)
     return "\n\n".join(found[i].text for i in sorted(kept))
 
@@ -515,19 +531,27 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, wrapper (JSON of nodes and constants): one union-free expression for all pages of a host.
+def _read(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """Of each task the partial wrappers of its hosts (host, wrapper), and of each page its number and its texts by path and place (host, page, paths, keys).
 
-    Every page is aligned to the wrapper of its host where it is read, so a host with very many pages sends one
-    partial wrapper a task; the partial wrappers of a host are then aligned with each other, in the order of their texts.
+    Every page is aligned to the wrapper of its host where it is read, so a host with very many pages sends one partial wrapper a task.
     """
+    schema = "host string, wrapper string, page long, paths array<long>, keys array<long>"
+    names = ["host", "wrapper", "page", "paths", "keys"]
 
     def partial(batches):
         wrappers: dict[str, list] = {}
         seen: set[int] = set()
+        out: list[tuple] = []
 
-        def flush(hosts: list[str]) -> pd.DataFrame:
-            return pd.DataFrame({"host": hosts, "wrapper": [json.dumps(wrappers.pop(h)) for h in hosts]})
+        def flush(hosts: list[str]) -> None:
+            out.extend((h, json.dumps(wrappers.pop(h)), None, None, None) for h in hosts)
+
+        def frame() -> pd.DataFrame:
+            # Column by column: numbers of 63 bits beside nulls would become floating-point ones.
+            columns = list(zip(*out, strict=True)) or [()] * len(names)
+            out.clear()
+            return pd.DataFrame({n: pd.array(c, dtype="Int64") if n == "page" else pd.Series(c, dtype=object) for n, c in zip(names, columns, strict=True)})
 
         for pdf in batches:
             for part in by_size([pdf], "html"):
@@ -540,15 +564,30 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
                     stream, found = leaves(page)
                     own = page_wrapper(stream, found)
                     for n in _texts(own):
-                        n[4] = []
+                        n[2] = []
                     wrappers[host] = align(wrappers[host], own) if host in wrappers else own
+                    own_places = {place_key(f): path_key(f) for f in found}
+                    out.append((host, None, page_number(found), list(own_places.values()), list(own_places)))
                     if len(wrappers[host]) > LONGEST:
-                        yield flush([host])
+                        flush([host])
                 if len(seen) >= 200_000 or len(wrappers) >= 5_000:
-                    yield flush(list(wrappers))
+                    flush(list(wrappers))
                     seen.clear()
-        if wrappers:
-            yield flush(list(wrappers))
+                yield frame()
+        flush(list(wrappers))
+        yield frame()
+
+    rows = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    return written(rows.mapInPandas(partial, schema), "page-parts")
+
+
+def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """host, wrapper (JSON of nodes and constants): one union-free expression for all pages of a host.
+
+    The partial wrappers of a host are aligned with each other in the order of their texts. A text is constant where SUPPORT
+    different pages of the host have it under one path of elements, and a firm one where they are FIRM of its pages or of the texts
+    under that path; that is counted over all pages, in whatever order they are read.
+    """
 
     def merged(pdf) -> list:
         out: list = []
@@ -559,25 +598,33 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
     def merge(key, pdf):
         return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(merged(pdf))]})
 
-    def finish(key, pdf):
-        own = template(merged(pdf))
-        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps({"nodes": own.nodes, "constants": sorted(own.constants)})]})
-
-    rows = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    read = _read(pages, url_col, html_col)
+    pages_read = read.where("page is not null")
+    places = pages_read.select("host", "page", F.explode(F.arrays_zip("paths", "keys")).alias("at")).select("host", "page", "at.paths", "at.keys")
+    # Counts are summed where they are, so a text that all pages have is no hot key.
+    counted = written(places.distinct().groupBy("host", "paths", "keys").agg(F.count(F.lit(1)).alias("n")), "page-texts")
+    on_path = counted.groupBy("host", "paths").agg(F.sum("n").alias("on_path"))
+    of_host = pages_read.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of_host"))
+    constant = counted.where(F.col("n") >= SUPPORT).join(on_path, ["host", "paths"]).join(of_host, "host")
+    firm = F.col("n") >= FIRM * F.least("on_path", "of_host")
+    constants = constant.groupBy("host").agg(F.sort_array(F.collect_list("keys")).alias("constants"), F.sort_array(F.collect_list(F.when(firm, F.col("keys")))).alias("firm"))
     # Equal wrappers come from copies of pages and count once.
-    parts = written(rows.mapInPandas(partial, "host string, wrapper string").distinct(), "partial-wrappers")
+    parts = written(read.where("wrapper is not null").select("host", "wrapper").distinct(), "partial-wrappers")
     # A host with very many pages has very many partial wrappers: FAN_IN of them or so are aligned in one task.
     while (parts.groupBy("host").count().agg(F.max("count")).first()[0] or 0) > 2 * FAN_IN:
         groups = parts.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / FAN_IN).alias("groups")).where("groups > 1")
         salted = parts.join(F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups, "host", "left")
         salted = salted.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.coalesce("groups", F.lit(1))))
         parts = written(salted.groupBy("host", "salt").applyInPandas(merge, "host string, wrapper string"), "partial-wrappers")
-    return parts.groupBy("host").applyInPandas(finish, "host string, wrapper string")
+    whole = parts.groupBy("host").applyInPandas(merge, "host string, wrapper string")
+    shown = lambda c: F.concat(F.lit("["), F.coalesce(F.array_join(c, ","), F.lit("")), F.lit("]"))
+    parts_of = (F.lit('{"nodes":'), F.col("wrapper"), F.lit(',"constants":'), shown("constants"), F.lit(',"firm":'), shown("firm"), F.lit("}"))
+    return whole.join(constants, "host", "left").select("host", F.concat(*parts_of).alias("wrapper"))
 
 
 def loaded(wrapper: str | None) -> Template:
-    own = json.loads(wrapper) if wrapper else {"nodes": [], "constants": []}
-    return Template({(path, key) for path, key in own["constants"]}, own["nodes"])
+    own = json.loads(wrapper) if wrapper else {"nodes": [], "constants": [], "firm": []}
+    return Template(set(own["constants"]), set(own["firm"]), own["nodes"])
 
 
 def extract(pages: DataFrame, wrappers: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -585,13 +632,22 @@ def extract(pages: DataFrame, wrappers: DataFrame | None = None, id_col: str = "
 
     Character references are decoded, white space inside a block is one space, blocks are joined in page order
     by a blank line, and the text is empty where a page (or a null html) has none. A null url belongs to the host
-    without a name. Repeated rows give repeated results; other columns are not read.
+    without a name. Repeated rows give repeated results; other columns are not read. Wrappers of BROADCAST_BYTES or less in all go to
+    the tasks as they are; more meet their pages by a join in which the pages of hosts with many stay where they are.
     """
+    spark = pages.sparkSession
     wrappers = written(infer(pages, url_col, html_col) if wrappers is None else wrappers, "wrappers")
     size = wrappers.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
     host = F.lower(F.regexp_extract(F.trim(F.coalesce(F.col(url_col), F.lit(""))), r"^(?i)(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    rows = rows.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", "left")
+    if size <= BROADCAST_BYTES:
+        # Bounded by the check above; a page doesn't carry its host's wrapper through its batch then.
+        sent = spark.sparkContext.broadcast({r["host"]: r["wrapper"] for r in wrappers.toLocalIterator()})
+        rows = rows.withColumn("wrapper", F.lit(None).cast("string"))
+    else:
+        sent = spark.sparkContext.broadcast({})
+        named = written(rows.groupBy("host").agg(F.count(F.lit(1)).alias("weight")).join(wrappers, "host", "left"), "wrappers")
+        rows = hot_join(rows, named, "host", "weight", pages.count())
 
     def run(batches):
         known: dict[str, Template] = {}
@@ -601,7 +657,7 @@ def extract(pages: DataFrame, wrappers: DataFrame | None = None, id_col: str = "
                 if own not in known:
                     if len(known) >= 2_000:
                         known.clear()
-                    known[own] = loaded(wrapper)
+                    known[own] = loaded(sent.value.get(own, wrapper))
                 stream, found = leaves(page)
                 texts.append(main_text(found, known[own], stream))
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]}).astype({"page_id": "Int64"})

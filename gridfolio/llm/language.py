@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridfolio.llm.text import by_size, crc_mod, unpickled
+from gridfolio.session import written
 
 #: First and last code point of the script ranges that are told apart.
 SCRIPTS = {
@@ -29,6 +30,8 @@ SCRIPTS = {
 }
 #: Labelled documents a language that the model is fitted on, in expectation; more are not collected.
 FIT_DOCUMENTS = 1500
+#: Characters of them.
+FIT_CHARS = 8_000_000
 #: What a change of language between two words costs, in nats.
 SWITCH = 6.0
 #: Lengths of the letter n-grams, and the rows of the hashed table that holds their scores.
@@ -192,20 +195,30 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
     return label
 
 
-def fit(docs: DataFrame, train_on=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", documents: int = FIT_DOCUMENTS) -> LanguageModel:
-    """Fit on a bounded sample: about ``documents`` whole texts of each language, chosen by a hash of the id.
+def fit(docs: DataFrame, train_on=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", documents: int = FIT_DOCUMENTS, chars: int = FIT_CHARS) -> LanguageModel:
+    """Fit on a bounded sample: about ``documents`` whole texts of each language with ``chars`` characters at most, chosen by a hash of the text.
 
-    ``train_on`` restricts the rows that may be learned from. Rows with a null language are left out.
+    Both numbers bound what is collected: where the texts of a language have more, a smaller share of them is chosen. Equal texts of a
+    language count once, whatever their ids. ``train_on`` restricts the rows that may be learned from. Rows with a null language are left out.
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("l is not null and t is not null")
     if train_on is not None:
         rows = rows.where(train_on(F.col("i")))
     sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    part = written(_share(rows, "sample", {lang: documents / n for lang, n in sizes.items()}).select("t", "l").distinct(), "language-sample")
+    # Texts of which there are many copies make the share of different texts larger than that of rows, and long ones count for more.
+    held = {r["l"]: (r["n"], r["size"]) for r in part.groupBy("l").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("t")).alias("size")).collect()}
+    less = {lang: min(documents / n if n > 1.2 * documents else 1.0, chars / max(1, size)) for lang, (n, size) in held.items()}
+    part = _share(part, "text", less)
+    return train([(r["t"], r["l"]) for r in part.orderBy("l", F.xxhash64("t"), "t").toLocalIterator()])
+
+
+def _share(rows: DataFrame, name: str, shares: dict[str, float]) -> DataFrame:
+    """The rows whose text hashes low: a share of the rows of each language."""
     cut = F.lit(0).cast("long")
-    for lang, n in sizes.items():
-        cut = F.when(F.col("l") == lang, F.lit(min(2**31, int(documents / n * 2**31)))).otherwise(cut)
-    part = rows.where(F.pmod(F.xxhash64(F.lit("sample"), F.col("i")), F.lit(2**31)) < cut)
-    return train([(r["t"], r["l"]) for r in part.select("t", "l").toLocalIterator()])
+    for lang, share in shares.items():
+        cut = F.when(F.col("l") == lang, F.lit(min(2**31, int(share * 2**31)))).otherwise(cut)
+    return rows.where(F.pmod(F.xxhash64(F.lit(name), "t"), F.lit(2**31)) < cut)
 
 
 def spans(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH) -> DataFrame:

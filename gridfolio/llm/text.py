@@ -160,21 +160,37 @@ def hot_join(rows: DataFrame, table: DataFrame, key: str | list[str], weight: st
 BROADCAST_ROWS = 500_000
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns that ``df`` doesn't have, whatever it has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"__{name}"
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def without_rows(docs: DataFrame, drop: DataFrame, repeated: DataFrame, id_col: str, text_col: str, key: Column) -> DataFrame:
     """``docs`` without the rows that ``drop`` names, and with one of each that ``repeated`` names, with all columns.
 
     Both tables are written ones and name rows by __id and __key, which ``key`` computes from a row. Of rows with one name the
     longest text stays, then the last in the order of texts.
     """
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key"))
+    own, name = free_names(docs, "own", "name")
+    # Names of the small tables may be columns of the documents as well: they get others for the join.
+    ids, keys = free_names(docs, "id", "key")
+    drop, repeated = (t.select(F.col("__id").alias(ids), F.col("__key").alias(keys)) for t in (drop, repeated))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(ids)) & (F.col(own) == F.col(keys))
     few = drop.count() <= BROADCAST_ROWS
-    kept = docs.withColumn("__own", key).join(F.broadcast(drop) if few else drop, same, "left_anti")
+    kept = docs.withColumn(own, key).join(F.broadcast(drop) if few else drop, same, "left_anti")
     n = repeated.count()
     if not n:
-        return kept.drop("__own")
+        return kept.drop(own)
     # Only the rows that are repeated meet each other, not the whole table.
     named = F.broadcast(repeated) if n <= BROADCAST_ROWS else repeated
-    once, again = kept.join(named, same, "left_anti").drop("__own"), kept.join(named, same, "left_semi")
+    once, again = kept.join(named, same, "left_anti").drop(own), kept.join(named, same, "left_semi")
     # Combined where they are read: a row that a third of the table repeats sends one row a task.
-    best = F.max_by(F.struct(*docs.columns), F.struct(F.length(text_col), F.col(text_col))).alias("__best")
-    return once.unionByName(again.groupBy(F.col(id_col).alias("__name"), "__own").agg(best).select("__best.*"))
+    best = F.max_by(F.struct(*docs.columns), F.struct(F.length(text_col), F.col(text_col))).alias("best")
+    return once.unionByName(again.groupBy(F.col(id_col).alias(name), F.col(own)).agg(best).select("best.*"))

@@ -18,7 +18,7 @@ ROWS = [
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside, as extra columns of the input.
-CLASHING = ["content", "rank", "salt", "text_sha256", "digest", "second", "rep", "family", "band", "hit", "score", "hits", "kept", "length", "leaf", "form", "pos", "line", "doc", "n", "class_id", "piece", "host", "size", "first"]
+CLASHING = ["content", "rank", "salt", "text_sha256", "digest", "second", "rep", "family", "band", "hit", "score", "hits", "kept", "length", "leaf", "form", "pos", "line", "doc", "n", "class_id", "piece", "host", "size", "first", "__own", "__id", "__key", "__best", "__name", "__hit", "__own_", "page", "keys", "wrapper"]
 
 
 @pytest.fixture(scope="session")

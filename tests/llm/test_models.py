@@ -203,3 +203,16 @@ def test_toxicity_edges(spark, nasty, none):
     empty = spark.createDataFrame([], labels.schema)
     assert toxicity.classify(nasty, empty).count() == nasty.count()
     assert toxicity.keep_clean(nasty, toxicity.ToxicityModel()).columns == nasty.columns
+
+
+def test_language_sample_is_bounded_whatever_the_ids(spark, monkeypatch):
+    """Two thirds of the rows share an id, others repeat one text, and some are long: the sample stays within its bounds."""
+    rows = [(7 if i % 3 else i, f"text number {i} of many in one tongue", "en") for i in range(6000)] + [(i, "the same words again", "de") for i in range(3000)]
+    rows += [(i, f"long text {i} " * 2000, "fr") for i in range(40)] + [(None, None, "en"), (1, "no language", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = []
+    monkeypatch.setattr(language, "train", got.extend)
+    language.fit(df, documents=50, chars=200_000)
+    by = {lang: [t for t, x in got if x == lang] for lang in ("en", "de", "fr")}
+    assert 20 <= len(by["en"]) <= 100 and len(by["de"]) <= 1 and sum(map(len, by["fr"])) <= 2 * 200_000
+    assert len(got) == len(set(got))

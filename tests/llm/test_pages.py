@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import random
 import re
 
 import pytest
@@ -9,6 +10,8 @@ import zstandard
 from gridfolio.llm import html_extract as H
 from gridfolio.llm import warc
 from gridfolio.session import scratch_path
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -78,8 +81,6 @@ def test_wrapper_has_repeats_optionals_and_slots():
     b = H.page_wrapper(*H.leaves("<body><h1>B</h1><p>only</p><ul><li>extra</li></ul><div>Same</div></body>"))
     w = H.align(a, b)
     assert "".join(map(H._signature, w)) == "<body><h1>#</h1>(<p>#</p>)+[<ul><li>#</li></ul>]?<div>#</div></body>"
-    flat = [n for n in w if n[0] == "x"]
-    assert [len(n[1]) for n in flat] == [2, 1] and [len(p) for p in flat[1][1].values()] == [2]
     assert "".join(map(H._signature, H.align(w, a))) == "".join(map(H._signature, w))
 
 
@@ -110,14 +111,16 @@ def test_generated_pages_without_article_markup(spark):
     assert sum(got[i] == t for i, t in want.items()) >= 0.97 * len(want)
 
 
-def test_a_text_counts_once_a_page_and_copies_once():
-    one = H.page_wrapper(*H.leaves("<body><p>same</p><p>same</p><p>same</p><div>other text</div></body>"))
-    assert not H.template(one).constants and not H.template(H.align(one, H.align(one, one))).constants
-    pages = [H.page_wrapper(*H.leaves(f"<body><p>same</p><div>a text of its own number {i}</div></body>")) for i in range(3)]
-    assert [k for _, k in H.template(H.align(H.align(pages[0], pages[1]), pages[2])).constants] == [str(H.text_key("same"))]
-    # A page that lacks the constant doesn't hide it.
-    lacks = H.page_wrapper(*H.leaves("<body><p>else</p><div>a text of its own</div></body>"))
-    assert H.template(H.align(H.align(H.align(pages[0], lacks), pages[1]), pages[2])).constants
+def test_a_text_counts_once_a_page_and_copies_once(spark):
+    own = [f"<body><p>same</p><div>a text of its own number {i}</div></body>" for i in range(3)]
+    lacks = "<body><p>else</p><div>a text of its own</div></body>"
+    rows = [(i, "http://one.org", "<body><p>same</p><p>same</p><p>same</p><div>other text</div></body>") for i in range(4)]
+    rows += [(10 + i, "http://three.org", h) for i, h in enumerate(own)] + [(20 + i, "http://four.org", h) for i, h in enumerate([own[0], lacks, *own[1:]])]
+    found = {r["host"]: H.loaded(r["wrapper"]) for r in H.infer(spark.createDataFrame(rows, SCHEMA)).collect()}
+    same = H.place_key(H.leaves(own[0])[1][0])
+    # Copies of a page and repeats on it count once, and a page that lacks the constant doesn't hide it.
+    assert not found["one.org"].constants and found["three.org"].constants == found["four.org"].constants == {same}
+    assert found["three.org"].firm == {same}
 
 
 def test_result_does_not_depend_on_partitions(spark):
@@ -217,3 +220,77 @@ def test_frames_hold_whole_records():
     w = warc.BundleWriter(frame_bytes=1000)
     places = [w.add(b"x" * n) for n in (400, 400, 400, 5000, 10)]
     assert places == [(0, 0), (0, 400), (1, 0), (2, 0), (3, 0)]
+
+
+def notices(n, every):
+    """Pages of one host, each ``every``th with the same notice inside its article, in an element that nothing else is in."""
+    rows = []
+    for i in range(n):
+        paragraphs = [f"Paragraph {k} of page {i} tells what happened on day {i * 7 + k}." for k in range(1 + i % 3)]
+        if i % every == 0:
+            paragraphs[0] += "</p><div>Subscribe today to our letter, dear reader, and pay nothing for a month.</div><p>More"
+        rows.append((i, "http://n.org/x", page(f"Title number {i}", paragraphs)))
+    return rows
+
+
+def test_constants_do_not_depend_on_the_order_of_pages(spark):
+    """However rare a notice is and in whatever order pages are read, three pages that have it make it constant."""
+    rows = notices(1000, 25)
+    want = None
+    for seed in range(10):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, SCHEMA).repartition(1 + seed % 4)
+        got = {r["page_id"]: r["text"] for r in H.extract(df).collect()}
+        assert not any("Subscribe" in t for t in got.values())
+        want = want or got
+        assert got == want
+
+
+def test_constants_need_three_different_pages(spark):
+    rows = notices(60, 30)
+    got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame([*rows, *rows[:1] * 5], SCHEMA)).collect()}
+    assert sum("Subscribe" in t for t in got.values()) == 2
+
+
+def test_passages_that_articles_share_stay(spark):
+    """A paragraph that a third of a host's articles have is no part of its template; one that nearly all have is."""
+    rows, want = [], {}
+    for i in range(60):
+        paragraphs = [f"Paragraph of page {i}, which is its own.", *["A passage that many articles quote in full."] * (i % 3 == 0)]
+        rows.append((i, "http://q.org/x", page(f"Title number {i}", [*paragraphs, *["Share this with your friends."] * (i % 10 > 0)])))
+        want[i] = "\n\n".join([f"Title number {i}", *paragraphs])
+    assert {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+
+
+def test_wrappers_that_are_joined_give_the_same_texts(spark, monkeypatch):
+    rows = [*notices(60, 5), *[(1000 + i, f"http://h{i % 7}.org/", page(f"T {i}", [f"Text {i} of a page."])) for i in range(40)], (None, None, "<p>a</p>")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(map(str, H.extract(df).collect()))
+    monkeypatch.setattr(H, "BROADCAST_BYTES", 0)
+    assert sorted(map(str, H.extract(df).collect())) == want
+
+
+def test_long_groups_are_folded():
+    """A repeat of any width: here of thirty cells a row, with a text after each row."""
+    row = ["<tr>", *["<td>", "#", "</td>", "<td>", "<b>", "#", "</b>", "</td>"] * 15, "</tr>", "#"]
+    assert H._shortest_repeat(["<td>", "#", "</td>"] * 2) == 3
+    wide = ["<table>", *["<tr>", *[f"<c{k}>" if j else f"</c{k}>" for k in range(40) for j in (1, 0)], "</tr>"] * 3, "</table>"]
+    assert H._shortest_repeat(wide) == 82
+    nodes = [["x", 1, []] if t == "#" else ["t", t] for t in row * 4]
+    assert "".join(map(H._signature, H.fold(nodes))) == "(<tr>(<td>#</td><td><b>#</b></td>)+</tr>#)+"
+
+
+def slow_repeat(signs):
+    """The same by trying every width at every place."""
+    for width in range(1, len(signs) // 2 + 1):
+        for i in range(len(signs) - 2 * width + 1):
+            group = signs[i : i + width]
+            if H._opens(group[0]) and group == signs[i + width : i + 2 * width] and H._balanced(group):
+                return width
+    return 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<a>", "</a>", "<b>", "</b>", "#", "(<a>#</a>)+"]), max_size=14))
+def test_shortest_repeats_equal_all_widths(signs):
+    assert H._shortest_repeat(signs) == slow_repeat(signs)

@@ -102,7 +102,7 @@ def _stored(rows: DataFrame, path: str) -> None:
     rows = written(rows, "cells")
     parts = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_FILE).cast("int").alias("__parts"))
     dealt = rows.join(F.broadcast(parts), "cell").withColumn("__part", F.floor(F.rand(1) * F.col("__parts")))
-    dealt.repartition("cell", "__part").drop("__parts", "__part").write.mode("append").partitionBy("cell").parquet(f"{path}/vectors")
+    dealt.repartition("cell", "__part").drop("__parts", "__part").write.mode("append").option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("cell").parquet(f"{path}/vectors")
 
 
 class VectorIndex:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,7 +44,7 @@ def stem_column(word: Column) -> Column:
     return out
 
 
-def parse(text: str) -> Query:
+def parse(text: str, stem: Callable[[str], str] = stem) -> Query:
     """Web-search syntax: words are joined by AND, ``or`` makes alternatives, "..." is a phrase, -word excludes."""
     branches, none_of = [[]], []
     for minus, quoted, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', text):
@@ -105,6 +106,11 @@ def cover_density(token_array: Column, query: Query) -> Column:
     """
     wanted = query.words()
     places = F.filter(F.transform(token_array, lambda t, i: F.when(t.isin(*wanted), i)), lambda x: x.isNotNull()) if wanted else F.array()
+    return density(places)
+
+
+def density(places: Column) -> Column:
+    """The rank that sorted places of query words give."""
     gaps = F.transform(places, lambda x, i: F.when(i == 0, F.lit(0)).otherwise(x - F.get(places, i - 1) - 1))
     return F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + 1.0 / (1.0 + g))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridfolio.operators import keyword, retrieval, vector_index
+from gridfolio.operators import keyword, retrieval, text_index, vector_index
 from gridfolio.queries import query
 from gridfolio.session import read_table, scratch_path
 
@@ -167,6 +167,35 @@ def context_within_budget(spark, sf_dir):
     return retrieval.context(rows, 3000).select("item_id", "block")
 
 
+def _texts(spark, sf_dir, analyser: str) -> text_index.TextIndex:
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("store"), "text")
+    return text_index.TextIndex.build(docs, scratch_path(spark, "texts"), analyser=analyser)
+
+
+@query(_TOKENS + "SELECT lang AS store, term, doc_id AS id, count(*) AS n, min(pos) AS first, max(pos) AS last FROM t GROUP BY 1, 2, 3")
+def text_index_postings(spark, sf_dir):
+    """What is stored, read back."""
+    found = _texts(spark, sf_dir, "light").postings()
+    return found.select("store", "term", "id", F.size("positions").cast("long").alias("n"), F.element_at("positions", 1).cast("long").alias("first"), F.element_at("positions", -1).cast("long").alias("last"))
+
+
+#: The English stems of the words of these texts that begin so.
+_ENGLISH = _TOKENS.replace(_STEM.format(w="w"), "CASE WHEN w IN ('license', 'licenses', 'licensed', 'licensing') THEN 'licens' WHEN w = 'apache' THEN 'apach' ELSE w END")
+
+
+@query(
+    _ENGLISH
+    + """, h AS (SELECT doc_id, lang, pos, pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS gap, term FROM t WHERE term IN ('licens', 'apach')),
+         m AS (SELECT doc_id, lang, sum(CASE WHEN gap IS NULL THEN 1.0 ELSE 1.0 / (1.0 + gap) END) AS rank FROM h GROUP BY 1, 2 HAVING count(DISTINCT term) = 2),
+         k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY round(rank, 9) DESC, doc_id) AS i FROM m)
+       SELECT doc_id, lang, round(rank, 6) AS rank, round(1 - rank / max(rank) OVER (PARTITION BY lang), 6) AS distance FROM k WHERE i <= 20"""
+)
+def text_index_topk(spark, sf_dir):
+    """All forms of a word by its English stem, ranked from stored postings."""
+    found = _texts(spark, sf_dir, "english").search("apache licensing", 20)
+    return found.select(F.col("id").alias("doc_id"), F.col("store").alias("lang"), F.round("rank", 6).alias("rank"), F.round("distance", 6).alias("distance"))
+
+
 _NEIGHBOURS = """
     WITH s AS (
         SELECT q.vec_id AS question_id, e.vec_id, 1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS d

@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridfolio.operators import rows, structured
+from gridfolio.operators import cell_index, rows, structured
 from gridfolio.plans import engine, nl
 from gridfolio.queries import query
-from gridfolio.session import read_table
+from gridfolio.session import read_table, scratch_path, written
 
 
 def _ask(spark, sf_dir, table: str, question: str, tie: list[str]) -> DataFrame:
@@ -196,3 +196,36 @@ def top_rows_per_table(spark, sf_dir):
 def filter_truncation_flag(spark, sf_dir):
     source = structured.Source(read_table(spark, sf_dir, "orders"))
     return structured.capped(structured.matching(source, nl.leaf("o_totalprice above 100000")), [F.col("o_orderkey")])[1]
+
+
+def _cells(spark, sf_dir) -> tuple[cell_index.CellIndex, DataFrame]:
+    """The parts as maps, and an index of their cells."""
+    maps = written(rows.from_frame(read_table(spark, sf_dir, "part"), "part", ["p_partkey"]), "maps")
+    return cell_index.CellIndex.build(maps, scratch_path(spark, "cells")), maps
+
+
+@query(
+    """SELECT p_partkey::VARCHAR AS p_partkey, p_name FROM part
+       WHERE (p_size BETWEEN 3 AND 10 AND lower(p_brand) = 'brand#13') OR (lower(p_name) LIKE '%red%' AND p_retailprice > 950)"""
+)
+def cell_index_filter(spark, sf_dir):
+    """Sets of rows by cells: an AND of two columns, and an OR of such sets, before any row is read."""
+    index, maps = _cells(spark, sf_dir)
+    tree, _ = nl.conditions("p_size between 3 and 10 and p_brand is Brand#13 or p_name containing 'red' and p_retailprice above 950")
+    found = index.matching(maps, tree)
+    return found.select(F.try_element_at("row_data", F.lit("p_partkey")).alias("p_partkey"), F.try_element_at("row_data", F.lit("p_name")).alias("p_name"))
+
+
+@query("SELECT p_partkey::VARCHAR AS p_partkey, p_retailprice AS rank_value FROM part WHERE lower(p_type) <> 'economy' ORDER BY p_retailprice DESC, p_partkey LIMIT 30")
+def cell_index_top(spark, sf_dir):
+    index, maps = _cells(spark, sf_dir)
+    found = index.ranked(maps, "p_retailprice", True, 30, nl.conditions("p_type is not economy")[0])
+    return found.select(F.try_element_at("row_data", F.lit("p_partkey")).alias("p_partkey"), "rank_value")
+
+
+@query("SELECT round(sum(p_retailprice), 2) AS value, count(*) AS n_rows FROM part WHERE p_brand IN ('Brand#13', 'Brand#22') AND p_size < 25")
+def cell_index_total(spark, sf_dir):
+    """An aggregate from cells alone."""
+    index, _ = _cells(spark, sf_dir)
+    tree, _ = nl.conditions("p_brand in Brand#13 or Brand#22 and p_size under 25")
+    return index.aggregated("SUM", "p_retailprice", tree).select(F.round("value", 2).alias("value"), "n_rows")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from gridfolio.functions import numeric, text
 from gridfolio.operators import keyword, retrieval, structured
-from gridfolio.plans import binder, nl
+from gridfolio.operators.text_index import TextIndex
+from gridfolio.operators.vector_index import VectorIndex
+from gridfolio.plans import binder, isolation, nl
 from gridfolio.plans.cache import Cache
 
 
@@ -89,12 +91,17 @@ def judged_by_words(question: str, evidence: DataFrame) -> Verdict:
     return Verdict(not gaps, 1 - len(gaps) / len(wanted), gaps, " ".join(gaps) or None)
 
 
+#: Columns of the lists that are fused.
+LISTED = ["chunk_id", "document_id", "store", "text", "distance"]
+
+
 @dataclass
 class Engine:
     """Tables, evidence and models of a collection. Models are injected; without them the engine is deterministic.
 
     ``tables``: name -> (DataFrame, tie-break columns). ``chunks``: chunk_id, document_id, store, text, embedding.
-    ``centroids``: store, centroid. A planner splits a question into sub-questions; a judge looks for gaps in the evidence.
+    ``centroids``: store, centroid. With a ``text_index`` or ``vector_index`` of the chunks these are searched instead of all chunks.
+    A planner splits a question into sub-questions; a judge looks for gaps in the evidence.
     """
 
     tables: dict[str, tuple[DataFrame, list[str]]] = field(default_factory=dict)
@@ -104,11 +111,17 @@ class Engine:
     llm: Callable[[str], dict | None] | None = None
     summarizer: Callable[[str, list[str]], str] | None = None
     centroids: DataFrame | None = None
+    text_index: TextIndex | None = None
+    vector_index: VectorIndex | None = None
     planner: Callable[[str], list[str]] | None = None
     judge: Callable[[str, DataFrame], Verdict] | None = None
     small_talk: Callable[[str], str] | None = None
     embeddings: Cache = field(default_factory=lambda: Cache(6 * 3600, 5000))
     results: Cache = field(default_factory=lambda: Cache(90, 500))
+    #: Seconds that the search of a store, or a reranker, may take before the answer does without it.
+    deadline: float = isolation.DEADLINE
+    #: What the chunks are now, such as the version of their table: results are remembered for one state only.
+    state: Callable[[], Hashable] = lambda: 0
     #: What went wrong in a store or a model without ending a query.
     failures: list[str] = field(default_factory=list)
 
@@ -147,13 +160,19 @@ class Engine:
         return Answer(best.intent, reduce(lambda x, y: x.unionByName(y), rows), best.kind, [*best.warnings, *others])
 
     def _safely(self, what: str, make: Callable):
-        """The result of a part, or None if it fails: one part that fails costs no other."""
+        """What ``make`` gives, or None if it fails. It guards what happens at once: calls of models, and planning; jobs are guarded by ``_ran``."""
         try:
             return make()
         except Exception as e:
             self.failures.append(f"{what}: {type(e).__name__}: {e}")
             return None
 
+    def _ran(self, parts: dict[str, Callable[[], DataFrame | None]]) -> dict[str, DataFrame]:
+        """The written results of the parts that end well and in time; the others are recorded as failures."""
+        done, failed = isolation.run(self.chunks.sparkSession, parts, self.deadline)
+        self.failures += [f"{name}: {what}" for name, what in failed.items()]
+        return done
+
     def _embedded(self, text: str) -> list[float] | None:
         if self.embedder is None:
             return None
@@ -171,24 +190,50 @@ class Engine:
         return [f"{s}_store" for s in nl.select_stores(document_types, found)]
 
     def retrieve(self, text: str, document_id: str | None = None, document_types: list[str] | None = None, top_k: int | None = None) -> DataFrame | None:
-        """Dense and keyword rankings fused, pooled per store and reranked; either side may be missing or fail. Repeated questions share a plan."""
+        """Dense and keyword rankings fused, pooled per store and reranked; the rows are written, and a repeated question reads them again.
+
+        Each search of each store is a job of its own: one that fails while it runs, or takes too long, leaves the rows of the others.
+        """
         if self.chunks is None:
             return None
-        key = (text, document_id, tuple(document_types or ()), top_k)
+        key = (self.state(), text, document_id, tuple(document_types or ()), top_k)
         return self.results.get(key, lambda: self._retrieved(text, document_id, document_types, top_k))
 
     def _retrieved(self, text: str, document_id: str | None, document_types: list[str] | None, top_k: int | None) -> DataFrame:
         k, cap = nl.depth(text)
-        rows = retrieval.of_documents(self.chunks.where(F.col("store").isin(self.route(text, document_types))), document_id)
-        columns = ["chunk_id", "document_id", "store", "text", "distance"]
         vector = self._embedded(text)
-        lists = [self._safely("keyword search", lambda: keyword.search(rows, text, k).select(*columns))]
-        if vector is not None:
-            lists.insert(0, self._safely("vector search", lambda: retrieval.nearest_per_store(rows, vector, k).select(*columns)))
-        found = [x for x in lists if x is not None]
-        fused = retrieval.fuse(found or [rows.limit(0).withColumn("distance", F.lit(0.0)).select(*columns)])
-        pooled = retrieval.balanced_pool(fused, cap, F.col("fused_score").desc())
-        return self._safely("reranking", lambda: retrieval.rerank(pooled, text, top_k or k, self.reranker)) or retrieval.rerank(pooled, text, top_k or k)
+        parts: dict[str, Callable[[], DataFrame | None]] = {}
+        for store in self.route(text, document_types):
+            if vector is not None:
+                parts[f"vector search of {store}"] = lambda s=store: self._near(vector, k, s, document_id)
+            parts[f"keyword search of {store}"] = lambda s=store: self._with_words(text, k, s, document_id)
+        none = self.chunks.limit(0).withColumn("distance", F.lit(0.0)).select(*LISTED)
+        pooled = retrieval.balanced_pool(retrieval.fuse(self._lists(parts) or [none]), cap, F.col("fused_score").desc())
+        rank = lambda scorer: lambda: retrieval.rerank(pooled, text, top_k or k, scorer)
+        ranked = self._ran({"reranking": rank(self.reranker)}) if self.reranker is not None else {}
+        ranked = ranked or self._ran({"ranking by words": rank(None)})
+        return next(iter(ranked.values()), none.withColumn("relevance", F.lit(0.0)))
+
+    def _lists(self, parts: dict[str, Callable[[], DataFrame | None]]) -> list[DataFrame]:
+        """The ranked lists that are fused: those of one kind of search, over all stores, are one list."""
+        kinds: dict[str, list[DataFrame]] = {}
+        for name, rows in self._ran(parts).items():
+            kinds.setdefault(name.split(" ")[0], []).append(rows)
+        return [reduce(DataFrame.unionByName, kinds[kind]) for kind in ("vector", "keyword") if kind in kinds]
+
+    def _near(self, vector: list[float], k: int, store: str, document_id: str | None) -> DataFrame:
+        if self.vector_index is None:
+            return retrieval.nearest_per_store(retrieval.of_documents(self.chunks.where(F.col("store") == store), document_id), vector, k).select(*LISTED)
+        where = F.col("store") == store if document_id is None else (F.col("store") == store) & (F.col("document_id") == document_id)
+        return self.vector_index.nearest(vector, k, where=where).select(*LISTED)
+
+    def _with_words(self, text: str, k: int, store: str, document_id: str | None) -> DataFrame:
+        rows = retrieval.of_documents(self.chunks.where(F.col("store") == store), document_id)
+        # The index ranks whole stores: a single document is scanned.
+        if self.text_index is None or document_id is not None:
+            return keyword.search(rows, text, k).select(*LISTED)
+        found = self.text_index.search(text, k).where(F.col("store") == store).select(F.col("id").alias("chunk_id"), "distance")
+        return rows.join(F.broadcast(found), "chunk_id").select(*LISTED)
 
     def agentic(self, text: str, sub_queries: Callable[[str], list[str]] | None = None, enough: Callable[[DataFrame], bool] | None = None, loops: int = LOOPS, **kw) -> DataFrame | None:
         """Retrieve for the question and its sub-questions; then, while a judge finds gaps, for the question that it asks instead.

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from gridfolio.operators import catalog
 from gridfolio.queries import query
-from gridfolio.session import read_table
+from gridfolio.session import read_table, scratch_path
+from gridfolio.sources import tables
 from gridfolio.streaming import jobs
 
 
@@ -195,3 +196,20 @@ def typed_documents(spark, sf_dir):
 
     docs = read_table(spark, sf_dir, "documents").where("source <> 'src0'").withColumn("document_types", F.array("lang"))
     return retrieval.typed(docs, ["fr", "de"]).select("doc_id", "lang")
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'seen' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey % 7 <> 0
+       UNION ALL SELECT -1 - o_orderkey, 'new' FROM orders WHERE o_orderkey % 11 = 0"""
+)
+def keyed_table_commits(spark, sf_dir):
+    """A table written by four commits: all orders, an upsert, a deletion by key, and an upsert by a writer that was overtaken by the deletion."""
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    table = tables.KeyedTable.create(spark, scratch_path(spark, "orders"), orders.schema, ["o_orderkey"], buckets=8)
+    table.upsert(orders)
+    table.upsert(orders.where("o_orderkey % 5 = 0").withColumn("status", F.lit("seen")))
+    other = tables.KeyedTable(spark, table.path)
+    todo = [orders.where("o_orderkey % 7 = 0")]
+    table.before_commit = lambda: other.delete(todo.pop()) if todo else None
+    table.upsert(orders.where("o_orderkey % 11 = 0").select((-1 - F.col("o_orderkey")).alias("o_orderkey"), F.lit("new").alias("status")))
+    return table.read()

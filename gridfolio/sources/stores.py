@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridfolio.operators import catalog
+from gridfolio.sources import tables
 
 
 def with_id(df: DataFrame, *keys: str, name: str = "id") -> DataFrame:
@@ -42,14 +45,45 @@ def read_latest(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(version_path(path, n)) if n else None
 
 
-def write_version(df: DataFrame, path: str) -> int:
-    """A new version beside the old ones: readers see the old one until the new one is complete."""
-    n = latest_version(df.sparkSession, path) + 1
-    df.write.mode("overwrite").parquet(version_path(path, n))
+def write_version(df: DataFrame, path: str, after: int | None = None) -> int:
+    """A new version beside the old ones: readers see the old one until the new one is complete.
+
+    A writer claims its number first, so that two never write one version. With ``after`` the version is that which follows it, and a
+    Conflict if another writer has claimed it; without, the next number that is free.
+    """
+    spark = df.sparkSession
+    files = tables.Files(spark, path)
+    n = latest_version(spark, path) if after is None else after
+    while True:
+        n += 1
+        try:
+            files.create(f"{path}/_claims/{n:08d}", "")
+            break
+        except tables.Conflict:
+            if after is not None:
+                raise
+    try:
+        df.write.mode("overwrite").parquet(version_path(path, n))
+    except BaseException:
+        # A number that failed is free again.
+        files.delete(version_path(path, n))
+        files.delete(f"{path}/_claims/{n:08d}")
+        raise
     return n
 
 
-def upsert(df: DataFrame, path: str, key: list[str]) -> int:
-    """Insert or replace by key, as a new version."""
-    old = read_latest(df.sparkSession, path)
-    return write_version(df if old is None else catalog.upserted(old, df, key), path)
+def upsert(df: DataFrame, path: str, key: list[str], seconds: float = 600.0) -> int:
+    """Insert or replace by key, as a new version. Where another writer is at work the rows are merged over its version once that is complete.
+
+    A writer that dies without a trace leaves its claim (``_claims``), which must be deleted before others can go on.
+    """
+    spark, ends = df.sparkSession, time.monotonic() + seconds
+    while True:
+        n = latest_version(spark, path)
+        old = spark.read.parquet(version_path(path, n)) if n else None
+        try:
+            return write_version(df if old is None else catalog.upserted(old, df, key), path, n)
+        except tables.Conflict:
+            if time.monotonic() > ends:
+                raise
+            time.sleep(0.2)

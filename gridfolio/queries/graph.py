@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridfolio.operators import graph
-from gridfolio.queries import query
-from gridfolio.session import read_table
+from gridfolio.operators import containment, graph, hops
+from gridfolio.queries import ORACLE_SQL, query, scalars  # noqa: F401
+from gridfolio.session import read_table, written
 
 
 def _key_edges(spark, sf_dir) -> DataFrame:
@@ -130,3 +130,29 @@ def communities_by_modularity(spark, sf_dir):
     pairs = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
     pairs = pairs.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("c_nationkey", "s_nationkey").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     return graph.communities(pairs.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("tgt"), "weight"), rounds=3, levels=2)
+
+
+@query(
+    """WITH a AS (SELECT DISTINCT p_partkey::VARCHAR AS l FROM part), b AS (SELECT DISTINCT lower(c_name) AS r FROM customer)
+       SELECT l AS "left", r AS "right" FROM a, b WHERE l = r OR (length(l) >= 3 AND contains(r, l)) OR (length(r) >= 3 AND contains(l, r))"""
+)
+def names_contained(spark, sf_dir):
+    """The numbers of all parts inside the names of all customers."""
+    return containment.contained_pairs(read_table(spark, sf_dir, "part"), read_table(spark, sf_dir, "customer"), "p_partkey", "c_name")
+
+
+@query(
+    f"""WITH m AS MATERIALIZED (SELECT DISTINCT id, entity_key FROM ({ORACLE_SQL["entity_mentions"]})),
+             f0 AS (SELECT DISTINCT entity_key FROM m WHERE contains(entity_key, 'licen') OR contains(entity_key, 'apache') OR (length(entity_key) >= 3 AND (contains('licen', entity_key) OR contains('apache', entity_key)))),
+             h0 AS MATERIALIZED (SELECT id, count(*) AS n FROM m JOIN f0 USING (entity_key) GROUP BY 1 ORDER BY n DESC, id LIMIT 20),
+             f1 AS MATERIALIZED (SELECT DISTINCT entity_key FROM m WHERE id IN (SELECT id FROM h0) EXCEPT SELECT entity_key FROM f0),
+             h1 AS MATERIALIZED (SELECT id, count(*) AS n FROM m JOIN f1 USING (entity_key) WHERE id NOT IN (SELECT id FROM h0) GROUP BY 1 ORDER BY n DESC, id LIMIT 20),
+             f2 AS (SELECT DISTINCT entity_key FROM m WHERE id IN (SELECT id FROM h1) EXCEPT SELECT entity_key FROM f1 EXCEPT SELECT entity_key FROM f0),
+             h2 AS (SELECT id, count(*) AS n FROM m JOIN f2 USING (entity_key) WHERE id NOT IN (SELECT id FROM h0) AND id NOT IN (SELECT id FROM h1) GROUP BY 1 ORDER BY n DESC, id LIMIT 20)
+        SELECT id, 0 AS hop, n AS n_shared FROM h0 UNION ALL SELECT id, 1, n FROM h1 UNION ALL SELECT id, 2, n FROM h2"""
+)
+def multi_hop_documents(spark, sf_dir):
+    """From the entities that a question names to documents, and over what they mention to others, three hops."""
+    log = written(graph.mentions(read_table(spark, sf_dir, "documents"), "doc_id", "text").select("id", "entity_key"), "mentions")
+    names = spark.createDataFrame([("Licen",), ("Apache",)], "name string")
+    return hops.expanded(log, containment.seeds(log.select("entity_key").distinct(), names), 3, 20, "id")

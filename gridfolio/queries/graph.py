@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridfolio.operators import containment, graph, hops
+from gridfolio.operators import containment, graph, graph_store, hops
 from gridfolio.queries import ORACLE_SQL, query, scalars  # noqa: F401
-from gridfolio.session import read_table, written
+from gridfolio.session import read_table, scratch_path, written
 
 
 def _key_edges(spark, sf_dir) -> DataFrame:
@@ -156,3 +156,18 @@ def multi_hop_documents(spark, sf_dir):
     log = written(graph.mentions(read_table(spark, sf_dir, "documents"), "doc_id", "text").select("id", "entity_key"), "mentions")
     names = spark.createDataFrame([("Licen",), ("Apache",)], "name string")
     return hops.expanded(log, containment.seeds(log.select("entity_key").distinct(), names), 3, 20, "id")
+
+
+@query(
+    f"""WITH m AS ({ORACLE_SQL["entity_mentions"]}), k AS (SELECT * FROM m WHERE id % 3 <> 0)
+        SELECT entity_key, arg_min(name, id * 100 + position) AS name, count(DISTINCT id) AS n_docs, count(*) AS n_mentions FROM k GROUP BY 1"""
+)
+def graph_store_deltas(spark, sf_dir):
+    """A stored graph that all documents came into in two steps and a third of them left: what is left, without recomputation."""
+    found = graph.mentions(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    log = written(found.select(F.col("id").cast("string").alias("document_id"), (F.col("id") * 100 + F.col("position")).cast("long").alias("seq"), "entity_key", "name", "id"), "log")
+    store = graph_store.GraphStore.create(spark, scratch_path(spark, "graph"), 8)
+    store.put(log.where("id % 2 = 0"))
+    store.put(log.where("id % 2 = 1"))
+    store.remove(log.where("id % 3 = 0").select("document_id").distinct())
+    return store.nodes()

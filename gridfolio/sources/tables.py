@@ -112,7 +112,19 @@ class KeyedTable:
         return max(self.versions(), default=0)
 
     def _state(self, version: int) -> dict[str, list[str]]:
-        return json.loads(self.files.read(self._log(version))) if version else {}
+        return json.loads(self.files.read(self._log(version)))["files"] if version else {}
+
+    def note(self) -> str | None:
+        """What the writer of the latest version has left with it."""
+        version = self.version()
+        return json.loads(self.files.read(self._log(version)))["note"] if version else None
+
+    def difference(self, old: int, new: int) -> tuple[DataFrame, DataFrame]:
+        """The rows that came and those that went between two versions. Buckets with the same files in both aren't read."""
+        a, b = self._state(old), self._state(new)
+        changed = [k for k in {*a, *b} if a.get(k) != b.get(k)]
+        before, after = (self._rows([f for k in changed for f in s.get(k, [])]) for s in (a, b))
+        return after.exceptAll(before), before.exceptAll(after)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, by default of the latest."""
@@ -149,7 +161,15 @@ class KeyedTable:
 
         return self._write(given, merge)
 
-    def _write(self, rows: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
+    def apply(self, changes: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], note: str | None = None) -> int:
+        """Rows with other columns than the table's, by the same key, merged by ``merge(old rows, changes)`` in the buckets that they touch. The new version.
+
+        ``merge`` gives all rows of these buckets. A note is left with the version, and is what makes it a step of its own: changes that
+        were meant to follow another note must not be applied again.
+        """
+        return self._write(changes, merge, note)
+
+    def _write(self, rows: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], note: str | None = None) -> int:
         """Merge ``rows`` into the buckets that they touch and commit them. A key of null is a key like no other: such rows are refused."""
         if rows.where(" or ".join(f"`{c}` is null" for c in self.key if c in rows.columns and (c in self.bucket_by or "__new" not in rows.columns)) or "false").limit(1).count():
             raise ValueError(f"a null in the key {self.key}")
@@ -171,7 +191,7 @@ class KeyedTable:
                     seen = {str(b): state.get(str(b)) for b in touched}
                 self.before_commit()
                 try:
-                    self.files.create(self._log(version + 1), json.dumps({b: f for b, f in {**state, **written}.items() if f}, sort_keys=True))
+                    self.files.create(self._log(version + 1), json.dumps({"files": {b: f for b, f in {**state, **written}.items() if f}, "note": note}, sort_keys=True))
                     return version + 1
                 except Conflict:
                     continue

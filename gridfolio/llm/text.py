@@ -13,6 +13,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridfolio.session import written
+
 WORD = re.compile(r"\w+")
 
 
@@ -156,13 +158,34 @@ def hot_join(rows: DataFrame, table: DataFrame, key: str | list[str], weight: st
     return found.unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys).select(*columns))
 
 
+#: Parts that rows without a key are dealt to.
+NULL_PARTS = 1024
+
+
+def spread_left_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left join of ``rows`` with ``table``, which has each ``key`` once and has null none, by one shuffle that no key can unbalance.
+
+    Rows of a hot key are dealt to as many parts as it needs, each of which gets the key's row of ``table``; rows without a key are dealt
+    to NULL_PARTS. There are at most 10,000 hot keys. ``rows`` is read twice, once for its keys alone.
+    """
+    limit = hot_limit(rows.count())
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    hot = written(counts.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("n")), "hot-keys")
+    own, name, salt = free_names([*rows.columns, *table.columns], "n", "id", "salt")
+    parts = F.when(F.col(key).isNull(), F.lit(NULL_PARTS)).otherwise(F.coalesce(F.col(own), F.lit(1)))
+    dealt = rows.withColumn(name, F.monotonically_increasing_id()).join(F.broadcast(hot.withColumnRenamed("n", own)), key, "left")
+    dealt = dealt.withColumn(salt, F.pmod(F.col(name), parts).cast("int"))
+    copies = table.join(F.broadcast(hot.withColumnRenamed("n", own)), key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(own), F.lit(1)) - 1)))
+    return dealt.drop(own, name).join(copies.drop(own), [key, salt], "left").drop(salt)
+
+
 #: Rows whose keys may be broadcast as a filter, about 100 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 
-def free_names(df: DataFrame, *names: str) -> list[str]:
-    """Names for columns that ``df`` doesn't have, whatever it has."""
-    taken = {c.lower() for c in df.columns}
+def free_names(df: DataFrame | list[str], *names: str) -> list[str]:
+    """Names for columns that ``df``, or a list of columns, doesn't have, whatever it has."""
+    taken = {c.lower() for c in (df if isinstance(df, list) else df.columns)}
     out = []
     for name in names:
         name = f"__{name}"

@@ -279,3 +279,35 @@ def test_line_dedup_matches_brute_force(spark, nasty, small):
 def test_line_dedup_is_native_and_empty(none, small):
     assert not python_workers(line_dedup.dedup_lines(small))
     assert line_dedup.dedup_lines(none).count() == 0
+
+
+def test_rows_of_hot_and_null_keys_are_spread(spark, monkeypatch):
+    """A third of the rows has one key and a third has none: each task of the join gets a part of them."""
+    monkeypatch.setattr(text, "HOT_ROWS", 50)
+    monkeypatch.setattr(text, "hot_limit", lambda total: 50)
+    rows = spark.createDataFrame([(7 if i % 3 == 0 else None if i % 3 == 1 else i, f"t{i}", "clash") for i in range(3000)], "k long, t string, __n string")
+    table = spark.createDataFrame([(k, k * 2) for k in range(0, 3000, 7)], "k long, v long")
+    got = text.spread_left_join(rows, table, "k")
+    assert got.columns == ["k", "t", "__n", "v"]
+    want = sorted((r["k"] is None, r["k"] or 0, r["t"], r["k"] is not None and r["k"] % 7 == 0 and 2 * r["k"]) for r in rows.collect())
+    assert sorted((r["k"] is None, r["k"] or 0, r["t"], r["v"] if r["v"] is not None else False) for r in got.collect()) == want
+    conf = "spark.sql.adaptive.enabled"
+    spark.conf.set(conf, "false")
+    try:
+        sizes = [n for n in text.spread_left_join(rows, table, "k").rdd.glom().map(len).collect()]
+    finally:
+        spark.conf.set(conf, "true")
+    assert len(sizes) >= 4 and max(sizes) <= 2 * 3000 / len(sizes)
+
+
+def test_lines_are_the_same_by_shuffles(spark, nasty, small, monkeypatch):
+    """Without a broadcast, with hot ids and with rows that have no id."""
+    from pyspark.sql import functions as F
+
+    docs = small.select("doc_id", "text").unionByName(small.limit(50).select(F.lit(None).cast("long").alias("doc_id"), "text")).unionByName(small.limit(60).select(F.lit(3).cast("long").alias("doc_id"), "text"))
+    docs = docs.unionByName(nasty.select("doc_id", "text"))
+    want = sorted(map(str, line_dedup.dedup_lines(docs).collect()))
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(text, "hot_limit", lambda total: 20)
+    df = line_dedup.dedup_lines(docs)
+    assert not python_workers(df) and sorted(map(str, df.collect())) == want

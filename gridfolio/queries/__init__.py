@@ -24,4 +24,4 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from gridfolio.queries import catalog, documents, graph, retrieval, scalars, tables  # noqa: F401
+    from gridfolio.queries import catalog, derived, documents, graph, retrieval, scalars, tables  # noqa: F401

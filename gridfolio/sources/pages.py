@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridfolio.sources.documents import BLOCK, GRID
@@ -79,5 +79,42 @@ def joined(read: DataFrame) -> DataFrame:
     return out.select("path", number(blocks, "position").alias("blocks"), number(tables, "table_index").alias("tables"), whole.alias("error"), "failed_batches")
 
 
+def _places(read: DataFrame) -> DataFrame:
+    """path, first, blocks_before, tables_before, carried of each batch: what the batches before it hold, and the last heading among them.
+
+    Only sizes and headings are summed up along a file, never its blocks.
+    """
+    headings = F.filter("blocks", lambda b: b["kind"] == "heading")
+    sizes = read.select("path", "first", F.size("blocks").alias("n"), F.size("tables").alias("m"), F.try_element_at(headings, F.lit(-1))["text"].alias("heading"))
+    before = Window.partitionBy("path").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    return sizes.select("path", "first", upto("n").alias("blocks_before"), upto("m").alias("tables_before"), F.last("heading", ignorenulls=True).over(before).alias("carried"))
+
+
+def items(read: DataFrame) -> DataFrame:
+    """path, position, kind, text, page, section: the blocks of all files as rows, in the order of their files.
+
+    Positions run on over the batches of a file, and a block stands under the last heading before it, wherever that was read. No file
+    becomes one row: what is put in order together is a batch. A batch that failed has no blocks and leaves no gap. ``read`` is
+    read twice: pass a written table.
+    """
+    flat = read.select("path", "first", F.posexplode("blocks").alias("at", "b")).join(_places(read), ["path", "first"])
+    own = F.last(F.when(F.col("b.kind") == "heading", F.col("b.text")), ignorenulls=True).over(Window.partitionBy("path", "first").orderBy("at"))
+    section = F.coalesce(own, F.col("carried"))
+    return flat.select("path", (F.col("blocks_before") + F.col("at")).cast("int").alias("position"), "b.kind", "b.text", "b.page", section.alias("section"))
+
+
+def tables(read: DataFrame) -> DataFrame:
+    """path, table_index, headers, rows: the tables of all files, numbered over the batches of each."""
+    flat = read.select("path", "first", F.posexplode("tables").alias("at", "t")).join(_places(read), ["path", "first"])
+    return flat.select("path", (F.col("tables_before") + F.col("at")).cast("int").alias("table_index"), "t.headers", "t.rows")
+
+
+def failures(read: DataFrame) -> DataFrame:
+    """path, failed_batches, n_batches, error: files that lost a batch, with the error of the first."""
+    first = F.min_by("error", F.when(F.col("error").isNotNull(), F.col("first")))
+    return read.groupBy("path").agg(F.count("error").alias("failed_batches"), F.count(F.lit(1)).alias("n_batches"), first.alias("error")).where("failed_batches > 0")
+
+
 def in_batches(files: DataFrame, count: Callable[[bytes], int], reader: Callable[[bytes, int, int], tuple[list, list]]) -> DataFrame:
     return joined(read_batches(files, batches(files, count), reader))

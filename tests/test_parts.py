@@ -222,3 +222,39 @@ def test_precedence(text, want):
         return str(t) if t is None else t.op if isinstance(t, grammar.Condition) else f"{t.op}({', '.join(map(shape, t.children))})"
 
     assert shape(grammar.conditions(text)[0]) == want
+
+
+def test_items_of_batches_equal_one_pass(spark):
+    """Headings are carried over the ends of batches; a batch that fails leaves no gap in the numbers."""
+    from gridfolio.sources import pages
+
+    def reader(content, first, last):
+        if content == b"bad" and first == 21:
+            raise ValueError("torn page")
+        if content == b"worse":
+            raise ValueError("no page")
+        blocks = [("heading" if p % 30 == 1 and k == 0 else "text", f"{p}/{k}", p) for p in range(first, last + 1) for k in range(p % 3)]
+        return blocks, [[["page"], [str(p)]] for p in range(first, last + 1) if p % 10 == 0]
+
+    files = spark.createDataFrame([("a", b"good"), ("b", b"bad"), ("c", b"worse"), ("d", b"none")], "path string, content binary")
+    read = pages.read_batches(files, pages.batches(files, lambda c: 0 if c == b"none" else 60), reader)
+
+    def one_pass(lost):
+        out, section = [], None
+        for p in range(1, 61):
+            for k in range(p % 3):
+                if p in lost:
+                    continue
+                section = f"{p}/{k}" if p % 30 == 1 and k == 0 else section
+                out.append((len(out), f"{p}/{k}", p, section))
+        return out
+
+    got = pages.items(read)
+    of = lambda path: [(r["position"], r["text"], r["page"], r["section"]) for r in got.where(f"path = '{path}'").orderBy("position").collect()]
+    lost = set(next(range(r["first"], r["last"] + 1) for r in read.where("path = 'b' and error is not null").collect()))
+    assert of("a") == one_pass(set()) and of("b") == one_pass(lost) and 0 < len(lost) < 60 and of("c") == of("d") == []
+    tables = sorted((r["path"], r["table_index"], r["rows"][0][0]) for r in pages.tables(read).collect())
+    assert [t for t in tables if t[0] == "a"] == [("a", i, str(10 * i + 10)) for i in range(6)]
+    assert [t[1:] for t in tables if t[0] == "b"] == list(enumerate(str(p) for p in range(10, 61, 10) if p not in lost))
+    failed = {r["path"]: (r["failed_batches"], r["n_batches"]) for r in pages.failures(read).collect()}
+    assert failed["b"][0] == 1 and failed["c"][0] == failed["c"][1] and set(failed) == {"b", "c", "d"}

@@ -203,7 +203,9 @@ def _verified(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str)
                 out += [(doc_id, key, *rest) for _, *rest in _verify(text, own, memo)]
             yield pd.DataFrame(out, columns=["doc_id", "text_key", "item_id", "doc_start", "item_start", "n_tokens", "n_equal"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
-    return near.join(found, "text_key").mapInPandas(run, "doc_id long, text_key binary, item_id long, doc_start int, item_start int, n_tokens int, n_equal int")
+    # Each row carries its text and the tokens of its candidates: few go to a worker at once, so the result is made here, in small batches.
+    with small_batches(docs.sparkSession):
+        return written(near.join(found, "text_key").mapInPandas(run, "doc_id long, text_key binary, item_id long, doc_start int, item_start int, n_tokens int, n_equal int"), "benchmark-overlaps")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -276,3 +276,31 @@ def test_scratch_is_cleared(spark):
     assert df.count() == 3 and all("/probe-" in f for f in df.inputFiles()) and files.exists(path)
     clear_scratch(spark)
     assert not files.exists(path)
+
+
+def test_chunks_of_all_documents(spark):
+    """Over a whole table: chunks are runs of sentences in order, as long as they may be, and together they are the text."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id is not null")
+    most, least, overlap = chunking.MAX_TOKENS, chunking.MIN_TOKENS, chunking.OVERLAP_TOKENS
+    got = {}
+    for r in chunking.chunks(docs, "doc_id", "text").orderBy("document_id", "chunk_index").collect():
+        got.setdefault(r["document_id"], []).append(r)
+    for r in docs.collect():
+        pieces = []
+        for s in re.split(r"(?<=[.!?])\s+", r["text"] or ""):
+            w = s.split()
+            pieces += [w[i : i + most] for i in range(0, len(w), most)]
+        own, end = got.get(r["doc_id"], []), 0
+        assert bool(own) == bool(pieces)
+        for k, c in enumerate(own):
+            a, b, n = c["first_sentence"], c["first_sentence"], 0
+            while n < c["token_count"]:
+                n += len(pieces[b])
+                b += 1
+            assert c["chunk_index"] == k and c["text"].split() == [w for p in pieces[a:b] for w in p]
+            assert a <= end < b if k else a == 0
+            # What is repeated is short, and the next sentence had no room.
+            assert sum(len(p) for p in pieces[a:end]) <= overlap if k else True
+            assert n < most + least and (b == len(pieces) or n + len(pieces[b]) > most)
+            end = b
+        assert end == len(pieces)

@@ -26,13 +26,13 @@ STATES = 50_000
 LEAST_WORDS = 20
 #: Words on either side of a hit that are its context.
 WINDOW = 6
-#: Words that report speech, in the languages of the labels.
+#: Chosen by hand, not learned: words that report speech, in the languages of the labels. The labels show no quoted abuse to learn them from.
 REPORTING = frozenset(
     "said says wrote called calls quoted quote reported allegedly so-called term word "
     "dit disait appelle mot terme sagte sagt schrieb nannte genannt wort zitat "
     "dijo dice llama palabra escribió".split()
 )
-#: Words that address the reader.
+#: Chosen by hand as well: words that address the reader.
 ADDRESS = frozenset("you your you're yourself u ur tu toi vous votre ton ta du dich dein deine ihr euch tú usted vos te".split())
 #: Quotation marks that open, that close, and that do either by their neighbours.
 OPENING, CLOSING, EITHER = "«“„‹‘", "»”›’", "\"'`“‘»‹«›"
@@ -45,7 +45,7 @@ def edits(length: int) -> int:
     return 0 if length < 4 else 1 if length < 9 else 2
 
 
-#: Digits that stand for letters.
+#: Chosen by hand: digits that stand for letters.
 DISGUISES = str.maketrans("013457", "oieast")
 
 

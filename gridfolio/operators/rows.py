@@ -20,7 +20,7 @@ def from_grids(grids: DataFrame) -> DataFrame:
     return out.withColumns({"row_numeric": nested.numeric_map(F.col("row_data")), "row_text": text.row_text(F.col("row_data"))})
 
 
-def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+def numbered(df: DataFrame, order: list[str | Column]) -> DataFrame:
     """Adds row_index, from 0 in the order of the columns ``order``, without gathering all rows in one task.
 
     Rows are dealt by ranges of the order, numbered within each, and shifted by the sizes of the ranges before.
@@ -35,7 +35,7 @@ def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     return dealt.join(F.broadcast(bases), "__part").withColumn("row_index", (F.col("__base") + own - 1).cast("int")).drop("__part", "__base")
 
 
-def from_frame(df: DataFrame, table_id: str, order: list[str]) -> DataFrame:
+def from_frame(df: DataFrame, table_id: str, order: list[str | Column]) -> DataFrame:
     """The rows of an ordinary DataFrame as text maps, numbered by ``order``; nulls are absent keys."""
     entries = F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in df.columns])
     kept = F.filter(entries, lambda e: e["value"].isNotNull())

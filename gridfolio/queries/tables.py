@@ -199,8 +199,8 @@ def filter_truncation_flag(spark, sf_dir):
 
 
 def _cells(spark, sf_dir) -> tuple[cell_index.CellIndex, DataFrame]:
-    """The parts as maps, and an index of their cells."""
-    maps = written(rows.from_frame(read_table(spark, sf_dir, "part"), "part", ["p_partkey"]), "maps")
+    """The parts as maps, and an index of their cells. A map's cells are texts, and so rows are numbered by the key as a text."""
+    maps = written(rows.from_frame(read_table(spark, sf_dir, "part"), "part", [F.col("p_partkey").cast("string")]), "maps")
     return cell_index.CellIndex.build(maps, scratch_path(spark, "cells")), maps
 
 

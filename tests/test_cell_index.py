@@ -89,3 +89,14 @@ def test_conditions_read_few_files(spark):
         assert files(cells.where(condition)) < files(cells)
         plan = cells.where(condition)._jdf.queryExecution().executedPlan().toString()
         assert "EqualTo(key," in plan and ("EqualTo(label," in plan or "GreaterThanOrEqual(number," in plan)
+
+
+def test_ties_of_a_ranking_go_by_the_key_as_a_text(spark, tmp_path):
+    """As the SQL has it, whose key is a text as well: of forty rows of one number, 10 stands before 9."""
+    from gridfolio import queries
+
+    queries.load()
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").limit(1).drop("p_partkey")
+    spark.range(1, 41).select(F.col("id").alias("p_partkey")).crossJoin(part.withColumns({"p_retailprice": F.lit(5.0), "p_type": F.lit("PROMO")})).write.parquet(str(tmp_path / "part.parquet"))
+    got = [r["p_partkey"] for r in queries.QUERIES["cell_index_top"](spark, str(tmp_path)).collect()]
+    assert got == sorted(map(str, range(1, 41)))[:30]

@@ -39,6 +39,11 @@ def test_sentences(spark):
     assert one(spark, None, text.sentences) == []
 
 
+def test_sentences_keep_digits_that_equal_their_index(spark):
+    assert one(spark, "A. B. C. D. 4191 is 4", text.sentences) == ["A.", "B.", "C.", "D.", "4191 is 4"]
+    assert one(spark, "  0 first. Last  ", text.sentences) == ["0 first.", "Last"]
+
+
 def test_rows_as_text(spark):
     df = spark.createDataFrame([(["A", "B"], ["1", "2", "x"])], "h array<string>, r array<string>")
     assert df.select(text.serialize_row(F.col("h"), F.col("r"))).first()[0] == "A: 1; B: 2; col_2: x"

@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
+from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridfolio.operators import per_text
+
+WORD = re.compile("[a-z0-9]+")
 #: Words that are neither indexed nor searched for.
 STOP_WORDS = frozenset(
     "a an and are as at be been but by for from had has have he her his i if in into is it its me my no not of on or our she so than that the their "
@@ -125,10 +132,55 @@ def search(df: DataFrame, text: str, k: int, by: str = "store", id_col: str = "c
     return top.withColumn("distance", 1 - F.col("rank") / best)
 
 
+def placed(batches: Iterator[pa.RecordBatch], stem: Callable[[str], str]) -> Iterator[pa.RecordBatch]:
+    """The postings of batches of store, id and lower-case text, a slice of texts at a time."""
+    for part in per_text.slices(batches, "text"):
+        terms, at, positions, ordinals, sizes = [], [], [], [], []
+        for row, text in enumerate(part.column("text").to_pylist()):
+            found: dict[str, list[int]] = {}
+            words = WORD.findall(text)
+            for place, word in enumerate(words):
+                if word not in STOP_WORDS:
+                    found.setdefault(word, []).append(place)
+            # Counting all words that aren't left out gives their ordinals.
+            kept = [w not in STOP_WORDS for w in words]
+            ordinal = list(accumulate(kept, initial=0))
+            merged: dict[str, list[int]] = {}
+            for word, places in found.items():
+                term = stem(word)
+                merged[term] = sorted(merged[term] + places) if term in merged else places
+            for term, places in merged.items():
+                terms.append(term)
+                at.append(row)
+                sizes.append(len(places))
+                positions += places
+                ordinals += [ordinal[p] for p in places]
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        places = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (positions, ordinals)]
+        rows_of = pa.array(at, pa.int64())
+        yield pa.RecordBatch.from_arrays([part.column("store").take(rows_of), part.column("id").take(rows_of), pa.array(terms, pa.string()), *places], names=["store", "id", "term", "positions", "ordinals"])
+
+
+def postings(df: DataFrame, by: str, id_col: str, text_col: str, stem: Callable[[str], str] = stem) -> DataFrame:
+    """store, id, term, positions, ordinals: where each term of a text stands, counting all words and counting those that aren't left out.
+
+    A row's terms are put together where it is read, in slices of texts, so that memory doesn't follow the size of a batch.
+    """
+    rows = df.select(F.col(by).alias("store"), F.col(id_col).alias("id"), F.lower(text_col).alias("text")).where("text is not null")
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(partial(placed, stem=stem), f"store {kinds['store']}, id {kinds['id']}, term string, positions array<int>, ordinals array<int>")
+
+
 def inverted_index(df: DataFrame, by: str = "store", id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
     """store, term, id, positions: the stored form for repeated searches.
 
-    Texts are dealt out by id once; their tokens, many times as many rows, are then grouped where they are.
+    The terms of a text are put together where it is read; only rows that share store and id with others are grouped.
     """
-    flat = df.select(by, id_col, text_col).repartition(id_col).select(by, id_col, F.posexplode(tokens(F.col(text_col))).alias("pos", "term")).where("term <> ''")
-    return flat.groupBy(by, "term", id_col).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    once, again = per_text.apart(df.select(by, id_col, text_col), [by, id_col])
+    names = [F.col("store").alias(by), "term", F.col("id").alias(id_col)]
+    own = postings(once, by, id_col, text_col).select(*names, "positions")
+    if again is None:
+        return own
+    shared = postings(again, by, id_col, text_col).groupBy("store", "term", "id").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return own.unionByName(shared.select(*names, "positions"))

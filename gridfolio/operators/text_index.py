@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from functools import reduce
 from operator import and_, or_
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +13,6 @@ from gridfolio.functions import stemming
 from gridfolio.operators import keyword
 from gridfolio.session import written
 
-WORD = re.compile("[a-z0-9]+")
 #: How the words of texts and questions become terms; an index names the one it was built with.
 ANALYSERS: dict[str, Callable[[str], str]] = {"english": stemming.english, "light": keyword.stem}
 #: Documents that share a block, about: the rows of a term are cut into blocks by a hash of the document.
@@ -28,26 +25,7 @@ BROADCAST_BLOCKS = 500_000
 
 def postings(df: DataFrame, store: str, id_col: str, text_col: str, analyser: str = "english") -> DataFrame:
     """store, id, term, positions, ordinals: where each term of a text stands, counting all words and counting those that aren't left out."""
-    rows = df.select(F.col(store).alias("store"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-
-    def run(batches):
-        stem = ANALYSERS[analyser]
-        for pdf in batches:
-            out = []
-            for s, i, text in zip(pdf["store"].array, pdf["id"].array, pdf["text"], strict=True):
-                found: dict[str, tuple[list[int], list[int]]] = {}
-                ordinal = 0
-                for at, word in enumerate(WORD.findall(text.lower())):
-                    if word not in keyword.STOP_WORDS:
-                        own = found.setdefault(stem(word), ([], []))
-                        own[0].append(at)
-                        own[1].append(ordinal)
-                        ordinal += 1
-                out += [(s, i, term, *places) for term, places in found.items()]
-            yield pd.DataFrame(out, columns=["store", "id", "term", "positions", "ordinals"]).astype({c: pdf[c].dtype for c in ("store", "id")})
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.mapInPandas(run, f"store {kinds['store']}, id {kinds['id']}, term string, positions array<int>, ordinals array<int>")
+    return keyword.postings(df, store, id_col, text_col, ANALYSERS[analyser])
 
 
 class TextIndex:

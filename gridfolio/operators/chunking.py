@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridfolio.functions import numeric, text
 from gridfolio.functions.nested import uniform_width
+from gridfolio.operators import per_text
 
 MAX_TOKENS, MIN_TOKENS, OVERLAP_TOKENS = 512, 50, 64
 SEMANTIC_MAX_TOKENS, PERCENTILE = 1024, 0.95
@@ -61,14 +66,17 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, most: int = MAX_TOKENS,
     ``count`` counts the tokens of a sentence: words, or those of an injected tokenizer.
     """
     rows = docs.select(F.col(id_col).alias("document_id"), text.sentences(F.col(text_col)).alias("s"))
+    schema = pa.schema([("chunk_index", pa.int32()), ("first_sentence", pa.int32()), ("token_count", pa.int32()), ("text", pa.string())])
 
     def run(batches):
-        for pdf in batches:
-            out = [(d, i, *c) for d, s in zip(pdf["document_id"], pdf["s"], strict=True) for i, c in enumerate(pack_sentences(list(s), most, least, overlap, count))]
-            yield pd.DataFrame(out, columns=["document_id", "chunk_index", "first_sentence", "token_count", "text"])
+        for part in per_text.slices(batches, "s"):
+            found = [(row, i, *c) for row, s in enumerate(part.column("s")) for i, c in enumerate(pack_sentences(s.as_py(), most, least, overlap, count))]
+            at, *columns = zip(*found, strict=True) if found else [()] * 5
+            own = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            yield own.add_column(0, "document_id", part.column("document_id").take(pa.array(at, pa.int64())))
 
     kind = rows.schema["document_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"document_id {kind}, chunk_index int, first_sentence int, token_count int, text string")
+    return rows.mapInArrow(run, f"document_id {kind}, chunk_index int, first_sentence int, token_count int, text string")
 
 
 def sentence_distances(df: DataFrame, by: str, order: str, vector: str = "embedding") -> DataFrame:
@@ -128,13 +136,41 @@ def cut_by_meaning(sentences: list[str], embed: Callable, most: int, least: int)
 
 
 def keywords(docs: DataFrame, id_col: str, text_col: str, n: int = 10) -> DataFrame:
-    """The n most frequent words (of three letters or more) and word pairs of each text, by count, then first appearance."""
-    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: w != "")
-    # Texts are dealt out by id once: counts and ranks of their words then need no further shuffle.
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col)).repartition("id").select("id", words.alias("w"))
+    """The n most frequent words (of three letters or more) and word pairs of each text, by count, then first appearance.
+
+    They are counted where a text is read. Texts of one id count together: only such rows are grouped.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    once, again = per_text.apart(rows, ["id"])
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for part in per_text.slices(batches, "text"):
+            found = [(row, *best) for row, t in enumerate(part.column("text").to_pylist()) for best in _frequent(t, n)]
+            at, terms, counts, ranks = zip(*found, strict=True) if found else [()] * 4
+            ids = part.column("id").take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(terms, pa.string()), pa.array(counts, pa.int64()), pa.array(ranks, pa.int32())], names=["id", "term", "n", "rank"])
+
+    out = once.mapInArrow(run, f"id {kind}, term string, n long, rank int")
+    return out if again is None else out.unionByName(_frequent_of_ids(again, n))
+
+
+def _frequent(low: str, n: int) -> list[tuple[str, int, int]]:
+    """(term, count, rank) of the n most frequent words and pairs of a lower-case text; a pair stands between its words."""
+    words = re.findall("[a-z]{3,}", low)
+    pairs = list(map(" ".join, pairwise(words)))
+    # Of equal counts a Counter gives the one that came first; the n best of all are among those of both kinds.
+    best = [(-k, 2 * words.index(w), w) for w, k in Counter(words).most_common(n)] + [(-k, 2 * pairs.index(p) + 1, p) for p, k in Counter(pairs).most_common(n)]
+    return [(term, -k, i + 1) for i, (k, _, term) in enumerate(sorted(best)[:n])]
+
+
+def _frequent_of_ids(rows: DataFrame, n: int) -> DataFrame:
+    """The same of the texts of each id together, by grouping all their words."""
+    words = F.regexp_extract_all("text", F.lit("[a-z]{3,}"), F.lit(0))
+    cut = rows.select("id", F.filter(words, lambda w: w != "").alias("w"))
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 2, F.lit(0))), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))).otherwise(F.array())
     tagged = F.concat(F.transform("w", lambda x, i: F.struct(x.alias("term"), (2 * i).alias("at"))), F.transform(pairs, lambda x, i: F.struct(x.alias("term"), (2 * i + 1).alias("at"))))
-    counts = rows.select("id", F.explode(tagged).alias("t")).groupBy("id", "t.term").agg(F.count(F.lit(1)).alias("n"), F.min("t.at").alias("first"))
+    counts = cut.select("id", F.explode(tagged).alias("t")).groupBy("id", "t.term").agg(F.count(F.lit(1)).alias("n"), F.min("t.at").alias("first"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("n").desc(), "first"))
     return counts.withColumn("rank", rank).where(F.col("rank") <= n).select("id", "term", "n", "rank")
 

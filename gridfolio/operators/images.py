@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridfolio.functions.text import strip_fences
+from gridfolio.session import written
 
 MIN_SIDE, MAX_ASPECT, MIN_STD, MAX_HAMMING, SEARCHABLE = 32, 12.0, 4.0, 5, 12
+#: Varying bits up to which the first image of a hash is spread over all hashes within reach.
+SPREAD_BITS = 20
 #: Least confidence for a specialised store.
 MIN_CONFIDENCE = 0.35
 #: Keys of a chart's data.
@@ -44,23 +47,54 @@ def with_features(df: DataFrame) -> DataFrame:
 def duplicates(df: DataFrame, by: str = "document_id", order: str = "image_index") -> DataFrame:
     """Images with an earlier one of their document within MAX_HAMMING bits.
 
-    Two hashes that differ in at most 5 bits share one of 6 parts of the hash, so only those that share a part
-    are compared: an equi-join that finds every pair. Images of one hash are one row in it, by their first and second
-    number, so that a hash that very many images share (that of a blank one, say) makes no pairs of its own.
+    Images of one hash are one row by their first number, so that a hash that very many images share (that of a blank one, say)
+    makes no pairs of its own. Where only few bits of the hashes vary at all, the earliest image spreads from hash to hash, one bit a
+    round; else hashes that share a part are compared.
     """
-    first = df.where("ahash is not null").groupBy(by, "ahash").agg(F.min(order).alias("__first"))
-    near = _near(first, by)
-    least = near.groupBy(by, "ahash").agg(F.min("__other").alias("__near"))
-    rows = df.select(by, order, "ahash").join(first, [by, "ahash"]).join(least, [by, "ahash"], "left")
-    found = F.least(F.col("__first"), F.coalesce("__near", "__first"))
-    return rows.where(found < F.col(order)).select(by, order, found.alias("duplicate_of"))
-
-
-def _near(hashes: DataFrame, by: str) -> DataFrame:
-    """Per hash of a document (by, ahash, __first) the first image of every other hash within MAX_HAMMING bits."""
-    width = [11, 11, 11, 11, 10, 10]
-    starts = np.cumsum([0, *width[:-1]]).tolist()
-    parts = F.array(*[F.shiftrightunsigned("ahash", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in zip(starts, width, strict=True)])
+    first = written(df.where("ahash is not null").groupBy(by, "ahash").agg(F.min(order).alias("__first")), "first-images")
+    places, spreads = _varying(first, by)
+    least = _spread(first, by, places) if spreads else _near(first, by, places).groupBy(by, "ahash").agg(F.min("__other").alias("__near"))
+    found = first.join(least, [by, "ahash"], "left").select(by, "ahash", F.least("__first", F.coalesce("__near", "__first")).alias("duplicate_of"))
+    rows = df.select(by, order, "ahash").join(found, [by, "ahash"])
+    return rows.where(F.col("duplicate_of") < F.col(order)).select(by, order, "duplicate_of")
+
+
+def _varying(hashes: DataFrame, by: str) -> tuple[list[int], bool]:
+    """The places of the bits that aren't the same in all hashes, and whether spreading over those makes fewer rows than pairs would be compared."""
+    every, some, n, documents = hashes.agg(F.bit_and("ahash"), F.bit_or("ahash"), F.count(F.lit(1)), F.count_distinct(by)).first()
+    differ = 0 if every is None else (every ^ some) % 2**64
+    places = [i for i in range(64) if differ >> i & 1]
+    width = len(places)
+    pairs = n * n / max(1, documents) * (MAX_HAMMING + 1) / 2 ** (width / (MAX_HAMMING + 1))
+    return places, width <= SPREAD_BITS and documents * 2**width * (width + 1) * MAX_HAMMING <= pairs
+
+
+def _bit(place: int) -> Column:
+    return F.shiftleft(F.lit(1).cast("long"), place)
+
+
+def _spread(hashes: DataFrame, by: str, places: list[int]) -> DataFrame:
+    """Per hash (by, ahash) the first image __near of all hashes within MAX_HAMMING bits, itself as well.
+
+    Of each round all hashes one bit away know the least number that is known so far, whether or not an image has them. A document
+    has at most two to the power of the varying bits of them, so that no round grows beyond that, however many images share them.
+    """
+    steps = F.array(F.lit(0).cast("long"), *[_bit(i) for i in places])
+    known = hashes.select(by, "ahash", F.col("__first").alias("__near"))
+    for _ in range(MAX_HAMMING):
+        reached = known.select(by, F.explode(steps).alias("__step"), "ahash", "__near").select(by, F.col("ahash").bitwiseXOR(F.col("__step")).alias("ahash"), "__near")
+        known = written(reached.groupBy(by, "ahash").agg(F.min("__near").alias("__near")), "spread-images")
+    return known
+
+
+def _near(hashes: DataFrame, by: str, places: list[int]) -> DataFrame:
+    """Per hash of a document (by, ahash, __first) the first image of every other hash within MAX_HAMMING bits.
+
+    Two hashes that differ in at most MAX_HAMMING bits share one of as many and one more parts of the varying bits, so only those that
+    share a part are compared: an equi-join that finds every pair.
+    """
+    masks = [sum(1 << int(i) for i in part) for part in np.array_split(places, MAX_HAMMING + 1)]
+    parts = F.array(*[F.col("ahash").bitwiseAND(F.lit(m - 2**64 if m >= 2**63 else m).cast("long")) for m in masks])
     cut = hashes.select(by, "__first", "ahash", F.posexplode(parts).alias("part", "bits"))
     a, b = cut.alias("a"), cut.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (by, "part", "bits")]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import partial
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridfolio.operators import per_text
 from gridfolio.sources.documents import BLOCK, GRID
 
 #: Pages of a batch for files of up to so many pages; longer files have the last number.
@@ -15,6 +17,18 @@ BATCHES = [(50, 25), (200, 20)]
 LARGE_BATCH = 10
 PAGES = f"path string, first int, last int, blocks array<{BLOCK}>, tables array<{GRID}>, error string"
 
+_KEY = [("path", pa.string()), ("first", pa.int32()), ("last", pa.int32())]
+_TEXTS = pa.list_(pa.string())
+_BLOCK = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("page", pa.int32())])
+_GRID = pa.struct([("table_index", pa.int32()), ("headers", _TEXTS), ("rows", pa.list_(_TEXTS)), ("oversized", pa.bool_())])
+PLAN = pa.schema(_KEY)
+READ = pa.schema([*_KEY, ("blocks", pa.list_(_BLOCK)), ("tables", pa.list_(_GRID)), ("error", pa.string())])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
 
 def batch_size(pages: int) -> int:
     """Pages read at once: fewer of a longer file, which tends to be heavier."""
@@ -25,43 +39,46 @@ def batches(files: DataFrame, count: Callable[[bytes], int]) -> DataFrame:
     """path, first, last: the batches of pages of (path, content); ``count`` reads the number of pages. An unreadable file is one batch (0, 0)."""
 
     def run(parts):
-        for pdf in parts:
+        for part in per_text.slices(parts, "content"):
             out = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+            for path, content in zip(part.column("path").to_pylist(), part.column("content"), strict=True):
                 try:
-                    n = count(bytes(content))
+                    n = count(bytes(content.as_py()))
                 except Exception:
                     n = 0
                 size = batch_size(n)
                 out += [(path, a, min(n, a + size - 1)) for a in range(1, n + 1, size)] or [(path, 0, 0)]
-            yield pd.DataFrame(out, columns=["path", "first", "last"])
+            yield _batch(out, PLAN)
+
+    return files.select("path", "content").mapInArrow(run, "path string, first int, last int")
+
 
-    return files.select("path", "content").mapInPandas(run, "path string, first int, last int")
+def read_slices(parts: Iterator[pa.RecordBatch], reader: Callable[[bytes, int, int], tuple[list, list]]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``read_batches``, a slice of contents at a time."""
+    for part in per_text.slices(parts, "content"):
+        out = []
+        keys = (part.column(c).to_pylist() for c in ("path", "first", "last"))
+        for path, first, last, content in zip(*keys, part.column("content"), strict=True):
+            try:
+                if not first:
+                    raise ValueError("no pages")
+                blocks, tables = reader(bytes(content.as_py()), first, last)
+                found = [{"position": i, "kind": k, "text": t, "page": p} for i, (k, t, p) in enumerate(blocks)]
+                grids = [{"table_index": i, "headers": c[0], "rows": c[1:], "oversized": False} for i, c in enumerate(tables) if c]
+                out.append((path, first, last, found, grids, None))
+            except Exception as e:
+                out.append((path, first, last, [], [], f"{type(e).__name__}: {e}"))
+        yield _batch(out, READ)
 
 
 def read_batches(files: DataFrame, planned: DataFrame, reader: Callable[[bytes, int, int], tuple[list, list]]) -> DataFrame:
     """Blocks and tables of each batch by ``reader(content, first, last)``; a batch that fails has an error and costs no other.
 
-    Batches of one file are read by different tasks. Blocks come as (kind, text, page).
+    Batches of one file are read by different tasks. Blocks come as (kind, text, page). Contents are read in slices of about a megabyte,
+    since their blocks and tables are many times as large.
     """
     rows = planned.repartition("path", "first").join(files.select("path", "content"), "path")
-
-    def run(parts):
-        for pdf in parts:
-            out = []
-            for path, first, last, content in zip(pdf["path"], pdf["first"], pdf["last"], pdf["content"], strict=True):
-                try:
-                    if not first:
-                        raise ValueError("no pages")
-                    blocks, tables = reader(bytes(content), first, last)
-                    found = [{"position": i, "kind": k, "text": t, "page": p} for i, (k, t, p) in enumerate(blocks)]
-                    grids = [{"table_index": i, "headers": c[0], "rows": c[1:], "oversized": False} for i, c in enumerate(tables) if c]
-                    out.append((path, first, last, found, grids, None))
-                except Exception as e:
-                    out.append((path, first, last, [], [], f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["path", "first", "last", "blocks", "tables", "error"])
-
-    return rows.select("path", "first", "last", "content").mapInPandas(run, PAGES)
+    return rows.select("path", "first", "last", "content").mapInArrow(partial(read_slices, reader=reader), PAGES)
 
 
 def joined(read: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime
 import json
 
+import pyarrow as pa
 import pytest
 from gridfolio.functions import models
 from gridfolio.operators import chats, graph, images, retrieval, runs
@@ -258,3 +259,12 @@ def test_items_of_batches_equal_one_pass(spark):
     assert [t[1:] for t in tables if t[0] == "b"] == list(enumerate(str(p) for p in range(10, 61, 10) if p not in lost))
     failed = {r["path"]: (r["failed_batches"], r["n_batches"]) for r in pages.failures(read).collect()}
     assert failed["b"][0] == 1 and failed["c"][0] == failed["c"][1] and set(failed) == {"b", "c", "d"}
+
+
+def test_page_batches_leave_the_worker_in_slices():
+    """What many files become isn't held at once: the worker hands on several batches, and no file is lost."""
+    files = pa.RecordBatch.from_pydict({"path": [f"f{i}" for i in range(100)], "first": [1] * 100, "last": [1] * 100, "content": [b"x" * 50_000] * 99 + [None]})
+    parts = list(pages.read_slices([files], lambda c, a, b: ([("text", c.decode(), a)], [[["n"], [str(len(c))]]])))
+    assert len(parts) > 3 and max(p.num_rows for p in parts) < 30
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert [r["path"] for r in rows] == [f"f{i}" for i in range(100)] and rows[99]["error"] and rows[0]["tables"][0]["rows"] == [["50000"]]

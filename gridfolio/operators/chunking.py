@@ -181,11 +181,15 @@ def clauses(blocks: DataFrame, by: str = "document_id", order: str = "position",
     clause_index, clause_number, clause_title, clause_type, text; blocks before the first opening are left out,
     and of clauses with one fingerprint the first stays.
     """
-    starts = F.col(text_col).rlike(text.CLAUSE_START).cast("int")
-    running = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = blocks.withColumn("clause_index", F.sum(starts).over(running)).where("clause_index > 0")
-    parts = F.sort_array(F.collect_list(F.struct(order, text_col)))
-    joined = rows.groupBy(by, "clause_index").agg(F.array_join(F.transform(parts, lambda p: p[text_col]), "\n").alias("text"))
+    # The blocks of a document are put in order once; its clauses are slices of that array.
+    block = F.struct(F.col(order).alias("order"), F.col(text_col).alias("text"))
+    rows = blocks.groupBy(by).agg(F.sort_array(F.collect_list(block)).alias("__b"))
+    opening = F.filter(F.transform("__b", lambda b, i: F.when(b["text"].rlike(text.CLAUSE_START), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("__s", opening)
+    cut = rows.select(by, "__b", "__s", F.posexplode("__s").alias("__k", "__at"))
+    end = F.coalesce(F.get("__s", F.col("__k") + 1), F.size("__b"))
+    body = F.array_join(F.transform(F.slice("__b", F.col("__at") + 1, end - F.col("__at")), lambda b: b["text"]), "\n")
+    joined = cut.select(by, (F.col("__k") + 1).cast("long").alias("clause_index"), body.alias("text"))
     out = joined.withColumn("c", text.clause(F.col("text"), F.lit(None).cast("string")))
     out = out.select(by, "clause_index", F.col("c.number").alias("clause_number"), F.col("c.title").alias("clause_title"), F.col("c.type").alias("clause_type"), "text")
     mark = text.fingerprint(F.col("clause_number"), F.col("text"))

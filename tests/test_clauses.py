@@ -45,3 +45,14 @@ def test_enrichment_is_padded(spark):
 def test_chunk_types(spark):
     df = spark.createDataFrame([("plain text", None, ["list"]), ("1. Termination for cause", "Legal", [])], "text string, section string, block_types array<string>")
     assert [(r["semantic_type"], r["risk_level"]) for r in clauses.typed_chunks(df).collect()] == [("list", None), ("legal_clause", "medium")]
+
+
+def test_blocks_of_a_document_are_put_in_order_once(spark):
+    """Blocks in any order and null texts; only the last step, which drops repeated clauses, is a window."""
+    from gridfolio.operators import chunking
+
+    rows = [("a", 3, "2. LIABILITY"), ("a", 1, "1. TERMINATION"), ("a", 2, "Either party may terminate."), ("a", 0, "Preamble"), ("a", 4, None), ("a", 5, "No damages."), ("b", 0, "nothing"), (None, 0, "1. TERMINATION")]
+    out = chunking.clauses(spark.createDataFrame(rows, "document_id string, position int, text string"))
+    got = {(r["document_id"], r["clause_index"]): r["text"] for r in out.collect()}
+    assert got == {("a", 1): "1. TERMINATION\nEither party may terminate.", ("a", 2): "2. LIABILITY\nNo damages.", (None, 1): "1. TERMINATION"}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1

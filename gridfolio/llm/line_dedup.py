@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import chain, repeat
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridfolio.llm.text import hot_join, spread_left_join
@@ -18,6 +20,8 @@ DIFFERENT = 3
 BROADCAST_BYTES = 16 << 20
 #: Bytes that one line to read again, or one document's list of lines, takes at most when broadcast besides the numbers.
 LINE_BYTES = 64
+#: First open forms of a segment that the others are compared with, round by round; the last number holds for all further rounds.
+FIRSTS = (1, 8, 64)
 _BLANKS = " \t\r\f\x0b"
 _BLANK = f"[{_BLANKS}]+"
 _ANY = "<*>"
@@ -76,29 +80,84 @@ def _tokens(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
     return rows.select("leaf", "form", rank.alias("rank"), "tokens").dropDuplicates(["leaf", "form"])
 
 
-def _groups(forms: DataFrame) -> DataFrame:
-    """leaf, rank, root of the forms that are in a group; root is the rank of the form that the group begins with.
+def _segments(forms: DataFrame) -> DataFrame:
+    return forms.select("leaf", "rank", F.explode(_cuts(F.col("tokens"))).alias("cut"))
+
+
+def _earlier(segments: DataFrame, firsts: DataFrame) -> DataFrame:
+    """leaf, rank, first, beyond of the forms that come behind one of the ``firsts`` (leaf, cut, firsts, n) of a segment of theirs.
 
-    A form looks for the first form of its leaf that has a segment in common with it, segment by segment, and joins the
-    earliest of these that differs in few enough tokens and isn't in an earlier group itself. So all forms of a group
-    are alike to the one it begins with, and the result doesn't depend on the order of rows.
+    beyond tells whether a form comes behind all of these in a segment, so that others may come before it too.
     """
-    segments = forms.select("leaf", "rank", F.explode(_cuts(F.col("tokens"))).alias("cut"))
-    firsts = segments.groupBy("leaf", "cut").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     firsts = written(firsts, "line-segments")
     total = firsts.agg(F.sum("n")).first()[0] or 0
-    pairs = hot_join(segments, firsts, ["leaf", "cut"], "n", total).where("rank <> first").select("leaf", "rank", "first").distinct()
-    pairs = written(pairs, "line-pairs")
+    met = hot_join(segments, firsts, ["leaf", "cut"], "n", total)
+    before = F.explode(F.filter("firsts", lambda x: x < F.col("rank"))).alias("first")
+    rows = met.select("leaf", "rank", before, (F.col("rank") > F.element_at("firsts", -1)).alias("beyond"))
+    return written(rows.groupBy("leaf", "rank", "first").agg(F.max("beyond").alias("beyond")), "line-pairs")
+
+
+def _first_forms(segments: DataFrame, most: int) -> DataFrame:
+    """leaf, cut, firsts, n of the segments that several forms have: the ranks of the first ``most`` of them, and their number."""
+    by, n = ["leaf", "cut"], F.count(F.lit(1)).alias("n")
+    if most == 1:
+        return segments.groupBy(*by).agg(F.array(F.min("rank")).alias("firsts"), n).where("n > 1")
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("rank"))
+    few = segments.withColumn("place", place).where(F.col("place") <= most).groupBy(*by).agg(F.sort_array(F.collect_list("rank")).alias("firsts"))
+    return segments.groupBy(*by).agg(n).where("n > 1").join(few, by).select(*by, "firsts", "n")
+
+
+def _alike(pairs: DataFrame, forms: DataFrame) -> DataFrame:
+    """leaf, rank, first of the pairs of forms that differ in few enough tokens."""
     own = forms.select("leaf", "rank", F.col("tokens").alias("own"))
     other = forms.select("leaf", F.col("rank").alias("first"), F.col("tokens").alias("other"))
     # Very many forms may look at one first form, which is then a hot key.
     firsts = pairs.groupBy("leaf", "first").agg(F.count(F.lit(1)).alias("n"))
     firsts = written(firsts.join(other, ["leaf", "first"]), "line-firsts")
-    compared = hot_join(pairs, firsts, ["leaf", "first"], "n", pairs.count()).join(own, ["leaf", "rank"])
+    compared = hot_join(pairs.select("leaf", "rank", "first"), firsts, ["leaf", "first"], "n", pairs.count()).join(own, ["leaf", "rank"])
     differ = F.size(F.filter(F.zip_with("own", "other", lambda a, b: a != b), lambda x: x))
-    alike = written(compared.where(differ * 10 <= F.size("own") * DIFFERENT).select("leaf", "rank", "first"), "line-alike")
-    roots = alike.groupBy("leaf", "first").agg(F.count(F.lit(1)).alias("n")).join(alike.select("leaf", F.col("rank").alias("first")).distinct(), ["leaf", "first"], "left_anti")
-    found = hot_join(alike, roots, ["leaf", "first"], "n", alike.count()).groupBy("leaf", "rank").agg(F.min("first").alias("root"))
+    return written(compared.where(differ * 10 <= F.size("own") * DIFFERENT).select("leaf", "rank", "first"), "line-alike")
+
+
+def _late(forms: DataFrame, late: DataFrame) -> DataFrame:
+    """leaf, rank, first of all forms that are alike to one of the ``late`` forms before them."""
+    by, n = ["leaf", "cut"], F.count(F.lit(1)).alias("n")
+    leaves = written(forms.groupBy("leaf").agg(n).join(late.select("leaf").distinct(), "leaf"), "late-leaves")
+    total = leaves.agg(F.sum("n")).first()[0] or 0
+    own = written(_segments(hot_join(forms, leaves, "leaf", "n", total)), "late-segments")
+    begins = _segments(late).groupBy(*by).agg(F.sort_array(F.collect_list("rank")).alias("firsts"))
+    return _alike(_earlier(own, own.groupBy(*by).agg(n).join(begins, by).select(*by, "firsts", "n")), forms)
+
+
+def _groups(forms: DataFrame) -> DataFrame:
+    """leaf, rank, root of the forms that are in a group; root is the rank of the form that the group begins with.
+
+    In the order of ranks, a form joins the earliest form of its leaf that begins a group and differs from it in few enough
+    tokens, or begins one if there is none. Forms that may be alike have a segment in common. In each round the open forms
+    are compared with the first few open ones of each of their segments: those that turn out to have none before them that is alike
+    begin groups, and those that are alike to such a one are in a group. Forms that still wait for others go to the next round, so that
+    none is left out; most leaves have none after the first. Groups that begin later may have earlier beginnings than those that
+    forms have joined already, so all forms are compared with these once more.
+    """
+    left, late, found = forms, None, None
+    for most in chain(FIRSTS, repeat(FIRSTS[-1])):
+        segments = _segments(left)
+        pairs = _earlier(segments, _first_forms(segments, most))
+        alike = _alike(pairs, left)
+        waiting = written(alike.select("leaf", "rank").union(pairs.where("beyond").select("leaf", "rank")).distinct(), "line-waiting")
+        begins = alike.groupBy("leaf", "first").agg(F.count(F.lit(1)).alias("n")).join(waiting.withColumnRenamed("rank", "first"), ["leaf", "first"], "left_anti")
+        joined = written(hot_join(alike, begins, ["leaf", "first"], "n", alike.count()).groupBy("leaf", "rank").agg(F.min("first").alias("root")), "line-joined")
+        if found is None:
+            found = joined
+        else:
+            new = written(left.join(waiting, ["leaf", "rank"], "left_anti"), "line-begins")
+            late = new if late is None else late.unionByName(new)
+        left = written(left.join(waiting, ["leaf", "rank"], "left_semi").join(joined, ["leaf", "rank"], "left_anti"), "line-left")
+        if left.isEmpty():
+            break
+    if late is not None:
+        found = found.unionByName(_late(forms, late).withColumnRenamed("first", "root")).groupBy("leaf", "rank").agg(F.min("root").alias("root"))
+        found = written(found, "line-joined")
     return found.unionByName(found.select("leaf", F.col("root").alias("rank"), "root").distinct())
 
 

@@ -256,6 +256,36 @@ def test_lines_of_a_leaf_form_groups(spark):
     assert "log of the front door <*> was opened again by the guard" in made and "All rights reserved." in made
 
 
+def whole_groups(lines):
+    """The lines in their order, each compared with every beginning of a group so far."""
+    begins, dropped = [], set()
+    for i, line in enumerate(lines):
+        tokens = line.split()
+        alike = any(len(b) == len(tokens) and b[:3] == tokens[:3] and sum(x != y for x, y in zip(b, tokens)) * 10 <= 3 * len(tokens) for b in begins)
+        dropped |= {i} if alike else set()
+        begins += [] if alike else [tokens]
+    return dropped
+
+
+def lines_of_one_leaf_each():
+    """Lines whose segments are begun by lines that aren't alike or are in a group themselves, a chain of alike lines, and many of few words."""
+    base = "a b c d e f g h i j k l m".split()
+    but = lambda head, *at: " ".join([head, *(f"{x}{x}" if i in at else x for i, x in enumerate(base) if i)])
+    # The third has but one segment in common with the second, which is alike to it; the first begins that segment.
+    hidden = [but("x", *range(5, 13)), but("x"), but("x", 5, 8, 10)]
+    chain = [but("y", *range(13 - k, 13)) for k in (0, 3, 6, 8)]
+    r = np.random.default_rng(5)
+    return list(dict.fromkeys([*hidden, *chain, *(" ".join(["n", "o", "p", *r.choice(["u", "v", "w"], 10, p=[0.6, 0.2, 0.2])]) for _ in range(300))]))
+
+
+def test_a_line_finds_its_group_behind_others_of_its_segment(spark):
+    lines = lines_of_one_leaf_each()
+    want = whole_groups(lines)
+    assert 2 in want and want - brute_lines(list(enumerate(lines)))
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r["doc_id"] for r in line_dedup.recurring_lines(df).collect()} == want
+
+
 def test_lines_by_sql(spark, nasty):
     import duckdb
 

@@ -31,25 +31,45 @@ def continued_tables(spark, sf_dir):
     return out.select("document_id", F.col("table_index").cast("int").alias("table_index"), F.array_join("row_page_numbers", ",").alias("pages"), F.array_join(F.flatten("rows"), ",").alias("cells"), "fragment_count")
 
 
-_GRID = """
-    WITH g AS (SELECT n_regionkey, list([n_nationkey::VARCHAR, n_name] ORDER BY n_nationkey) AS rows FROM nation GROUP BY 1)
+#: Grids of regions and of orders; the shape of an order's grid is told by its key: even, ragged with commas and quotes, blank cells under equal headers, or bare.
+_GRIDS = """
+    WITH n AS (SELECT 'region ' || n_regionkey AS grid, ['key', 'name'] AS headers, list([n_nationkey::VARCHAR, n_name] ORDER BY n_nationkey NULLS FIRST, n_name NULLS FIRST) AS rows FROM nation GROUP BY n_regionkey),
+         c AS (SELECT *, l_linenumber::VARCHAR AS n, l_partkey::VARCHAR AS p FROM lineitem),
+         l AS (SELECT l_orderkey, list(CASE l_orderkey % 4 WHEN 0 THEN [n, p, l_returnflag]
+                                            WHEN 1 THEN CASE l_linenumber % 2 WHEN 0 THEN ['x, ' || p, '"' || l_returnflag || '"'] ELSE [n] END
+                                            WHEN 2 THEN [CASE WHEN l_linenumber % 2 = 0 THEN ' ' ELSE n END, CASE WHEN l_partkey % 2 = 0 THEN ' ' ELSE p || ' ' END]
+                                            ELSE [n] END ORDER BY l_linenumber NULLS FIRST, l_partkey NULLS FIRST, l_returnflag NULLS FIRST) AS rows FROM c GROUP BY l_orderkey),
+         g AS (SELECT * FROM n UNION ALL
+               SELECT 'order ' || l_orderkey, CASE l_orderkey % 4 WHEN 0 THEN ['line', 'part', 'flag'] WHEN 1 THEN ['a', 'b'] WHEN 2 THEN ['a', 'a'] ELSE []::VARCHAR[] END, rows FROM l)
 """
 
 
 @query(
-    _GRID
-    + """SELECT n_regionkey, true AS uniform, true AS formed, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || array_to_string([('| ' || r[1] || ' | ' || r[2] || ' |') FOR r IN rows], chr(10)) AS markdown,
-                'key,name' || chr(13) || chr(10) || array_to_string([(r[1] || ',' || r[2] || chr(13) || chr(10)) FOR r IN rows], '') AS csv,
-                'key=' || rows[-1][1] || ',name=' || rows[-1][2] AS last FROM g"""
+    _GRIDS
+    + """SELECT grid, len(list_distinct([len(r) FOR r IN rows])) = 1 AS uniform, len(headers) > 0 AND len([r FOR r IN rows IF len(r) <> len(headers)]) = 0 AS formed,
+                array_to_string([('| ' || coalesce(array_to_string([coalesce(v, '') FOR v IN r], ' | '), '') || ' |') FOR r IN list_concat([headers], [['---' FOR h IN headers]], rows)], chr(10)) AS markdown,
+                array_to_string([(coalesce(array_to_string([CASE WHEN regexp_matches(coalesce(v, ''), '[",\r\n]') THEN '"' || replace(v, '"', '""') || '"' ELSE coalesce(v, '') END FOR v IN r], ','), '') || chr(13) || chr(10)) FOR r IN list_concat([headers], rows)], '') AS csv,
+                coalesce(array_to_string(list_sort(list_transform(list_filter(range(1, least(len(headers), len(rows[-1])) + 1),
+                    lambda i: coalesce(trim(rows[-1][i]) <> '', false) AND len(list_filter(range(i + 1, least(len(headers), len(rows[-1])) + 1), lambda j: headers[j] = headers[i] AND coalesce(trim(rows[-1][j]) <> '', false))) = 0),
+                    lambda i: headers[i] || '=' || trim(rows[-1][i]))), ','), '') AS last FROM g"""
 )
 def grid_renderings(spark, sf_dir):
-    """The nations of each region as a grid: its checks, its texts, and its last row as a map."""
-    nation = read_table(spark, sf_dir, "nation")
-    rows = F.sort_array(F.collect_list(F.struct("n_nationkey", F.array(F.col("n_nationkey").cast("string"), "n_name").alias("r"))))
-    grids = nation.groupBy("n_regionkey").agg(F.transform(rows, lambda x: x["r"]).alias("rows")).withColumn("headers", F.array(F.lit("key"), F.lit("name")))
+    """The nations of each region and the lines of each order as grids of all shapes: their checks, their texts, and their last rows as maps."""
+    nation, lines = read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "lineitem")
+    in_order = lambda *by: F.transform(F.sort_array(F.collect_list(F.struct(*by))), lambda x: x["r"])
+    texts = lambda *c: F.array(*map(F.lit, c)).cast("array<string>")
+    regions = nation.groupBy("n_regionkey").agg(in_order("n_nationkey", "n_name", F.array(F.col("n_nationkey").cast("string"), "n_name").alias("r")).alias("rows"))
+    regions = regions.select(F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("grid"), texts("key", "name").alias("headers"), "rows")
+    shape, n, p = F.col("l_orderkey") % 4, F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")
+    quoted = F.array(F.concat(F.lit("x, "), p), F.concat(F.lit('"'), "l_returnflag", F.lit('"')))
+    blank = F.array(F.when(F.col("l_linenumber") % 2 == 0, " ").otherwise(n), F.when(F.col("l_partkey") % 2 == 0, " ").otherwise(F.concat(p, F.lit(" "))))
+    cells = F.when(shape == 0, F.array(n, p, "l_returnflag")).when((shape == 1) & (F.col("l_linenumber") % 2 == 0), quoted).when(shape == 2, blank).otherwise(F.array(n))
+    orders = lines.groupBy("l_orderkey").agg(in_order("l_linenumber", "l_partkey", "l_returnflag", cells.alias("r")).alias("rows"))
+    headers = F.when(shape == 0, texts("line", "part", "flag")).when(shape == 1, texts("a", "b")).when(shape == 2, texts("a", "a")).otherwise(texts())
+    grids = regions.unionByName(orders.select(F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("grid"), headers.alias("headers"), "rows"))
     last = nested.row_map(F.col("headers"), F.element_at("rows", -1))
     return grids.select(
-        "n_regionkey", nested.uniform_width(F.col("rows")).alias("uniform"), nested.well_formed(F.col("headers"), F.col("rows")).alias("formed"),
+        "grid", nested.uniform_width(F.col("rows")).alias("uniform"), nested.well_formed(F.col("headers"), F.col("rows")).alias("formed"),
         nested.markdown_table(F.col("headers"), F.col("rows")).alias("markdown"), nested.csv_text(F.col("headers"), F.col("rows")).alias("csv"),
         F.array_join(F.transform(F.array_sort(F.map_entries(last)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("last"),
     )

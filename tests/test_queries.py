@@ -55,3 +55,12 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 3
     assert set(queries.QUERIES) <= set(e.queries())
+
+
+def test_grids_of_all_shapes(spark):
+    """Each order is a grid: even, ragged, with quoted cells, with blank cells under equal headers, without headers."""
+    rows = queries.QUERIES["grid_renderings"](spark, SF).collect()
+    orders = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey").distinct().count()
+    assert len(rows) == orders + spark.read.parquet(f"{SF}/nation.parquet").select("n_regionkey").distinct().count()
+    assert {(r["uniform"], r["formed"]) for r in rows} == {(True, True), (True, False), (False, False)}
+    assert any('"""' in r["csv"] for r in rows) and any(r["last"] == "" for r in rows) and any("|   |" in r["markdown"] for r in rows)

@@ -40,8 +40,9 @@ def mentions(df: DataFrame, id_col: str, text_col: str, most: int = MAX_ENTITIES
     names = F.transform(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(ENTITY), F.lit(0)), lambda x: F.btrim(x, F.lit(" .")))
     found = F.transform(names, lambda x: F.struct(text.canonical_key(x).alias("key"), x.alias("name")))
     kept = F.filter(found, lambda e: ~e["key"].isin(*STOP_ENTITIES) & (e["key"] != ""))
-    keys = F.array_distinct(F.transform(kept, lambda e: e["key"]))
-    rows = df.select(F.col(id_col).alias("id"), kept.alias("kept"), F.slice(keys, 1, most).alias("keys"))
+    # A projection of its own: inside the next one the text would be searched twice.
+    rows = df.select(F.col(id_col).alias("id"), kept.alias("kept"))
+    rows = rows.select("id", "kept", F.slice(F.array_distinct(F.transform("kept", lambda e: e["key"])), 1, most).alias("keys"))
     rows = rows.select("id", "kept", F.posexplode("keys").alias("position", "entity_key"))
     name = F.element_at(F.filter("kept", lambda e: e["key"] == F.col("entity_key")), 1)["name"]
     return rows.select("id", "entity_key", name.alias("name"), "position")

@@ -72,9 +72,7 @@ class GraphStore:
         latest = log.version()
         if at == latest:
             return
-        came, went = log.difference(at, latest)
-        signed = came.withColumn("sign", F.lit(1)).unionByName(went.withColumn("sign", F.lit(-1)))
-        aggregate.apply(changes(signed), self._merge_entities if aggregate is self.entities else self._merge_edges, note=json.dumps(latest))
+        aggregate.apply(changes(log.signed(at, latest)), self._merge_entities if aggregate is self.entities else self._merge_edges, note=json.dumps(latest))
 
     @staticmethod
     def _entity_changes(signed: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from gridfolio.operators import catalog
 
 BUCKETS = 64
+#: Parts of a bucket that may be written by tasks of their own.
+PARTS = 16
 #: Times that a commit is tried again after another writer came first.
 RETRIES = 20
 
@@ -120,11 +122,20 @@ class KeyedTable:
         return json.loads(self.files.read(self._log(version)))["note"] if version else None
 
     def difference(self, old: int, new: int) -> tuple[DataFrame, DataFrame]:
-        """The rows that came and those that went between two versions. Buckets with the same files in both aren't read."""
+        """The rows that came and those that went between two versions."""
+        rows = self.signed(old, new)
+        return rows.where("sign > 0").drop("sign"), rows.where("sign < 0").drop("sign")
+
+    def signed(self, old: int, new: int) -> DataFrame:
+        """The rows that came (sign 1) and those that went (-1) between two versions, in one pass. Buckets with the same files in both aren't read."""
         a, b = self._state(old), self._state(new)
         changed = [k for k in {*a, *b} if a.get(k) != b.get(k)]
-        before, after = (self._rows([f for k in changed for f in s.get(k, [])]) for s in (a, b))
-        return after.exceptAll(before), before.exceptAll(after)
+        before, after = ([f for k in changed for f in s.get(k, [])] for s in (a, b))
+        # A version has each key once, so each row counts for one at most.
+        if not before or not after:
+            return self._rows(before + after).withColumn("sign", F.lit(1 if after else -1))
+        both = self._rows(after).withColumn("sign", F.lit(1)).unionByName(self._rows(before).withColumn("sign", F.lit(-1)))
+        return both.groupBy(*self.schema.names).agg(F.sum("sign").cast("int").alias("sign")).where("sign <> 0")
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, by default of the latest."""
@@ -171,16 +182,16 @@ class KeyedTable:
 
     def _write(self, rows: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], note: str | None = None) -> int:
         """Merge ``rows`` into the buckets that they touch and commit them. A key of null is a key like no other: such rows are refused."""
-        if rows.where(" or ".join(f"`{c}` is null" for c in self.key if c in rows.columns and (c in self.bucket_by or "__new" not in rows.columns)) or "false").limit(1).count():
-            raise ValueError(f"a null in the key {self.key}")
         # Read once: a retry must merge the same rows, and buckets are looked at one by one.
         folder = f"staged/{uuid.uuid4().hex}"
         rows.withColumn("__bucket", self._bucket()).write.partitionBy("__bucket").parquet(f"{self.path}/{folder}")
         staged = self.spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("__bucket", T.IntegerType())])).parquet(f"{self.path}/{folder}")
-        touched = sorted(r[0] for r in staged.select("__bucket").distinct().collect())
         written: dict[str, list[str]] = {}
         seen: dict[str, list[str]] = {}
         try:
+            if staged.where(" or ".join(f"`{c}` is null" for c in self.key if c in rows.columns and (c in self.bucket_by or "__new" not in rows.columns)) or "false").limit(1).count():
+                raise ValueError(f"a null in the key {self.key}")
+            touched = sorted(r[0] for r in staged.select("__bucket").distinct().collect())
             for _ in range(RETRIES + 1):
                 version = self.version()
                 state = self._state(version)
@@ -205,7 +216,8 @@ class KeyedTable:
         old = self._rows([f for b in buckets for f in state.get(str(b), [])])
         new = staged.where(F.col("__bucket").isin(buckets)).drop("__bucket")
         out = merge(old, new).select(*self.schema.names).withColumn("__bucket", self._bucket())
-        out.repartition("__bucket").write.partitionBy("__bucket").parquet(f"{self.path}/{folder}")
+        # Several tasks write a bucket, so that none has to hold and sort the whole of a large one.
+        out.repartition("__bucket", F.pmod(F.xxhash64(F.lit("part"), *self.key), F.lit(PARTS))).write.partitionBy("__bucket").parquet(f"{self.path}/{folder}")
         there = set(self.files.names(f"{self.path}/{folder}"))
         return {str(b): [f"{folder}/__bucket={b}"] if f"__bucket={b}" in there else [] for b in buckets}
 

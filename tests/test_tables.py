@@ -135,3 +135,25 @@ def test_versions_of_a_store_are_never_overwritten(spark, tmp_path):
     for t in threads:
         t.join()
     assert {r["k"] for r in stores.read_latest(spark, path).collect()} == {1, 2, 3, 4} and stores.latest_version(spark, path) == 4
+
+
+def test_rows_are_computed_once_and_buckets_written_in_parts(spark):
+    """What is written is staged once, nulls are looked for there, and a difference is one signed table."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    table = KeyedTable.create(spark, scratch_path(spark, "once"), SCHEMA, ["k"], buckets=1)
+    table.upsert(spark.range(300).select(counted("id").alias("k"), F.lit("a").alias("v")))
+    assert seen.value == 300
+    table.upsert(spark.range(290, 310).select(F.col("id").alias("k"), F.lit("b").alias("v")))
+    table.delete(spark.range(5).select(F.col("id").alias("k")))
+    signs = {(r["k"], r["v"]): r["sign"] for r in table.signed(1, 3).collect()}
+    assert signs == {(k, "b"): 1 for k in range(290, 310)} | {(k, "a"): -1 for k in [*range(5), *range(290, 300)]}
+    assert table.signed(0, 3).where("sign = 1").count() == table.signed(3, 0).where("sign = -1").count() == 305
+    with pytest.raises(ValueError):
+        table.upsert(spark.createDataFrame([(None, "c")], SCHEMA))
+    assert table.files.names(f"{table.path}/staged") == []

@@ -2,30 +2,81 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+import uuid
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 from operator import and_, or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridfolio.functions import stemming
-from gridfolio.operators import keyword
+from gridfolio.operators import keyword, per_text
 from gridfolio.session import written
 
 #: How the words of texts and questions become terms; an index names the one it was built with.
 ANALYSERS: dict[str, Callable[[str], str]] = {"english": stemming.english, "light": keyword.stem}
-#: Documents that share a block, about: the rows of a term are cut into blocks by a hash of the document.
+#: Documents that share a block, at most: they are read one after the other.
 BLOCK_DOCUMENTS = 512
-#: Blocks of each store that are read first, and bytes of a row group: a group of rows that lacks the terms is skipped.
-FIRST_BLOCKS, ROW_GROUP = 16, 4 << 20
+#: Bytes of postings that a task holds and sorts by term at once.
+SEGMENT_BYTES = 32 << 20
+#: Blocks of each store that are read first.
+FIRST_BLOCKS = 16
+#: How postings are stored, bytes of a row group and rows of a page: groups and pages that lack the terms are skipped.
+STORED = {"compression": "zstd", "parquet.block.size": 4 << 20, "parquet.page.row.count.limit": 4096}
 #: Blocks that are sent to the tasks as a filter; more are joined by a shuffle.
 BROADCAST_BLOCKS = 500_000
 
 
-def postings(df: DataFrame, store: str, id_col: str, text_col: str, analyser: str = "english") -> DataFrame:
-    """store, id, term, positions, ordinals: where each term of a text stands, counting all words and counting those that aren't left out."""
-    return keyword.postings(df, store, id_col, text_col, ANALYSERS[analyser])
+def segments(batches: Iterator[pa.RecordBatch], stem: Callable[[str], str], first: int, documents: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Posting blocks of batches of store, id and lower-case text: term, store, block, top, docs, a segment of postings at a time, sorted by term.
+
+    A block is a run of ``documents`` texts or fewer. Each document lies in one block; should two runs ever get one number, they are one block.
+    """
+    block = first + (TaskContext.get().partitionId() << 32)
+    held, size, inside = [], 0, 0
+    for part in per_text.slices(batches, "text"):
+        for start in range(0, part.num_rows, documents):
+            run = part.slice(start, documents)
+            if inside + run.num_rows > documents:
+                block, inside = block + 1, 0
+            inside += run.num_rows
+            for found in keyword.placed([run], stem):
+                held.append(found.append_column("block", pa.array(np.full(found.num_rows, block))))
+                size += found.nbytes
+            if size >= limit:
+                yield from _segment(held)
+                held, size, block, inside = [], 0, block + 1, 0
+    if held:
+        yield from _segment(held)
+
+
+def _segment(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each term, store and block of some postings, in batches of bounded size."""
+    rows = pa.Table.from_batches(held).combine_chunks()
+    if not rows.num_rows:
+        return
+    terms, store = (pc.dictionary_encode(rows[c].chunk(0), null_encoding="encode") for c in ("term", "store"))
+    place = np.empty(len(terms.dictionary), np.int64)
+    place[pc.sort_indices(terms.dictionary).to_numpy()] = np.arange(len(place))
+    keys = [place[terms.indices.to_numpy()], store.indices.to_numpy(), rows["block"].to_numpy()]
+    order = np.lexsort(keys[::-1])
+    new = reduce(np.logical_or, [np.diff(k[order], prepend=-1) != 0 for k in keys])
+    starts = np.flatnonzero(new)
+    rows = rows.take(pa.array(order)).combine_chunks()
+    column = lambda c: rows[c].chunk(0)
+    tops = np.maximum.reduceat(pc.list_value_length(column("positions")).to_numpy(), starts)
+    ends = pa.array(np.append(starts, len(order)).astype(np.int32))
+    docs = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([column(c) for c in ("id", "positions", "ordinals")], ["id", "positions", "ordinals"]))
+    firsts = pa.array(starts)
+    out = pa.RecordBatch.from_arrays([*[column(c).take(firsts) for c in ("term", "store", "block")], pa.array(tops, pa.int32()), docs], names=["term", "store", "block", "top", "docs"])
+    step = max(1, out.num_rows * per_text.SLICE_BYTES // max(1, out.nbytes))
+    for start in range(0, out.num_rows, step):
+        yield out.slice(start, step)
 
 
 class TextIndex:
@@ -33,34 +84,33 @@ class TextIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         about = spark.read.parquet(f"{path}/about").first()
-        self.spark, self.path, self.blocks = spark, path, about["blocks"]
+        self.spark, self.path = spark, path
         self.analyser, self.store_col, self.id_col = about["analyser"], about["store"], about["id"]
 
     @classmethod
     def build(cls, df: DataFrame, path: str, store: str = "store", id_col: str = "chunk_id", text_col: str = "text", analyser: str = "english") -> TextIndex:
         """Index all texts of ``df``. An id names one row of a store: a table in which it doesn't is refused.
 
-        The number of blocks follows the number of rows, so that a block of a term holds BLOCK_DOCUMENTS documents or so, however
-        frequent the term is; no term is gathered in one place.
+        Each task stores the postings of the texts that it reads, as segments sorted by term: no posting is shuffled, and a
+        frequent term is gathered in no one place.
         """
         spark = df.sparkSession
-        n = df.count()
         if df.groupBy(store, id_col).count().where("count > 1").limit(1).count():
             raise ValueError(f"{id_col} doesn't name one row of a {store}")
-        about = [(max(1, -(-n // BLOCK_DOCUMENTS)), analyser, store, id_col)]
-        spark.createDataFrame(about, "blocks long, analyser string, store string, id string").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+        about = [(analyser, store, id_col)]
+        spark.createDataFrame(about, "analyser string, store string, id string").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
         own = cls(spark, path)
         own.add(df, text_col)
         return own
 
     def add(self, df: DataFrame, text_col: str = "text") -> None:
         """Append the texts of further rows; their ids must be new. The rows there are stay as they are."""
-        found = postings(df, self.store_col, self.id_col, text_col, self.analyser)
-        found = found.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(self.blocks)))
-        cut = found.groupBy("term", "store", "block").agg(F.max(F.size("positions")).alias("top"), F.collect_list(F.struct("id", "positions", "ordinals")).alias("docs"))
-        # Ranges of terms: a term lies in few files, and a frequent one, cut by block, in as many as it needs.
-        dealt = cut.repartitionByRange("term", "block").sortWithinPartitions("term", "block")
-        dealt.write.mode("append").option("parquet.block.size", ROW_GROUP).parquet(f"{self.path}/postings")
+        rows = df.select(F.col(self.store_col).alias("store"), F.col(self.id_col).alias("id"), F.lower(text_col).alias("text")).where("text is not null")
+        kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+        # Numbers of blocks begin anywhere, so that those of one addition aren't those of another.
+        cut = partial(segments, stem=ANALYSERS[self.analyser], first=uuid.uuid4().int >> 66, documents=BLOCK_DOCUMENTS, limit=SEGMENT_BYTES)
+        blocks = rows.mapInArrow(cut, f"term string, store {kinds['store']}, block bigint, top int, docs array<struct<id: {kinds['id']}, positions: array<int>, ordinals: array<int>>>")
+        blocks.write.mode("append").options(**STORED).parquet(f"{self.path}/postings")
 
     def parse(self, text: str) -> keyword.Query:
         return keyword.parse(text, ANALYSERS[self.analyser])

@@ -130,3 +130,36 @@ def test_nulls_blanks_and_repeated_ids(spark):
         TextIndex.build(df.unionByName(df.limit(1)), scratch_path(spark, "texts"))
     empty = TextIndex.build(df.limit(0), scratch_path(spark, "texts"))
     assert empty.search("word", 5).count() == 0
+
+
+def test_no_posting_is_shuffled(spark, docs):
+    """Texts are added in one stage: postings are stored by the tasks that read the texts."""
+    index = TextIndex.build(docs.limit(0), scratch_path(spark, "texts"))
+    context = spark.sparkContext
+    context.setJobGroup("added-texts", "")
+    try:
+        index.add(docs)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("added-texts") for s in tracker.getJobInfo(j).stageIds]
+    assert len(stages) == 1
+    assert index.postings().count() == keyword.postings(docs, "store", "chunk_id", "text", english).count()
+
+
+def test_small_segments_lose_nothing(spark, docs, monkeypatch):
+    """Many segments a task: each posting is stored once, terms are in order, and a document has one block of few documents."""
+    monkeypatch.setattr(text_index, "BLOCK_DOCUMENTS", 30)
+    monkeypatch.setattr(text_index, "SEGMENT_BYTES", 200_000)
+    rows = docs.withColumn("store", F.when(F.col("store") != "fr", F.col("store")))
+    index = TextIndex.build(rows, scratch_path(spark, "texts"), analyser="light")
+    stored = index._read()
+    each = stored.select("store", "term", "block", "top", F.explode("docs").alias("d")).select("*", "d.*")
+    same = ["store", "term", "id", "positions", "ordinals"]
+    want = keyword.postings(rows, "store", "chunk_id", "text")
+    assert each.select(same).exceptAll(want.select(same)).count() == 0 == want.select(same).exceptAll(each.select(same)).count()
+    assert stored.groupBy("store", "term", "block").count().where("count > 1").count() == 0
+    assert each.where(F.col("top") < F.size("positions")).count() == 0 == stored.where(F.col("top") > F.array_max(F.transform("docs", lambda d: F.size(d["positions"])))).count()
+    assert each.groupBy("id").agg(F.count_distinct("block").alias("n")).where("n > 1").count() == 0
+    blocks = each.groupBy("block").agg(F.count_distinct("id").alias("n")).agg(F.max("n"), F.count(F.lit(1))).first()
+    assert blocks[0] <= 30 and blocks[1] > 30

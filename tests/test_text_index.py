@@ -163,3 +163,15 @@ def test_small_segments_lose_nothing(spark, docs, monkeypatch):
     assert each.groupBy("id").agg(F.count_distinct("block").alias("n")).where("n > 1").count() == 0
     blocks = each.groupBy("block").agg(F.count_distinct("id").alias("n")).agg(F.max("n"), F.count(F.lit(1))).first()
     assert blocks[0] <= 30 and blocks[1] > 30
+
+
+def test_a_search_reads_the_pages_of_its_terms(english_index):
+    """Every file has all terms, in order: of the stored rows only those in the pages of a term are read for it, wherever it stands."""
+    every = english_index._read().count()
+    names = [r["term"] for r in english_index._read().select("term").distinct().orderBy("term").collect()]
+    for term in [names[0], "apach", "licens", names[len(names) // 2], names[-1]]:
+        found = english_index._read([term]).select("block", "docs")
+        assert found.collect()
+        scan = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+        read = scan.metrics().apply("numOutputRows").value()
+        assert 0 < read <= every // 4, (term, read, every)
